@@ -1,5 +1,6 @@
 """Every operator as a query over the given tables. Arrays leave as text joined by ``|``."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +65,7 @@ def clean_catalog_defaults(t: Tables):
 
 @query
 def catalog_roundtrip(t: Tables):
-    path = f"{shared_dir(t.spark)}/listforge/roundtrip-{t.dir.rsplit('/', 1)[-1]}"
+    path = f"{shared_dir(t.spark)}/listforge/roundtrip-{uuid.uuid4().hex}"
     write_catalog(ingest.clean_catalog(t.raw_listings(), ["src_key"]), path, partition_by_budget=True)
     return read_catalog(t.spark, path).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"),

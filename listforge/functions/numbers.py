@@ -20,9 +20,14 @@ def parse_number(c: Column) -> Column:
     return F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
 
 
-def parse_rating(c: Column) -> Column:
-    """``4.1/5`` and ``4.1 /5`` to 4.1; range is left to :func:`in_rating_range`."""
-    return parse_number(F.regexp_replace(c, rf"(?Ud){SPACE}*/{SPACE}*5.*", ""))
+def rating_text(c: Column) -> Column:
+    """``4.1/5`` and ``4.1 /5`` to ``4.1``."""
+    return F.regexp_replace(c, rf"(?Ud){SPACE}*/{SPACE}*5.*", "")
+
+
+def cost_text(c: Column) -> Column:
+    """Digits and dots only: signs, ranges and currency marks fall away."""
+    return F.regexp_replace(c, r"(?U)[^\d.]", "")
 
 
 def in_rating_range(c: Column) -> Column:
@@ -30,12 +35,11 @@ def in_rating_range(c: Column) -> Column:
 
 
 def clean_rating(c: Column) -> Column:
-    return in_rating_range(parse_rating(c))
+    return in_rating_range(parse_number(rating_text(c)))
 
 
 def clean_cost(c: Column) -> Column:
-    """Keep digits and dots, then parse: signs, ranges and currency marks fall away."""
-    return parse_number(F.regexp_replace(c, r"(?U)[^\d.]", ""))
+    return parse_number(cost_text(c))
 
 
 def numeric_cost(c: Column) -> Column:

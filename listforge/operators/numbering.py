@@ -10,15 +10,22 @@ _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
 
 
-def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Range-sort once and keep the result with its position (``_seq``).
+def range_sorted(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Global sort by range partitions.
 
     The scan position ends the sort key: rows with equal keys are spread over as many
     range partitions as they need, so one key holding a third of the rows is no hot spot.
     """
-    scanned = df.withColumn("_scan", F.monotonically_increasing_id())
-    ordered = scanned.orderBy(*order, "_scan").drop("_scan")
-    return keep(ordered.withColumn("_seq", F.monotonically_increasing_id()), "ordered")
+    return df.withColumn("_scan", F.monotonically_increasing_id()).orderBy(*order, "_scan").drop("_scan")
+
+
+def kept_in_order(df: DataFrame) -> DataFrame:
+    """Write the rows as they stand with their position (``_seq``): partition, then row in it."""
+    return keep(df.withColumn("_seq", F.monotonically_increasing_id()), "ordered")
+
+
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    return kept_in_order(range_sorted(df, *order))
 
 
 def _offsets(ordered: DataFrame, weight: Column) -> DataFrame:
@@ -29,7 +36,7 @@ def _offsets(ordered: DataFrame, weight: Column) -> DataFrame:
 
 
 def number(ordered: DataFrame, name: str, kind: str = "bigint") -> DataFrame:
-    """Number the rows of :func:`in_order` 1..n: offset of the partition plus row in it, no shuffle."""
+    """Number the rows of :func:`kept_in_order` 1..n: offset of the partition plus row in it, no shuffle."""
     offsets = _offsets(ordered, F.lit(1))
     row = F.col("_seq").bitwiseAND(F.lit(_ROW_MASK))
     return (
@@ -46,7 +53,7 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "id", kind: str
 
 
 def running_total(ordered: DataFrame, weight: str, name: str) -> DataFrame:
-    """Inclusive running total of ``weight`` over the rows of :func:`in_order`."""
+    """Inclusive running total of ``weight`` over the rows of :func:`kept_in_order`."""
     offsets = _offsets(ordered, F.col(weight))
     local = Window.partitionBy("_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
     return (

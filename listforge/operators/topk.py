@@ -8,29 +8,32 @@ from pyspark.sql import functions as F
 SLICES = 64
 
 
-def best_per_key(df: DataFrame, keys: Sequence[str], k: int, pos: str = "pos") -> DataFrame:
-    """The ``k`` best distinct listings per key: rating descending, then id.
-
-    Every map task cuts its keys to ``k`` before the shuffle (WindowGroupLimit). The
-    first round works on slices of each key, by input partition, so the rows of a hot
-    key are merged by many tasks; the second merges at most ``SLICES * k`` rows a key.
-    A listing may reach a key on several ways; its copies tie in ``dense_rank``.
-    """
-    best = [F.col("rating").desc(), F.col("id")]
-    by_slice = Window.partitionBy(*keys, "_slice").orderBy(*best)
-    by_key = Window.partitionBy(*keys).orderBy(*best)
-    first = (
-        df.withColumn("_slice", F.spark_partition_id() % SLICES)
-        .withColumn(pos, F.dense_rank().over(by_slice))
-        .filter(F.col(pos) <= k)
-        .withColumn("_previous", F.lag("id").over(by_slice))
-        .filter(F.col("_previous").isNull() | (F.col("_previous") != F.col("id")))
-        .drop("_slice", pos, "_previous")
-    )
+def _best(df: DataFrame, keys: Sequence[str], k: int, pos: str) -> DataFrame:
+    within = Window.partitionBy(*keys).orderBy(F.col("rating").desc(), "id")
     return (
-        first.withColumn(pos, F.dense_rank().over(by_key))
+        df.withColumn(pos, F.dense_rank().over(within))
         .filter(F.col(pos) <= k)
-        .withColumn("_previous", F.lag("id").over(by_key))
+        # A listing may reach a key on several ways; its copies tie in rank and stand side by side.
+        .withColumn("_previous", F.lag("id").over(within))
         .filter(F.col("_previous").isNull() | (F.col("_previous") != F.col("id")))
         .drop("_previous")
     )
+
+
+def best_per_key(df: DataFrame, keys: Sequence[str], k: int, pos: str = "pos") -> DataFrame:
+    """The ``k`` best distinct listings per key: rating descending, then id.
+
+    Every map task cuts its keys to ``k`` before the shuffle (WindowGroupLimit), so a
+    key brings at most ``k`` rows per map task to its reducer, however many it has.
+    """
+    return _best(df, keys, k, pos)
+
+
+def best_per_hot_key(df: DataFrame, keys: Sequence[str], k: int, pos: str = "pos") -> DataFrame:
+    """The same in two rounds, for a whole catalog with very many map tasks.
+
+    The first round merges slices of each key (by input partition, which leaves the map-side cut
+    as strong as before) on many reducers; the second sees at most ``SLICES * k`` rows a key.
+    """
+    sliced = df.withColumn("_slice", F.spark_partition_id() % SLICES)
+    return _best(_best(sliced, [*keys, "_slice"], k, pos).drop("_slice", pos), keys, k, pos)

@@ -3,70 +3,75 @@
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import fixed, numbers, text
-from ..operators.numbering import in_order, number
+from ..operators.numbering import kept_in_order, number, range_sorted
 from ..sources.catalog import write_catalog
 from ..sources.raw import resolve_column
 from ..sources.schema import CATALOG_COLUMNS
-from .quality import check, failed_errors, quality_report
+from .quality import check, quality_report
 
 _NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
-def clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Canonical columns without ``id``, plus the columns named in ``keep``.
+def clean(raw: DataFrame) -> DataFrame:
+    """Canonical columns without ``id``.
 
-    Parsing sits in its own projection: Catalyst does not merge it with the next one,
-    whose range test and tier rules use each parsed value several times.
+    Projections: cut texts, parse, split and derive. Catalyst keeps them apart because each uses results of
+    the one before more than once, so no cleaning step runs twice for a row.
     """
-    types = dict(raw.dtypes)
-    source = {name: resolve_column(raw, aliases) for name, aliases in fixed.COLUMN_ALIASES.items()}
-
-    def is_numeric(c: Column) -> bool:
-        kind = raw.select(c).dtypes[0][1]
-        return kind in _NUMERIC or kind.startswith("decimal")
-
-    def parsed(name, numeric, textual):
-        c = source[name]
-        if c is None:
-            return F.lit(None).cast("double")
-        return numeric(c) if is_numeric(c) else textual(c.cast("string"))
-
-    name, location, cuisines = source["name"], source["location"], source["cuisines"]
-    stage = raw.select(
-        *[F.col(f"`{k}`").alias(f"_keep_{i}") for i, k in enumerate(keep)],
-        (F.lit(fixed.UNKNOWN_NAME) if name is None
-         else F.coalesce(text.strip(name.cast("string")), F.lit(fixed.UNKNOWN_NAME))).alias("name"),
-        (F.lit(None).cast("string") if location is None
-         else text.normalize_location(location.cast("string"))).alias("location"),
-        (F.array().cast("array<string>") if cuisines is None
-         else text.split_cuisines(cuisines.cast("string"))).alias("cuisines"),
-        parsed("rating", lambda c: c.cast("double"), numbers.parse_rating).alias("rating"),
-        parsed("cost_for_two", numbers.numeric_cost, numbers.clean_cost).alias("cost_for_two"),
+    types = {name: kind for name, kind in raw.dtypes}
+    resolved = {name: resolve_column(raw, aliases) for name, aliases in fixed.COLUMN_ALIASES.items()}
+
+    def source(name, textual, numeric=None):
+        found = resolved[name]
+        if found is None:
+            return F.lit(None).cast("string").alias(name)
+        kind = types[found]
+        c = F.col(f"`{found}`")
+        if numeric is not None and (kind in _NUMERIC or kind.startswith("decimal")):
+            return numeric(c.cast("double")).alias(name)
+        return textual(c.cast("string")).alias(name)
+
+    cut = raw.select(
+        source("name", text.strip),
+        source("location", lambda c: F.nullif(text.collapse(text.strip(c)), F.lit(""))),
+        source("cuisines", text.strip),
+        source("rating", numbers.rating_text, lambda c: c),
+        source("cost_for_two", numbers.cost_text, numbers.numeric_cost),
     )
-    return stage.select(
-        *[F.col(f"_keep_{i}").alias(k) for i, k in enumerate(keep)],
-        "name", "location", "cuisines",
+    kinds = dict(cut.dtypes)
+    number = lambda c: F.col(c) if kinds[c] == "double" else numbers.parse_number(F.col(c)).alias(c)
+    parsed = cut.select(
+        F.coalesce("name", F.lit(fixed.UNKNOWN_NAME)).alias("name"),
+        text.title(F.col("location")).alias("location"),
+        text.title(F.col("cuisines")).alias("cuisines"),
+        number("rating"),
+        number("cost_for_two"),
+    )
+    return parsed.select(
+        "name", "location",
+        text.comma_parts(F.col("cuisines")).alias("cuisines"),
         numbers.in_rating_range(F.col("rating")).alias("rating"),
         "cost_for_two",
         numbers.assign_budget(F.col("cost_for_two")).alias("budget"),
     )
 
 
-def staged_catalog(raw: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Clean, bring into ``order`` and keep: the table ids are read off from."""
-    order = list(order)
-    kept = clean(raw, keep=order).withColumnsRenamed({k: f"_order_{i}" for i, k in enumerate(order)})
-    keys = [f"_order_{i}" for i in range(len(order))]
-    return in_order(kept, *keys).drop(*keys)
-
+def clean_catalog(raw: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The catalog with ids 1..n in the order of the given source columns, else in scan order.
 
-def clean_catalog(raw: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The catalog with ids 1..n in the order of the given source columns."""
-    return number(staged_catalog(raw, order), "id").select(*CATALOG_COLUMNS)
+    Raw rows are sorted before they are cleaned: the sampling pass of the sort then reads raw
+    columns only and every row is cleaned once. Scan order needs no shuffle at all.
+    """
+    used = [c for c in (resolve_column(raw, a) for a in fixed.COLUMN_ALIASES.values()) if c]
+    rows = raw
+    if order:
+        needed = list(dict.fromkeys([*order, *used]))
+        rows = range_sorted(raw.select(*[F.col(f"`{c}`") for c in needed]), *[F.col(f"`{c}`") for c in order])
+    return number(kept_in_order(clean(rows)), "id").select(*CATALOG_COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -75,12 +80,9 @@ class Ingested:
     report: list[Row]
 
 
-def ingest(raw: DataFrame, path: str, order: Sequence[str], partition_by_budget: bool = False) -> Ingested:
+def ingest(raw: DataFrame, path: str, order: Sequence[str] = (), partition_by_budget: bool = False) -> Ingested:
     """Clean, check, publish. The checks run on the kept stage, so nothing is published on failure."""
     catalog = clean_catalog(raw, order)
     report = quality_report(catalog).collect()  # one row per rule
     check(report)
     return Ingested(write_catalog(catalog, path, partition_by_budget), report)
-
-
-__all__ = ["Ingested", "clean", "clean_catalog", "failed_errors", "ingest", "staged_catalog"]

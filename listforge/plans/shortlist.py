@@ -17,7 +17,7 @@ from ..functions import fixed
 from ..operators.predicates import budget_is, cuisine_matches, location_matches, rating_at_least
 from ..operators.spread import spread_join
 from ..operators.substring import substring_pairs
-from ..operators.topk import best_per_key
+from ..operators.topk import best_per_hot_key, best_per_key
 from ..sources.schema import CATALOG_COLUMNS
 from ..sources.shared import keep
 
@@ -54,7 +54,7 @@ def best_cells(catalog: DataFrame, k: int = fixed.SHORTLIST_SIZE) -> DataFrame:
         "budget", "rating", "id",
         F.struct(*LISTING_FIELDS).alias("listing"),
     )
-    return best_per_key(rows, ["at", "offers", "budget"], k).drop("pos")
+    return best_per_hot_key(rows, ["at", "offers", "budget"], k).drop("pos")
 
 
 def wishes(requests: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -22,11 +21,10 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.load(source)
 
 
-def resolve_column(df: DataFrame, candidates: Sequence[str]) -> Column | None:
+def resolve_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
     """First candidate present, in exact case; names may hold blanks and brackets.
 
     Columns that differ in case only need ``spark.sql.caseSensitive=true``.
     """
     present = set(df.columns)
-    name = next((c for c in candidates if c in present), None)
-    return None if name is None else F.col(f"`{name}`")
+    return next((c for c in candidates if c in present), None)
