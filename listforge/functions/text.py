@@ -44,10 +44,7 @@ def title(c: Column) -> Column:
     runs = F.regexp_extract_all(
         F.lower(c), F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1)
     )
-    capital = F.transform(
-        runs, lambda w: F.concat(F.upper(w.substr(F.lit(1), F.lit(1))), w.substr(F.lit(2), F.length(w)))
-    )
-    return F.when(c.rlike(_BLANK_WORDS), F.initcap(c)).otherwise(F.array_join(capital, ""))
+    return F.when(c.rlike(_BLANK_WORDS), F.initcap(c)).otherwise(F.array_join(F.transform(runs, F.initcap), ""))
 
 
 def normalize_location(c: Column) -> Column:
