@@ -1,0 +1,188 @@
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from listforge.plans import ingest, options, quality
+from listforge.sources import read_catalog, read_raw, write_catalog
+from listforge.sources.schema import CATALOG, CATALOG_COLUMNS
+from tests import samples
+
+RAW = [
+    (3, "Cost", " C ", "mg  road", "Cafe, , fast food", "4.1/5", "1,200"),
+    (1, "X", None, None, None, "NEW", None),
+    (2, "Y", "  ", " 1st block ", " ", "5.5/5", "₹800"),
+]
+RAW_SCHEMA = "seq int, `Restaurant Name x` string, restaurant_name string, City string, Cuisine string, aggregate_rating string, `approx_cost(for two people)` string"
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return spark.createDataFrame(RAW, RAW_SCHEMA)
+
+
+def test_clean_with_aliases(raw):
+    got = [tuple(r) for r in ingest.clean_catalog(raw, ["seq"]).orderBy("id").collect()]
+    assert got == [
+        (1, "Unknown", None, [], None, None, None),
+        (2, "", "1St Block", [], None, 800.0, "medium"),
+        (3, "C", "Mg Road", ["Cafe", "Fast Food"], 4.1, 1200.0, "medium"),
+    ]
+
+
+def test_scan_order_ids_are_dense(raw):
+    assert sorted(r.id for r in ingest.clean_catalog(raw.repartition(3)).collect()) == [1, 2, 3]
+
+
+def test_numeric_sources(spark):
+    df = spark.createDataFrame([("A", 4.5, 300), ("B", float("nan"), -700), ("C", 7.0, None)], "name string, rating double, cost int")
+    got = [tuple(r)[1:2] + tuple(r)[4:] for r in ingest.clean_catalog(df, ["name"]).orderBy("id").collect()]
+    assert got == [("A", 4.5, 300.0, "low"), ("B", None, 700.0, "medium"), ("C", None, None, None)]
+
+
+def test_first_alias_wins(spark):
+    df = spark.createDataFrame([("right", "wrong")], "Name string, `Restaurant Name` string")
+    assert ingest.clean(df).first().name == "right"
+
+
+def test_missing_columns_get_defaults(spark):
+    df = spark.createDataFrame([(1,), (2,)], "seq int")
+    got = ingest.clean_catalog(df, ["seq"])
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(i, "Unknown", None, [], None, None, None) for i in (1, 2)]
+    assert [f.dataType.simpleString() for f in got.schema] == [f.dataType.simpleString() for f in CATALOG]
+
+
+def test_cleaning_a_clean_catalog_changes_nothing(spark):
+    listed = lambda df: df.withColumn("cuisines", F.array_join("cuisines", ", "))
+    once = ingest.clean_catalog(listed(samples.catalog(spark)), ["id"])
+    again = ingest.clean_catalog(listed(once), ["id"])
+    assert once.exceptAll(again).count() == 0 and again.exceptAll(once).count() == 0
+
+
+def test_ingest_publishes(raw, spark, tmp_path):
+    done = ingest.ingest(raw, str(tmp_path / "catalog"), ["seq"])
+    assert done.rows == 3
+    back = read_catalog(spark, str(tmp_path / "catalog"))
+    assert back.columns == CATALOG_COLUMNS and back.count() == 3
+
+
+def test_ingest_of_nothing_publishes_nothing(raw, spark, tmp_path):
+    with pytest.raises(quality.QualityError, match="non_empty"):
+        ingest.ingest(raw.limit(0), str(tmp_path / "none"), ["seq"])
+    with pytest.raises(FileNotFoundError, match="ingest"):
+        read_catalog(spark, str(tmp_path / "none"))
+
+
+def test_partitioned_roundtrip(spark, tmp_path):
+    catalog = samples.catalog(spark)
+    assert write_catalog(catalog, str(tmp_path / "c"), partition_by_budget=True) == 300
+    back = read_catalog(spark, str(tmp_path / "c"))
+    assert back.columns == CATALOG_COLUMNS and back.exceptAll(catalog).count() == 0
+    plan = back.filter("budget = 'low'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(budget" in plan
+
+
+def test_text_cuisines_become_arrays(spark, tmp_path):
+    samples.catalog(spark).selectExpr(
+        "id", "name", "location", "case when id % 2 = 0 then 'Cafe' end as cuisines", "rating", "cost_for_two", "budget"
+    ).write.parquet(str(tmp_path / "c"))
+    got = read_catalog(spark, str(tmp_path / "c"), cache=True)
+    assert {(r.id % 2, tuple(r.cuisines)) for r in got.collect()} == {(0, ("Cafe",)), (1, ())}
+    got.unpersist()
+
+
+def test_catalog_lacking_columns(spark, tmp_path):
+    samples.catalog(spark).drop("budget").write.parquet(str(tmp_path / "c"))
+    with pytest.raises(ValueError, match="budget"):
+        read_catalog(spark, str(tmp_path / "c"))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+def test_raw_formats_and_splits(raw, spark, tmp_path, fmt):
+    writer = raw.write.option("header", True).option("escape", '"').option("ignoreNullFields", "false")
+    writer.format(fmt).save(str(tmp_path / "train"))
+    raw.limit(0).write.format(fmt).save(str(tmp_path / "test"))
+    got = read_raw(spark, str(tmp_path), fmt, splits=["train", "test"])
+    assert sorted(got.columns) == sorted(raw.columns) and got.count() == 3
+    catalog = ingest.clean_catalog(got, ["seq"])
+    assert [r.rating for r in catalog.orderBy("id").collect()] == [None, None, 4.1]
+
+
+def report(df):
+    return {r.rule: r for r in quality.quality_report(df).collect()}
+
+
+def test_quality_of_a_good_catalog(spark):
+    rules = report(samples.catalog(spark, n=1200))
+    assert not [r for r in rules.values() if r.failed and r.severity == "error"]
+    assert not rules["min_rows"].failed and not rules["tier_cost_mismatch"].failed
+    assert rules["null_locations_pct"].failed  # the samples leave out more than 1 %
+
+
+def test_quality_finds_faults(spark):
+    rows = [
+        (1, None, "A", [], 6.0, 100.0, "high"), (1, "B", None, [], None, None, "cheap"),
+        (2, "C", None, ["x"], None, None, None), (None, "D", None, ["x"], None, None, None), (None, "E", None, [], None, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, name string, location string, cuisines array<string>, rating double, cost_for_two double, budget string")
+    rules = report(df)
+    value = lambda r: rules[r].value
+    assert value("duplicate_ids") == 3 and rules["duplicate_ids"].failed
+    assert value("rating_out_of_range") == 1 and value("null_names") == 1
+    assert value("unknown_tiers") == 1 and value("tier_cost_mismatch") == 1
+    assert value("null_pct_location") == 80.0 and rules["null_pct_location"].failed
+    assert rules["no_tier_pct"].failed and value("no_cuisine_pct") == 60.0 and rules["no_cuisine_pct"].failed
+    with pytest.raises(quality.QualityError, match="duplicate_ids"):
+        quality.check(rules.values())
+
+
+def test_missing_columns_are_an_error(spark):
+    rules = report(spark.createDataFrame([(1, "a")], "id bigint, name string"))
+    assert rules["missing_columns"].value == 5 and rules["missing_columns"].failed
+    assert report(spark.createDataFrame([("a",)], "name string"))["missing_columns"].failed
+
+
+def test_empty_catalog(spark):
+    rules = report(spark.createDataFrame([], CATALOG))
+    assert rules["non_empty"].failed and not rules["null_pct_name"].failed
+    assert tuple(quality.rating_summary(spark.createDataFrame([], CATALOG)).first()) == (0,) + (None,) * 7
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100])
+def test_rating_summary(spark, n):
+    rows = [r for r in samples.catalog_rows(n=3 * n, seed=n)]
+    ratings = sorted(r[4] for r in rows if r[4] is not None)
+    got = quality.rating_summary(samples.catalog(spark, n=3 * n, seed=n)).first()
+
+    def at(p):
+        x = p * (len(ratings) - 1)
+        low = ratings[int(x)]
+        return low + (ratings[min(int(x) + 1, len(ratings) - 1)] - low) * (x - int(x))
+
+    assert (got["count"], got["min"], got["max"]) == (len(ratings), ratings[0], ratings[-1])
+    assert got["mean"] == pytest.approx(statistics.mean(ratings), abs=1e-6)
+    assert [got.q25, got.q50, got.q75] == pytest.approx([at(.25), at(.5), at(.75)], abs=1e-6)
+    if len(ratings) > 1:
+        assert got["std"] == pytest.approx(statistics.stdev(ratings), abs=1e-6)
+
+
+def test_reports(spark):
+    catalog, rows = samples.catalog(spark), samples.catalog_rows()
+    places = {r[2] for r in rows if r[2]}
+    assert quality.top_locations(catalog).count() == len(places)
+    assert [r.pos for r in quality.top_locations(catalog, 3).orderBy("pos").collect()] == [1, 2, 3]
+    assert {r.budget for r in quality.budget_counts(catalog, with_null=True).collect()} == {"low", "medium", "high", None}
+    rates = {r.column_name: r.null_pct for r in quality.null_rates(catalog).collect()}
+    assert rates["id"] == 0 and rates["rating"] == pytest.approx(100 * sum(r[4] is None for r in rows) / len(rows), abs=1e-6)
+    shown = quality.catalog_preview(catalog).collect()
+    assert [r.id for r in shown] == [1, 2, 3, 4, 5] and all(len(r.cuisines) <= 2 for r in shown)
+
+
+def test_options(spark):
+    catalog, rows = samples.catalog(spark), samples.catalog_rows()
+    places = sorted({r[2] for r in rows if r[2]})
+    dishes = sorted({d for r in rows for d in r[3]})
+    assert [r.value for r in options.options_locations(catalog).orderBy("pos").collect()] == places
+    assert [r.value for r in options.options_cuisines(catalog).orderBy("pos").collect()] == dishes
+    pages = {(r.kind, r.page): r.options for r in options.options_payload(catalog, page=4).collect()}
+    assert pages["locations", 1] + pages["locations", 2] == places and len(pages["locations", 1]) == 4
+    assert pages["cuisines", 1] + pages["cuisines", 2] == dishes
