@@ -12,6 +12,7 @@ from ..functions import fixed
 from ..functions.messages import clean_explanation, empty_summary, patch_summary, rating_explanation
 from ..functions.numbers import one_decimal, whole_number
 from ..functions.text import strip
+from ..sources.schema import RESPONSE
 from ..sources.shared import keep
 from .scoring import Scorer, outcomes, score
 from .shortlist import best_cells, with_shortlist
@@ -93,12 +94,15 @@ def answers(requests: DataFrame, cells: DataFrame, responses: DataFrame,
     )
 
 
-def recommend(requests: DataFrame, catalog: DataFrame, scorer: Scorer | None = None,
+def recommend(requests: DataFrame, catalog: DataFrame | None, scorer: Scorer | None = None,
               cells: DataFrame | None = None) -> DataFrame:
-    """The whole way for a table of valid requests; without a scorer the rating fallback answers."""
+    """The whole way for a table of valid requests; without a scorer the rating fallback answers.
+
+    ``cells`` built before from the catalog take its place.
+    """
     cells = keep(best_cells(catalog), "cells") if cells is None else cells
     if scorer is None:
-        responses = requests.sparkSession.createDataFrame([], "request_id bigint, attempt int, raw string, error string")
+        responses = requests.sparkSession.createDataFrame([], RESPONSE)
     else:
         # Kept, since a scorer call is neither cheap nor repeatable.
         responses = keep(score(with_shortlist(requests, cells), scorer), "responses")

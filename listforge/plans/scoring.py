@@ -53,47 +53,59 @@ def _whole(value: Column, name: str) -> Column:
     )
 
 
+# Put behind a response inside one JSON array: a parser reports no text after the first value, but only a
+# response that is exactly one value leaves this mark in second place.
+_END = "listforge end of response"
+
+_ANSWER = "struct<summary:string,recommendations:array<struct<restaurant_id:bigint,rank:int,explanation:string>>>"
+# Shape of nearly all valid responses; it is read in one step, other shapes field by field.
+_USUAL = "OBJECT<recommendations: ARRAY<OBJECT<explanation: STRING, rank: BIGINT, restaurant_id: BIGINT>>, summary: STRING>"
+
+
+def _field_by_field(value: Column) -> Column:
+    """The answer with null for every value of a wrong type."""
+    text = lambda v, name: F.when(_kind_of(_field(v, name)) == "STRING", _field(v, name, "string")).alias(name)
+    entry = lambda x: F.struct(
+        _whole(x, "restaurant_id").alias("restaurant_id"),
+        _whole(x, "rank").try_cast("int").alias("rank"),
+        text(x, "explanation"),
+    )
+    return F.struct(
+        text(value, "summary"),
+        F.transform(_field(value, "recommendations", "array<variant>"), entry).alias("recommendations"),
+    )
+
+
 def judged(responses: DataFrame) -> DataFrame:
     """Responses with ``status`` and, if valid, ``summary`` and ``recommendations``.
 
     ``ok``: a JSON object with a text summary and a list of (id, rank, explanation).
     ``retry``: not JSON or another shape. ``stop``: an error, or JSON that is no object.
     """
-    # A parser stops after the first value; inside both brackets no trailing text passes.
-    listed = F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")))
-    keyed = F.try_parse_json(F.concat(F.lit('{"a":'), F.col("raw"), F.lit("}")))
-    parsed = responses.select(
-        "request_id", "attempt", "raw", "error",
-        F.try_variant_get(listed, "$", "array<variant>").alias("values"), keyed.isNotNull().alias("closed"),
-    )
-    whole = (F.size("values") == 1) & F.col("closed")
-    read = parsed.select(
-        "request_id", "attempt", "raw", "error", F.when(whole, F.get("values", F.lit(0))).alias("value"))
-    fields = read.select(
-        "request_id", "attempt", "raw", "error", "value",
-        _kind_of(F.col("value")).startswith("OBJECT").alias("is_object"),
-        F.when(_kind_of(_field(F.col("value"), "summary")) == "STRING", _field(F.col("value"), "summary", "string")).alias("summary"),
-        F.transform(
-            _field(F.col("value"), "recommendations", "array<variant>"),
-            lambda x: F.struct(
-                _whole(x, "restaurant_id").alias("restaurant_id"),
-                _whole(x, "rank").try_cast("int").alias("rank"),
-                F.when(_kind_of(_field(x, "explanation")) == "STRING", _field(x, "explanation", "string")).alias("explanation"),
-            ),
-        ).alias("recommendations"),
+    marked = responses.select(
+        "request_id", "attempt", (F.col("error").isNotNull() | F.col("raw").isNull()).alias("broken"),
+        F.try_parse_json(F.concat(F.lit("["), "raw", F.lit(f',"{_END}"]'))).alias("parsed"),
     )
-    complete = F.col("summary").isNotNull() & F.col("recommendations").isNotNull() & F.forall(
-        "recommendations",
+    parsed = marked.select("request_id", "attempt", "broken", F.when(
+        F.try_variant_get("parsed", "$[1]", "string") == _END, F.try_variant_get("parsed", "$[0]", "variant")).alias("value"))
+    shaped = parsed.withColumn("shape", _kind_of(F.col("value")))
+    read = shaped.withColumn("answer", F.when(
+        F.col("shape") == _USUAL, F.try_variant_get("value", "$", _ANSWER)
+    ).when(F.col("shape").startswith("OBJECT"), _field_by_field(F.col("value"))))
+    summary, recommendations = F.col("answer.summary"), F.col("answer.recommendations")
+    complete = summary.isNotNull() & recommendations.isNotNull() & F.forall(
+        recommendations,
         lambda x: x["restaurant_id"].isNotNull() & x["rank"].isNotNull() & x["explanation"].isNotNull(),
     )
     status = (
-        F.when(F.col("error").isNotNull() | F.col("raw").isNull(), "stop")
+        F.when(F.col("broken"), "stop")
         .when(F.col("value").isNull(), "retry")
-        .when(~F.col("is_object"), "stop")
+        .when(~F.col("shape").startswith("OBJECT"), "stop")
         .when(complete, "ok")
         .otherwise("retry")
     )
-    return fields.select("request_id", "attempt", status.alias("status"), "summary", "recommendations")
+    return read.select("request_id", "attempt", status.alias("status"),
+                       summary.alias("summary"), recommendations.alias("recommendations"))
 
 
 def outcomes(responses: DataFrame, max_retries: int = fixed.MAX_RETRIES) -> DataFrame:

@@ -73,15 +73,19 @@ def wish_lists(asked: DataFrame, cells: DataFrame, k: int = fixed.SHORTLIST_SIZE
     """
     dishes = substring_pairs(_distinct(asked, "dish", "query"), _distinct(cells, "offers", "text"))
     places = substring_pairs(_distinct(asked, "place", "query"), _distinct(cells, "at", "text"))
-    by_dish = best_per_key(
-        cells.join(dishes, cells.offers == dishes.text).select("at", F.col("query").alias("dish"), "budget", "rating", "id", "listing"),
-        ["at", "dish", "budget"], k,
-    ).drop("pos")
     reach = (
         asked.select(*WISH).distinct()
         .join(places.withColumnsRenamed({"query": "place", "text": "at"}), "place")
     )
-    best = best_per_key(reach.join(by_dish, ["at", "dish", "budget"]).drop("at"), WISH, k)
+    stop = ["at", "dish", "budget"]
+    # Only combinations somebody asks for are ranked; join, ranking and the next join share one partitioning.
+    offered = (
+        cells.join(dishes, cells.offers == dishes.text)
+        .select("at", F.col("query").alias("dish"), "budget", "rating", "id", "listing")
+        .join(reach.select(*stop).distinct(), stop, "left_semi")
+    )
+    by_dish = best_per_key(offered, stop, k).drop("pos")
+    best = best_per_key(reach.join(by_dish, stop).drop("at"), WISH, k)
     entry = F.struct(
         "pos", "id", F.col("listing.name").alias("name"), F.col("listing.location").alias("location"),
         F.col("listing.cuisines").alias("cuisines"), "rating",
