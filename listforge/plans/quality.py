@@ -2,12 +2,13 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.numbers import assign_budget
 from ..operators.numbering import in_order, running_total
+from ..sources.catalog import read_catalog
 from ..sources.schema import CATALOG_COLUMNS
 
 
@@ -184,5 +185,22 @@ def catalog_preview(catalog: DataFrame, rows: int = fixed.PREVIEW_ROWS) -> DataF
     )
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes
+def stored_size(spark: SparkSession, path: str) -> DataFrame:
+    """Number and total size of the Parquet files under ``path``, from the file listing alone."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(path)
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.round(F.sum("length") / 1024, 1).alias("size_kb"))
+
+
+def verification(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The report over a stored catalog, one table per part."""
+    catalog = read_catalog(spark, path)
+    return {
+        "columns": spark.createDataFrame(catalog.dtypes, "column_name string, type string"),
+        "null_rates": null_rates(catalog),
+        "budget_counts": budget_counts(catalog),
+        "rating_summary": rating_summary(catalog),
+        "top_locations": top_locations(catalog),
+        "preview": catalog_preview(catalog),
+        "size": stored_size(spark, path),
+        "rules": quality_report(catalog),
+    }

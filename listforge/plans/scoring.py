@@ -24,13 +24,15 @@ def prompts(shortlisted: DataFrame) -> DataFrame:
     )
 
 
-def score(shortlisted: DataFrame, scorer: Scorer) -> DataFrame:
+def score(shortlisted: DataFrame, scorer: Scorer, tasks: int | None = None) -> DataFrame:
     """Run a user function over batches of prompts: ``request_id, attempt, raw, error``.
 
     The function makes its own attempts, numbered from 0. An error row without an attempt number
-    reports a failure outside the attempts.
+    reports a failure outside the attempts. ``tasks`` deals the prompts out evenly, for scorers that
+    take far longer than the plan that feeds them.
     """
-    return prompts(shortlisted).mapInPandas(scorer, RESPONSE)
+    rows = prompts(shortlisted)
+    return (rows.repartition(tasks) if tasks else rows).mapInPandas(scorer, RESPONSE)
 
 
 def _kind_of(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from listforge.plans import ingest, options, quality
 from listforge.sources import read_catalog, read_raw, write_catalog
 from listforge.sources.schema import CATALOG, CATALOG_COLUMNS
+from listforge.sources.shared import shared_dir
 from tests import samples
 
 RAW = [
@@ -186,3 +187,29 @@ def test_options(spark):
     pages = {(r.kind, r.page): r.options for r in options.options_payload(catalog, page=4).collect()}
     assert pages["locations", 1] + pages["locations", 2] == places and len(pages["locations", 1]) == 4
     assert pages["cuisines", 1] + pages["cuisines", 2] == dishes
+
+
+def test_verification(spark, tmp_path):
+    write_catalog(samples.catalog(spark).repartition(3), str(tmp_path / "c"), partition_by_budget=True)
+    parts = {name: df.collect() for name, df in quality.verification(spark, str(tmp_path / "c")).items()}
+    assert [tuple(r) for r in parts["columns"]][:2] == [("id", "bigint"), ("name", "string")]
+    assert parts["size"][0].n_files >= 4 and parts["size"][0].size_kb > 1
+    assert all(parts.values())
+
+
+def test_kept_tables_need_a_shared_folder():
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId = "yarn", "app"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert shared_dir(Session) == shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "/shared"
+    assert shared_dir(Session) == "/shared"
