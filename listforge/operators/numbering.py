@@ -48,6 +48,17 @@ def number(ordered: DataFrame, name: str, kind: str = "bigint") -> DataFrame:
     )
 
 
+def number_in_files(df: DataFrame, file: str, row: str, name: str) -> DataFrame:
+    """Number rows 1..n by file path and row number (from 0, without gaps) in the file: no sort, no shuffle.
+
+    ``df`` should be a kept table, it is read twice. One counter row per file is broadcast.
+    """
+    counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(file, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return df.join(F.broadcast(offsets), file).withColumn(name, F.col("_before") + F.col(row) + 1).drop("_before")
+
+
 def number_rows(df: DataFrame, *order: Column | str, name: str = "id", kind: str = "bigint") -> DataFrame:
     return number(in_order(df, *order), name, kind)
 

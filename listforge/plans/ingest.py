@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import fixed, numbers, text
-from ..operators.numbering import kept_in_order, number, range_sorted
+from ..operators.numbering import kept_in_order, number, number_in_files, range_sorted
 from ..sources.catalog import write_catalog
-from ..sources.raw import resolve_column
+from ..sources.raw import POSITION, resolve_column
 from ..sources.schema import CATALOG_COLUMNS
+from ..sources.shared import keep
 from .quality import check, quality_report
 
 _NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    """Canonical columns without ``id``.
+def clean(raw: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Canonical columns without ``id``, after the columns to ``carry`` along.
 
     Projections: cut texts, parse, split and derive. Catalyst keeps them apart because each uses results of
     the one before more than once, so no cleaning step runs twice for a row.
@@ -36,6 +37,7 @@ def clean(raw: DataFrame) -> DataFrame:
         return textual(c.cast("string")).alias(name)
 
     cut = raw.select(
+        *carry,
         source("name", text.strip),
         source("location", lambda c: F.nullif(text.collapse(text.strip(c)), F.lit(""))),
         source("cuisines", text.strip),
@@ -45,6 +47,7 @@ def clean(raw: DataFrame) -> DataFrame:
     kinds = dict(cut.dtypes)
     number = lambda c: F.col(c) if kinds[c] == "double" else numbers.parse_number(F.col(c)).alias(c)
     parsed = cut.select(
+        *carry,
         F.coalesce("name", F.lit(fixed.UNKNOWN_NAME)).alias("name"),
         text.title(F.col("location")).alias("location"),
         text.title(F.col("cuisines")).alias("cuisines"),
@@ -52,7 +55,7 @@ def clean(raw: DataFrame) -> DataFrame:
         number("cost_for_two"),
     )
     return parsed.select(
-        "name", "location",
+        *carry, "name", "location",
         text.comma_parts(F.col("cuisines")).alias("cuisines"),
         numbers.in_rating_range(F.col("rating")).alias("rating"),
         "cost_for_two",
@@ -61,11 +64,14 @@ def clean(raw: DataFrame) -> DataFrame:
 
 
 def clean_catalog(raw: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """The catalog with ids 1..n in the order of the given source columns, else in scan order.
+    """The catalog with ids 1..n in the order of the given source columns.
 
     Raw rows are sorted before they are cleaned: the sampling pass of the sort then reads raw
-    columns only and every row is cleaned once. Scan order needs no shuffle at all.
+    columns only and every row is cleaned once. Without ``order`` nothing is shuffled: ids follow
+    the input order if ``raw`` was read with positions, else the order in which Spark scans it.
     """
+    if not order and set(POSITION) <= set(raw.columns):
+        return number_in_files(keep(clean(raw, POSITION), "ordered"), *POSITION, "id").select(*CATALOG_COLUMNS)
     used = [c for c in (resolve_column(raw, a) for a in fixed.COLUMN_ALIASES.values()) if c]
     rows = raw
     if order:

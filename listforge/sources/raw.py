@@ -3,14 +3,20 @@
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+# File and row number of a raw row; together they give the input order.
+POSITION = ["_file", "_row"]
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet",
-             splits: Sequence[str] | None = None) -> DataFrame:
+             splits: Sequence[str] | None = None, positions: bool = False) -> DataFrame:
     """Read an exported table; of several splits (sub-folders) the first named one is used.
 
     CSV columns are read as text, JSON scalars too (``primitivesAsString``): the
-    cleaners decide what a value means.
+    cleaners decide what a value means. ``positions`` adds the :data:`POSITION` columns (Parquet only), from
+    which an ingest numbers the rows in input order without sorting.
     """
     source = f"{path.rstrip('/')}/{splits[0]}" if splits else path
     reader = spark.read.format(fmt)
@@ -18,7 +24,10 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet",
         reader = reader.options(header=True, inferSchema=False, multiLine=False, escape='"')
     elif fmt == "json":
         reader = reader.options(primitivesAsString=True)
-    return reader.load(source)
+    table = reader.load(source)
+    if not positions:
+        return table
+    return table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def resolve_column(df: DataFrame, candidates: Sequence[str]) -> str | None:

@@ -35,6 +35,18 @@ def test_scan_order_ids_are_dense(raw):
     assert sorted(r.id for r in ingest.clean_catalog(raw.repartition(3)).collect()) == [1, 2, 3]
 
 
+def test_input_order_ids(spark, tmp_path):
+    names = [f"n{i:03d}" for i in range(300)]
+    for part in range(3):  # later files are larger, so Spark scans them first
+        rows = names[[0, 10, 60][part]:[10, 60, 300][part]]
+        spark.createDataFrame([(n,) for n in rows], "name string").coalesce(1).write.parquet(str(tmp_path / "raw" / f"part={part}"))
+    raw = read_raw(spark, str(tmp_path / "raw"), positions=True)
+    got = ingest.clean_catalog(raw)
+    assert [r.name for r in got.orderBy("id").collect()] == names
+    assert [r.id for r in got.orderBy("id").collect()] == list(range(1, 301))
+    assert "Exchange rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_numeric_sources(spark):
     df = spark.createDataFrame([("A", 4.5, 300), ("B", float("nan"), -700), ("C", 7.0, None)], "name string, rating double, cost int")
     got = [tuple(r)[1:2] + tuple(r)[4:] for r in ingest.clean_catalog(df, ["name"]).orderBy("id").collect()]

@@ -8,6 +8,7 @@ from listforge.functions import messages
 from listforge.plans import recommend, scoring, shortlist, views
 from listforge.sources import write_payload
 from listforge.sources.schema import CATALOG, RESPONSE
+from listforge.sources.shared import keep
 from tests import samples
 
 
@@ -70,12 +71,12 @@ CATALOG_ROWS = [
 @pytest.fixture(scope="module")
 def ask(spark):
     catalog = spark.createDataFrame(CATALOG_ROWS, CATALOG)
-    cells = shortlist.best_cells(catalog).cache()
+    cells = keep(shortlist.best_cells(catalog))
 
     def run(responses, location="btm", **options):
         request = spark.createDataFrame([(1, location, "CAFE", 0.0, "medium")], samples.REQUEST_SCHEMA)
         rows = [(1, *r) if len(r) == 3 else (1, *r, None) for r in responses]
-        return recommend.answers(request, cells, spark.createDataFrame(rows, RESPONSE), **options)
+        return keep(recommend.answers(request, cells, spark.createDataFrame(rows, RESPONSE), **options))
 
     return run
 
