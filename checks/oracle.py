@@ -184,6 +184,11 @@ def all_sql() -> dict[str, str]:
         "clean_catalog": _with(f"select {_CAT_COLUMNS} from cat", "cat"),
         "clean_catalog_aliases": _with(f"select {_CAT_COLUMNS} from cat", "cat"),
         "clean_catalog_lineitem": _with(f"select {_CAT_COLUMNS} from lcat", "lcat"),
+        # The file holds its rows in key order.
+        "clean_catalog_input_order": (
+            f"select *, {_TIER} as budget from (select row_number() over (order by p_partkey) as id, trim(p_name) as name, "
+            f"{_title('p_brand')} as location, {_title('p_type')} as cuisines, cast(case when p_size between 0 and 5 then p_size end as double) as rating, "
+            "abs(p_retailprice) as cost_for_two from part)"),
         "clean_catalog_defaults": _with(
             f"select id, 'Unknown' as name, location, {cuisines} as cuisines, cast(null as double) as rating, "
             "cast(null as double) as cost_for_two, cast(null as varchar) as budget from cat", "cat"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from listforge.functions import messages, numbers, text
 from listforge.operators import predicates
 from listforge.plans import funnel, ingest, options, quality, recommend, requests, scoring, shortlist, views
-from listforge.sources import read_catalog, write_catalog
+from listforge.sources import read_catalog, read_raw, write_catalog
 from listforge.sources.shared import shared_dir
 
 from .tables import Tables, tables
@@ -63,6 +63,14 @@ def clean_catalog_defaults(t: Tables):
     return _flat(ingest.clean_catalog(t.raw_listings().drop("name", "rate", "cost"), ["src_key"]), "cuisines")
 
 
+@query
+def clean_catalog_input_order(t: Tables):
+    """Ids by file position, and numeric source columns."""
+    raw = read_raw(t.spark, f"{t.dir}/part.parquet", positions=True).withColumnsRenamed({
+        "p_name": "name", "p_brand": "area", "p_type": "cuisine", "p_size": "rating", "p_retailprice": "avg_cost"})
+    return _flat(ingest.clean_catalog(raw), "cuisines")
+
+
 @query
 def catalog_roundtrip(t: Tables):
     path = f"{shared_dir(t.spark)}/listforge/roundtrip-{uuid.uuid4().hex}"

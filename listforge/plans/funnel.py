@@ -68,26 +68,22 @@ def filter_funnel_batch(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         asked.select("place", "dish").distinct().join(places, "place").join(by_dish, ["at", "dish"])
         .groupBy("place", "dish", "rating", "budget").agg(F.sum("n").alias("n"))
     )
-    per_dish = by_wish.groupBy("place", "dish").agg(F.sum("n").alias("n_cuisine"))
-
     keys = ["place", "dish", "min_rating", "budget"]
-    counted = by_wish.filter(F.col("rating").isNotNull()).select(
-        "place", "dish", F.col("rating").alias("mark"), F.lit(0).alias("kind"), "budget", "n")
+    counted = by_wish.select("place", "dish", F.col("rating").alias("mark"), F.lit(0).alias("kind"), "budget", "n")
     wanted = asked.select(*keys).distinct().select(
         "place", "dish", F.col("min_rating").alias("mark"), F.lit(1).alias("kind"), "budget", F.lit(0).cast("bigint").alias("n"))
-    # From the best rating down; at equal marks the counts come before the thresholds.
-    down = Window.partitionBy("place", "dish").orderBy(F.desc("mark"), "kind") \
-        .rowsBetween(Window.unboundedPreceding, 0)
+    # From the best rating down, unrated last; at equal marks the counts come before the thresholds.
+    group = Window.partitionBy("place", "dish")
+    down = group.orderBy(F.desc("mark"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     tier_sum = lambda t: F.sum(F.when(F.col("budget") == t, F.col("n")).otherwise(F.lit(0))).over(down).alias(f"upto_{t}")
     running = counted.unionByName(wanted).select(
-        "place", "dish", "mark", "kind", "budget",
+        "place", "dish", "mark", "kind", "budget", F.sum("n").over(group).alias("n_cuisine"),
         F.sum("n").over(down).alias("n_rating"), *[tier_sum(t) for t in fixed.TIERS],
     ).filter(F.col("kind") == 1)
     n_budget = F.coalesce(*[F.when(F.col("budget") == t, F.col(f"upto_{t}")) for t in fixed.TIERS])
-    per_wish = (
-        running.select("place", "dish", F.col("mark").alias("min_rating"), "budget", "n_rating", n_budget.alias("n_budget"))
-        .join(per_place, "place", "left").join(per_dish, ["place", "dish"], "left")
-    )
+    per_wish = running.select(
+        "place", "dish", F.col("mark").alias("min_rating"), "budget", "n_cuisine", "n_rating", n_budget.alias("n_budget"),
+    ).join(per_place, "place", "left")
     answered = spread_join(asked, per_wish, keys, "request_id").withColumn("n_all", n_all)
     counts = answered.select("request_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
     return counts.select("request_id", *COUNTS, _empty_stage())
