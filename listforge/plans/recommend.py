@@ -15,7 +15,7 @@ from ..functions.text import strip
 from ..sources.schema import RESPONSE
 from ..sources.shared import keep
 from .scoring import Scorer, outcomes, score
-from .shortlist import best_cells, with_shortlist
+from .shortlist import best_cells, wish_lists, wishes, with_shortlist
 
 
 def _fallback(explanation) -> Column:
@@ -31,14 +31,14 @@ def _fallback(explanation) -> Column:
 
 def answers(requests: DataFrame, cells: DataFrame, responses: DataFrame,
             max_retries: int = fixed.MAX_RETRIES, strict_numbers: bool = False,
-            word_boundary: bool = False) -> DataFrame:
+            word_boundary: bool = False, lists: DataFrame | None = None) -> DataFrame:
     """Per valid request: ``kind``, proposals as answered, ``recs``, ``items`` and ``summary``.
 
     ``kind`` is ``scored`` or the fallback taken: ``empty`` (no candidates), ``error`` (failure outside the
     attempts), ``unavailable`` (no responses at all), ``failed`` (no attempt was valid).
     """
     outcome = outcomes(responses, max_retries).withColumnsRenamed({"summary": "said", "recommendations": "proposed"})
-    joined = with_shortlist(requests, cells, extra=outcome.withColumn("seen", F.lit(True)))
+    joined = with_shortlist(requests, cells, extra=outcome.withColumn("seen", F.lit(True)), lists=lists)
     typed = joined.withColumns({
         "kind": F.when(F.size("shortlist") == 0, "empty")
         .when(F.col("outer_error"), "error")
@@ -95,18 +95,19 @@ def answers(requests: DataFrame, cells: DataFrame, responses: DataFrame,
 
 
 def recommend(requests: DataFrame, catalog: DataFrame | None, scorer: Scorer | None = None,
-              cells: DataFrame | None = None) -> DataFrame:
+              cells: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """The whole way for a table of valid requests; without a scorer the rating fallback answers.
 
     ``cells`` built before from the catalog take its place.
     """
     cells = keep(best_cells(catalog), "cells") if cells is None else cells
     if scorer is None:
-        responses = requests.sparkSession.createDataFrame([], RESPONSE)
-    else:
-        # Kept, since a scorer call is neither cheap nor repeatable.
-        responses = keep(score(with_shortlist(requests, cells), scorer), "responses")
-    return answers(requests, cells, responses)
+        return answers(requests, cells, requests.sparkSession.createDataFrame([], RESPONSE))
+    # Two uses: the prompts and the answers. One row per distinct wish is far less than one per request.
+    lists = keep(wish_lists(wishes(requests), cells), "lists")
+    # Kept, since a scorer call is neither cheap nor repeatable.
+    responses = keep(score(with_shortlist(requests, cells, lists=lists), scorer, tasks), "responses")
+    return answers(requests, cells, responses, lists=lists)
 
 
 def valid_recs(answered: DataFrame) -> DataFrame:

@@ -95,14 +95,16 @@ def wish_lists(asked: DataFrame, cells: DataFrame, k: int = fixed.SHORTLIST_SIZE
 
 
 def with_shortlist(requests: DataFrame, cells: DataFrame, k: int = fixed.SHORTLIST_SIZE,
-                   extra: DataFrame | None = None) -> DataFrame:
+                   extra: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
     """Valid requests plus ``shortlist``: an array of at most ``k`` listings, empty without a match.
 
-    ``extra`` holds further columns by ``request_id``; they join the narrow rows first.
+    ``extra`` holds further columns by ``request_id``; they join the narrow rows first. ``lists`` takes
+    :func:`wish_lists` of these requests where they are kept for several uses.
     """
     asked = wishes(requests)
     rows = asked if extra is None else asked.join(extra, "request_id", "left")
-    joined = spread_join(rows, wish_lists(asked, cells, k), WISH, "request_id", counted=asked)
+    lists = wish_lists(asked, cells, k) if lists is None else lists
+    joined = spread_join(rows, lists, WISH, "request_id", counted=asked)
     within = F.filter("listings", lambda x: x["rating"] >= F.col("min_rating"))
     return joined.withColumn("shortlist", F.coalesce(within, F.array())).drop("listings", "place", "dish")
 

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from listforge.plans.funnel import filter_funnel, filter_funnel_batch
 from listforge.plans.shortlist import shortlist_batch, shortlist_one
