@@ -1,28 +1,14 @@
 """Tables kept between the stages of a job, in the folder all executors share."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder; on a cluster
-    a machine-local folder would be invisible to the other executors.
-    """
+    """The folder named by ``spark.checkpoint.dir``, else one in the warehouse, which executors share as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="listforge-")
-    return _local_dirs[app]
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/listforge-kept"
 
 
 def keep(df: DataFrame, label: str = "stage") -> DataFrame:
