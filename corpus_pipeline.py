@@ -1,12 +1,63 @@
-"""The corpus pipeline: documents pass the stages in order; each stage works on all its predecessor kept."""
+"""The corpus pipeline: documents pass the stages in order; each stage works on all its predecessor kept.
 
-STAGES = []
+Toxic documents go first, then exact and near copies; the rest is mixed by source to target weights (documents
+that the mix takes twice appear twice, others not at all) and packed into sequences. Every stage but the last returns
+the columns of documents, the last one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+"""
+
+from pyspark.sql import functions as F
+
+from listforge.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from listforge.llm.common import table
+from listforge.llm.queries import vocabulary_path
+from listforge.sources.shared import keep
+
+
+def toxic_filter(spark, docs, sf_dir):
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark, docs, sf_dir):
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mixing.mixture(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    pieces = packing.token_pieces(docs, vocabulary_path())
+    return packing.pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("toxicity", toxic_filter),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The model's scores, the links' estimates and the tokens are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def run(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = keep(docs, name.replace(" ", "-"))
+    return docs
+
+
 def pipeline_queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def pipeline_sql() -> dict:
-    return {}
+    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
