@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, toxicity
+from . import exact_dedup, html, mixing, near_dedup, nearest, packing, quality, secrets, sharding, toxicity
 from .common import held_out, table
 
 #: The vocabulary that op4 and the pipeline count tokens with.
@@ -26,11 +26,38 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), quality.score(forest, docs["text"]).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary_path())
     return packing.pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", secrets.of_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.concat("base", "added")).alias("spans"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -43,7 +70,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
-QUERIES = [op1_exact_dedup, op4_best_fit_packing, op8_toxicity, op9_source_mixing, op10_minhash_near_dedup]
+QUERIES = [op1_exact_dedup, op2_quality, op3_sharding, op4_best_fit_packing, op5_secret_scan, op6_html_extraction, op7_nearest_neighbours, op8_toxicity, op9_source_mixing, op10_minhash_near_dedup]
 
 SQL = {
     "op1_exact_dedup": """
@@ -51,6 +78,14 @@ SQL = {
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
           doc_id = max(doc_id) over same as kept, sha256(text) as text_sha256
         from t window same as (partition by text)""",
+    "op7_nearest_neighbours": """
+        with v as (select vec_id, cast(embedding as double[]) as x from embeddings
+          where vec_id is not null and list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c)))
+            and list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+        d as (select q.vec_id as query_id, v.vec_id, sqrt(list_reduce(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) as score
+          from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id and len(q.x) = len(v.x)),
+        r as (select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from d)
+        select * from r where rank <= 10""",
 }
 
 
