@@ -1,0 +1,138 @@
+"""Held-out accuracy of the two scores; nearest neighbours against brute force."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from listforge.llm import nearest, quality, toxicity
+
+from .conftest import words
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, make):
+    """Toxic: an insult together with a mention of a group. Bad: symbols, or one word again and again."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(1500):
+        w = words(rng, rng.randint(20, 120))
+        insult, group, bad = rng.random() < 0.4, rng.random() < 0.5, rng.random() < 0.3
+        if insult:
+            w[rng.randrange(len(w))] = rng.choice(("grimwort", "slobbert", "mucklout"))
+        if group:
+            w[rng.randrange(len(w))] = rng.choice(("zendians", "quarlians"))
+        if bad:
+            w = [x + "###" for x in w] if rng.random() < 0.5 else w + ["spam"] * len(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(not bad), int(insult and group)))
+    return make(*rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def held_out_errors(spark, docs, labels, score, label, threshold):
+    from listforge.llm.common import held_out
+
+    rows = docs.withColumn("p", score(docs["text"])).filter(held_out(docs["doc_id"])).join(labels, "doc_id").collect()
+    assert len(rows) > 200
+    return sum((r.p >= threshold) != bool(r[label]) for r in rows) / len(rows)
+
+
+def test_toxicity_needs_both_words(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    assert held_out_errors(spark, docs, labels, lambda t: toxicity.score(model, t), "toxic", 0.5) < 0.03
+    terms = toxicity._Terms(model.index())
+    both, insult, group, none = model.scores(["the grimwort of zendians", "a grimwort here", "zendians live here", ""], terms)
+    assert both > 0.5 > max(insult, group, none)
+
+
+def test_quality(spark, labelled):
+    docs, labels = labelled
+    forest = quality.train(docs, labels)
+    assert held_out_errors(spark, docs, labels, lambda t: quality.score(forest, t), "quality", 0.3) < 0.03
+
+
+def test_forest_traversal():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    forest = quality.fit(x, y)
+    assert ((forest.scores(x) > 0.5) == y).mean() > 0.98
+    one = forest.scores(x[:1])[0]
+    total = forest.bias
+    for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value, strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + 1 + (x[0, feature[node]] > threshold[node])
+        total += value[node - len(feature)]
+    assert one == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_interactions_by_pairs():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
+    rows = [np.array(r, np.int64) for r in ([], [2], [0, 3], [1, 2, 4, 5])]
+    want = [0.3 + sum(model.weights[r]) + sum(model.factors[a] @ model.factors[b] for i, a in enumerate(r) for b in r[:i]) for r in rows]
+    assert model.logits(rows) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("labels,score", [([], 0.0), ([(1, 1, 1)], None), ([(None, 0, None), (1, None, 0), (2, 1, 0), (2, 0, 1)], None)])
+def test_few_labels(spark, odd, labels, score):
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tox, qual = toxicity.train(odd, table), quality.train(odd, table)
+    rows = odd.select(toxicity.score(tox, odd["text"]).alias("t"), quality.score(qual, odd["text"]).alias("q")).collect()
+    assert len(rows) == odd.count() and all(0 <= r.t <= 1 and 0 <= r.q <= 1 for r in rows)
+    if score is not None:
+        assert max(r.t for r in rows) < 1e-6
+        assert toxicity.drop_toxic(odd, table).count() == odd.count()
+        assert toxicity.drop_toxic(odd.limit(0), table).count() == 0
+
+
+def test_scores_of_clashing(spark, clashing, labelled):
+    model, forest = toxicity.train(*labelled), quality.train(*labelled)
+    out = clashing.withColumn("t", toxicity.score(model, clashing["text"])).withColumn("q", quality.score(forest, clashing["text"])).collect()
+    assert all(0 <= r.t <= 1 and 0 <= r.q <= 1 for r in out)
+    assert toxicity.drop_toxic(clashing, labelled[1].limit(0)).columns == clashing.columns
+
+
+def brute_nearest(rows, queries, k):
+    fine = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v) and any(v):
+            v = np.array(v, np.float32).astype(float)
+            fine[i] = min(fine.get(i, v.tolist()), v.tolist())
+    out = {}
+    for q in queries:
+        if q in fine:
+            found = []
+            for i, v in fine.items():
+                if i != q and len(v) == len(fine[q]):
+                    found.append((math.sqrt(sum((a - b) ** 2 for a, b in zip(fine[q], v, strict=True))), i))
+            for rank, (d, i) in enumerate(sorted(found)[:k], 1):
+                out[q, rank] = (i, d)
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 8192])
+def test_nearest(spark, monkeypatch, block):
+    monkeypatch.setattr(nearest, "BLOCK", block)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in rng.normal(size=8) * 10.0 ** rng.integers(-3, 3)]) for i in range(150)]
+    same = rows[7][1]
+    rows += [(200 + i, same) for i in range(30)]  # ties
+    rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] + [1.0] * 7), (303, [None] + [1.0] * 7), (304, [float("inf")] * 8), (None, same), (305, [1.0, 2.0]), (306, [1.0, 2.5]), (307, []), (10, same), (20, rows[20][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "'x' as vector", "2 as length", "3 as rank")
+    queries = [0, 7, 10, 20, 205, 300, 301, 305, 999]
+    got = nearest.nearest(table, table.filter(table.vec_id.isin(queries)), 5).collect()
+    want = brute_nearest(rows, queries, 5)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {k: i for k, (i, _) in want.items()}
+    assert [r.score for r in got] == pytest.approx([want[r.query_id, r["rank"]][1] for r in got], rel=1e-12, abs=1e-12)
+
+
+def test_nearest_empty(spark):
+    table = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert nearest.nearest(table, table).count() == 0
+    one = spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")
+    assert nearest.nearest(one, one).count() == 0
