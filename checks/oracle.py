@@ -1,5 +1,7 @@
 """The DuckDB statement for each query, written from common table expressions."""
 
+from listforge.functions import fixed
+
 from .tables import LINEITEM_LISTINGS, LINEITEM_ORDER, PART_LISTINGS, PLAIN, REQUESTS, SAID, WRONG
 
 _TITLE = (
@@ -30,25 +32,28 @@ def _clean_item(rating):
     return f"round({rating}, 1)"
 
 
-_EXPLAINED = r"regexp_replace(replace(replace(replace({0}, '.0', ''), 'AI: ', ''), 'AI:', ''), '(\d+)\.0', '\1', 'g')"
-_WORD = "case {n} when 1 then 'one' when 2 then 'two' when 3 then 'three' when 4 then 'four' when 5 then 'five' else cast({n} as varchar) end"
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _explained(said):
+    for text in fixed.EXPLANATION_REMOVALS:
+        said = f"replace({said}, {_quoted(text)}, '')"
+    return rf"regexp_replace({said}, {_quoted(fixed.TRAILING_ZERO)}, '\1', 'g')"
 
 
 def _patched(text, n):
     def sub(c, pattern, replacement):
-        return f"regexp_replace({c}, '{pattern}', {replacement}, 'gi')"
-
-    one = sub(text, r"(?:top\s+)?(\d+|two|three|four|five)(\s+.*?recommendations?)", "'one recommendation'")
-    one = sub(one, r"(?:top\s+)?(\d+|two|three|four|five)(\s+.*?matches?)", "'one match'")
-    one = sub(one, r"top\s+(\d+|one|two|three|four|five)", "'top one'")
+        return f"regexp_replace({c}, {_quoted(pattern)}, '{replacement}', 'gi')"
 
-    def many(word):
-        out = sub(text, r"(\d+|one|two|three|four|five)(\s+.*?recommendations?)", rf"'{word}\2'")
-        out = sub(out, r"(\d+|one|two|three|four|five)(\s+.*?matches?)", rf"'{word}\2'")
-        return sub(out, r"top\s+(\d+|one|two|three|four|five)", f"'top {word}'")
+    def count(word):
+        one = word == fixed.COUNT_WORDS[1]
+        found = (fixed.ONE_RECOMMENDATION, fixed.ONE_MATCH) if one else (fixed.MANY_RECOMMENDATIONS, fixed.MANY_MATCHES)
+        said = ("one recommendation", "one match") if one else (rf"{word}\2",) * 2
+        return sub(sub(sub(text, found[0], said[0]), found[1], said[1]), fixed.TOP_COUNT, f"top {word}")
 
-    cases = " ".join(f"when {i} then {many(w)}" for i, w in {2: "two", 3: "three", 4: "four", 5: "five", 6: "6"}.items())
-    return f"case {n} when 0 then {text} when 1 then {one} {cases} end"
+    cases = " ".join(f"when {i} then {count(fixed.COUNT_WORDS.get(i, str(i)))}" for i in range(1, 7))
+    return f"case {n} when 0 then {text} {cases} end"
 
 
 _CTES = {
@@ -78,16 +83,16 @@ _CTES = {
         'AI: rated ' || cast(rating as varchar) || ' for ' || cast(cost_for_two as varchar) as said
         from kinds k join sl s using (request_id) where kind = 'scored' and way in (0, 1, 2) and pos <= 6""", ["kinds", "sl"]),
     "kept": ("select * from (select *, row_number() over (partition by request_id order by rec_pos) as nth from good) where nth <= 5", ["good"]),
-    "backup": ("""select k.request_id, pos as rec_pos, pos as rank, s.id, s.name, s.cuisines, s.rating, s.cost_for_two,
-        case kind when 'unavailable' then 'No AI explanation available.' else 'Highest rated match: ' || cast(rating as varchar) || ' stars.' end as said
+    "backup": (f"""select k.request_id, pos as rec_pos, pos as rank, s.id, s.name, s.cuisines, s.rating, s.cost_for_two,
+        case kind when 'unavailable' then {_quoted(fixed.UNAVAILABLE_EXPLANATION)} else {_quoted(fixed.FAILED_EXPLANATION[0])} || cast(rating as varchar) || {_quoted(fixed.FAILED_EXPLANATION[1])} end as said
         from kinds k join sl s using (request_id) where kind in ('unavailable', 'failed') and pos <= 5""", ["kinds", "sl"]),
     "recs": ("select * exclude (nth) from kept union all select * from backup", ["kept", "backup"]),
     "items": (f"""select request_id, rec_pos, rank, id, name, cuisines, {_clean_item('rating')} as rating, trunc(cost_for_two) as cost_for_two,
-        {_EXPLAINED.format('said')} as explanation from (select *, row_number() over
+        {_explained('said')} as explanation from (select *, row_number() over
         (partition by request_id, lower(trim(name)) order by rec_pos) as seen from recs) where seen = 1""", ["recs"]),
-    "counted": (f"""select k.*, cast(coalesce(m, 0) as integer) as n_items, case kind when 'empty' then 'I couldn''t find any restaurants in ' || location || ' matching your criteria.'
-        when 'unavailable' then 'LLM service is currently unavailable. Displaying raw shortlist.'
-        when 'failed' then 'We had trouble generating personalized recommendations, but here are the top matches based on highest rating.'
+    "counted": (f"""select k.*, cast(coalesce(m, 0) as integer) as n_items, case kind when 'empty' then {_quoted(fixed.EMPTY_SUMMARY[0])} || location || {_quoted(fixed.EMPTY_SUMMARY[1])}
+        when 'unavailable' then {_quoted(fixed.UNAVAILABLE_SUMMARY)}
+        when 'failed' then {_quoted(fixed.FAILED_SUMMARY)}
         else case way when 5 then '{SAID}' else '{SAID}' end end as said
         from kinds k left join (select request_id, count(*) as m from items group by request_id) using (request_id)""", ["kinds", "items"]),
     "told": (f"select request_id, n_items, {_patched('said', 'n_items')} as summary from counted", ["counted"]),
@@ -274,7 +279,7 @@ def all_sql() -> dict[str, str]:
         "recommend_items": _with(
             f"select request_id, rec_pos, rank, id, name, {cuisines} as cuisines, rating, cost_for_two, explanation from items", "items"),
         "clean_explanation": _with(
-            "select id, " + _EXPLAINED.format("('AI: ' || name || ' has 4.05 of 5.00, cost ' || coalesce(cast(cost_for_two as varchar), 'AI:?'))")
+            "select id, " + _explained("('AI: ' || name || ' has 4.05 of 5.00, cost ' || coalesce(cast(cost_for_two as varchar), 'AI:?'))")
             + " as explanation from cat", "cat"),
         "summary_patch": _with(
             "select request_id, n_items, " + _patched("said", "n_items") + " as summary from (select request_id, cast(request_id % 7 as integer) as n_items, "
