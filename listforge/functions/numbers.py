@@ -43,9 +43,9 @@ def clean_cost(c: Column) -> Column:
 
 
 def numeric_cost(c: Column) -> Column:
-    """The same for a source column that is numeric already."""
-    value = c.cast("double")
-    return F.when(~F.isnan(value), F.abs(value))
+    """The same for a source column that is numeric already: the sign falls away, NaN and infinity are no cost."""
+    value = F.abs(c.cast("double"))
+    return F.when(value < float("inf"), value)
 
 
 def assign_budget(cost: Column) -> Column:

@@ -49,14 +49,19 @@ def number(ordered: DataFrame, name: str, kind: str = "bigint") -> DataFrame:
 
 
 def number_in_files(df: DataFrame, file: str, row: str, name: str) -> DataFrame:
-    """Number rows 1..n by file path and row number (from 0, without gaps) in the file: no sort, no shuffle.
+    """Number rows 1..n by file path and row number (from 0) in the file.
 
-    ``df`` should be a kept table, it is read twice. One counter row per file is broadcast.
+    ``df`` should be a kept table, it is read twice. Where every file is whole, the rows before the file and the
+    row number give the id without a sort. Where rows are missing, as after a filter, the rows
+    are sorted by (file, row) and numbered.
     """
-    counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("_n"), F.max(row).alias("_last"))
+    if not counts.filter("_n <> _last + 1").isEmpty():
+        return number_rows(df, file, row, name=name)
     before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(file, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return df.join(F.broadcast(offsets), file).withColumn(name, F.col("_before") + F.col(row) + 1).drop("_before")
+    # One row per file with its path: many files make this too large to broadcast unseen.
+    return df.join(offsets, file).withColumn(name, F.col("_before") + F.col(row) + 1).drop("_before")
 
 
 def number_rows(df: DataFrame, *order: Column | str, name: str = "id", kind: str = "bigint") -> DataFrame:

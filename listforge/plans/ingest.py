@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed, numbers, text
 from ..operators.numbering import kept_in_order, number, number_in_files, range_sorted
 from ..sources.catalog import write_catalog
-from ..sources.raw import POSITION, resolve_column
+from ..sources.raw import CORRUPT, POSITION, resolve_column
 from ..sources.schema import CATALOG_COLUMNS
-from ..sources.shared import keep
+from ..sources.shared import keep, kept_tables
 from .quality import check, quality_report
 
 _NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -86,9 +86,17 @@ class Ingested:
     report: list[Row]
 
 
+def _corrupt_rows(raw: DataFrame) -> int:
+    # Spark reads no such mark alone, without the columns that the record should fill.
+    others = [F.count(F.col(f"`{c}`")) for c in raw.columns if c != CORRUPT]
+    return raw.agg(F.count_if(F.col(CORRUPT).isNotNull()), *others).first()[0]
+
+
 def ingest(raw: DataFrame, path: str, order: Sequence[str] = (), partition_by_budget: bool = False) -> Ingested:
     """Clean, check, publish. The checks run on the kept stage, so nothing is published on failure."""
-    catalog = clean_catalog(raw, order)
-    report = quality_report(catalog).collect()  # one row per rule
-    check(report)
-    return Ingested(write_catalog(catalog, path, partition_by_budget), report)
+    with kept_tables(raw.sparkSession):
+        corrupt = _corrupt_rows(raw) if CORRUPT in raw.columns else None
+        catalog = clean_catalog(raw, order)
+        report = quality_report(catalog, numbered=True, corrupt=corrupt).collect()  # one row per rule
+        check(report)
+        return Ingested(write_catalog(catalog, path, partition_by_budget), report)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.numbers import assign_budget
 from ..operators.numbering import in_order, running_total
-from ..sources.catalog import read_catalog
+from ..sources.catalog import catalog_path, read_catalog
 from ..sources.schema import CATALOG_COLUMNS
 
 
@@ -20,17 +20,25 @@ def _pct(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * 100.0 / whole)
 
 
+def _missing(df: DataFrame, name: str) -> Column:
+    """Null, or NaN in a floating-point column."""
+    c = F.col(f"`{name}`")
+    return c.isNull() | F.isnan(c) if dict(df.dtypes)[name] in ("double", "float") else c.isNull()
+
+
 def missing_columns(df: DataFrame) -> list[str]:
     present = set(df.columns)
     return [c for c in CATALOG_COLUMNS if c not in present]
 
 
-def quality_report(df: DataFrame) -> DataFrame:
+def quality_report(df: DataFrame, numbered: bool = False, corrupt: int | None = None) -> DataFrame:
     """One row per rule: ``rule, severity, value, threshold, failed``.
 
     Errors stop an ingest, warnings are reported, checks are the acceptance thresholds of
-    a finished catalog. All counts come from one pass; id uniqueness is a
-    separate count by id that reads the id column only. Percentages are rounded to 6 places.
+    a finished catalog. All counts come from one pass. Whether ids are unique is a separate count by id that
+    reads the id column only; for ids that the same job has just ``numbered`` 1..n, their range, count and
+    sums in that one pass say it without a shuffle. ``corrupt`` adds a rule with the number of source rows that
+    could not be read. Percentages are rounded to 6 places.
     """
     present = [c for c in CATALOG_COLUMNS if c in df.columns]
     has = set(present).__contains__
@@ -43,14 +51,17 @@ def quality_report(df: DataFrame) -> DataFrame:
         if has("budget") and has("cost_for_two") else F.lit(False)
     facts = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(col(c).isNull()).alias(f"null_{c}") for c in present],
-        count_if("bad_rating", ~col("rating").between(fixed.RATING_MIN, fixed.RATING_MAX), "rating"),
+        *[F.count_if(_missing(df, c)).alias(f"null_{c}") for c in present],
+        count_if("bad_rating", ~F.isnan("rating") & ~col("rating").between(fixed.RATING_MIN, fixed.RATING_MAX), "rating"),
         count_if("no_cuisine", F.coalesce(F.size("cuisines"), F.lit(0)) <= 0, "cuisines"),
         count_if("bad_tier", col("budget").isNotNull() & ~col("budget").isin(fixed.TIERS), "budget"),
         count_if("tier_differs", col("budget").isNotNull() & col("cost_for_two").isNotNull() & tier_differs,
                  "budget", "cost_for_two"),
+        *([_dense_ids(df)] if has("id") and numbered else []),
     )
-    if has("id"):
+    if has("id") and numbered:
+        facts = facts.withColumn("extra_ids", F.when(col("dense") | (col("n_rows") == 0), F.lit(0)).otherwise(col("n_rows")).cast("bigint"))
+    elif has("id"):
         extra = (
             df.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
             # Null ids count as missing values, so each of them is surplus here.
@@ -80,6 +91,8 @@ def quality_report(df: DataFrame) -> DataFrame:
         *[above(f"null_pct_{c}", "warning", _pct(col(f"null_{c}"), n), fixed.NULL_WARN_PCT) for c in present],
         above("rating_out_of_range", "warning", col("bad_rating"), 0),
     ]
+    if corrupt is not None:
+        rules.append(above("corrupt_rows", "warning", F.lit(corrupt), 0))
     if has("budget"):
         rules.append(above("no_tier_pct", "warning", _pct(col("null_budget"), n), fixed.NO_TIER_WARN_PCT))
     if has("cuisines"):
@@ -97,6 +110,14 @@ def quality_report(df: DataFrame) -> DataFrame:
     return facts.select(F.inline(F.array(*rules)))
 
 
+def _dense_ids(df: DataFrame) -> Column:
+    """Whether the ids look like 1..n: count, range and the first two power sums are those of 1..n."""
+    i, n = F.col("id").cast("decimal(18,0)"), F.count(F.lit(1)).cast("decimal(12,0)")
+    filled = (F.count("id") == F.count(F.lit(1))) & (F.min("id") == 1) & (F.max("id") == F.count(F.lit(1)))
+    sums = (F.sum(i) * 2 == n * (n + 1)) & (F.sum(i * i) * 6 == n * (n + 1) * (2 * n + 1))
+    return (filled & sums).alias("dense")
+
+
 def failed_errors(report: Iterable[Row]) -> list[str]:
     return [r["rule"] for r in report if r["severity"] == "error" and r["failed"]]
 
@@ -109,8 +130,8 @@ def check(report: Iterable[Row]) -> None:
 
 
 def null_rates(df: DataFrame) -> DataFrame:
-    """Percentage of nulls per column, all columns in one pass."""
-    shares = df.agg(*[F.round(F.avg(F.col(f"`{c}`").isNull().cast("int")) * 100, 6).alias(c) for c in df.columns])
+    """Percentage of missing values (null or NaN) per column, all columns in one pass."""
+    shares = df.agg(*[F.round(F.avg(_missing(df, c).cast("int")) * 100, 6).alias(c) for c in df.columns])
     return shares.unpivot([], df.columns, "column_name", "null_pct")
 
 
@@ -186,8 +207,8 @@ def catalog_preview(catalog: DataFrame, rows: int = fixed.PREVIEW_ROWS) -> DataF
 
 
 def stored_size(spark: SparkSession, path: str) -> DataFrame:
-    """Number and total size of the Parquet files under ``path``, from the file listing alone."""
-    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(path)
+    """Number and total size of the Parquet files of the newest version, from the file listing alone."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(catalog_path(spark, path))
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.round(F.sum("length") / 1024, 1).alias("size_kb"))
 
 

@@ -1,30 +1,68 @@
-"""The catalog table: Parquet sink and scan."""
+"""The catalog table: versioned Parquet sink and scan."""
+
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import CATALOG, CATALOG_COLUMNS
+from .shared import remove
+
+_MANIFEST = "_published"
+
+
+def _not_nan(c: Column) -> Column:
+    return F.when(~F.isnan(c), c)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the published versions, newest first; the manifest has one row each."""
+    try:
+        found = spark.read.schema("seq bigint, version string").parquet(f"{path.rstrip('/')}/{_MANIFEST}")
+        return [f"{path.rstrip('/')}/{r.version}" for r in found.orderBy(F.desc("seq")).collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
 
+def write_catalog(catalog: DataFrame, path: str, partition_by_budget: bool = False, versions: int = 2) -> int:
+    """Publish ``catalog`` as the newest version under ``path``; returns its rows.
 
-def write_catalog(catalog: DataFrame, path: str, partition_by_budget: bool = False) -> int:
-    """Overwrite ``path``; the row count is observed during the write, not counted again."""
-    rows = Observation("catalog_rows")
-    writer = catalog.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    The version is written beside the others and only then named in the manifest, by one appended file:
+    a write that fails half-way leaves what was published before in place. The newest ``versions`` are left.
+    NaN becomes null. The row count is observed during the write, not counted again.
+    """
+    spark, rows = catalog.sparkSession, Observation("catalog_rows")
+    before = _versions(spark, path)
+    name = f"_version-{len(before):06d}-{uuid.uuid4().hex}"
+    clean = catalog.withColumns({c: _not_nan(F.col(c)) for c, kind in catalog.dtypes if kind in ("double", "float")})
+    writer = clean.observe(rows, F.count(F.lit(1)).alias("n")).write
     if partition_by_budget:
         writer = writer.partitionBy("budget")
-    writer.parquet(path)
+    writer.parquet(f"{path.rstrip('/')}/{name}")
+    newest = spark.range(1).select(F.current_timestamp().cast("double").cast("decimal(30,6)").alias("t"), F.lit(name).alias("version"))
+    newest.select((F.col("t") * 1_000_000).cast("bigint").alias("seq"), "version").write.mode("append").parquet(f"{path.rstrip('/')}/{_MANIFEST}")
+    for old in before[max(0, versions - 1):]:
+        remove(spark, old)
     return rows.get["n"]
 
 
+def catalog_path(spark: SparkSession, path: str) -> str:
+    """Folder of the newest version; ``path`` itself if nothing was published there (a foreign table)."""
+    return next(iter(_versions(spark, path)), path)
+
+
 def read_catalog(spark: SparkSession, path: str, cache: bool = False) -> DataFrame:
-    """Scan a catalog with its seven canonical columns.
+    """Scan the newest version of a catalog, or a foreign Parquet table, with the seven canonical columns.
 
-    A text ``cuisines`` cell becomes an array of one, a null one an empty array. The scan
-    keeps Parquet pushdown and pruning; ``cache`` holds the table over many uses.
+    A text ``cuisines`` cell becomes an array of one, a null one an empty array. NaN in a foreign
+    table becomes null. The scan keeps Parquet pushdown and pruning; ``cache`` holds the table over many uses.
     """
+    folder = catalog_path(spark, path)
     try:
-        found = spark.read.parquet(path)
+        found = spark.read.parquet(folder)
     except AnalysisException as e:
         raise FileNotFoundError(f"no catalog at {path}: run listforge.plans.ingest.ingest first") from e
     columns = dict(found.dtypes)
@@ -35,8 +73,13 @@ def read_catalog(spark: SparkSession, path: str, cache: bool = False) -> DataFra
     if columns["cuisines"] == "string":
         cuisines = F.when(cuisines.isNotNull(), F.array(cuisines))
     cuisines = F.coalesce(F.filter(cuisines, lambda c: c.isNotNull()), F.array().cast("array<string>"))
-    out = found.select(*[
-        cuisines.alias(f.name) if f.name == "cuisines" else F.col(f.name).cast(f.dataType).alias(f.name)
-        for f in CATALOG.fields
-    ])
+
+    def read(field):
+        if field.name == "cuisines":
+            return cuisines.alias("cuisines")
+        c = F.col(field.name).cast(field.dataType)
+        # Published versions hold no NaN, so conditions on their columns reach the scan as they are.
+        return (_not_nan(c) if folder == path and columns[field.name] in ("double", "float") else c).alias(field.name)
+
+    out = found.select(*[read(f) for f in CATALOG.fields])
     return out.cache() if cache else out

@@ -4,24 +4,36 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 # File and row number of a raw row; together they give the input order.
 POSITION = ["_file", "_row"]
+# Holds the text of a record that does not fit the columns.
+CORRUPT = "_corrupt_record"
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "parquet",
-             splits: Sequence[str] | None = None, positions: bool = False) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", splits: Sequence[str] | None = None, positions: bool = False,
+             schema: str | T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Read an exported table; of several splits (sub-folders) the first named one is used.
 
     CSV columns are read as text, JSON scalars too (``primitivesAsString``): the
-    cleaners decide what a value means. ``positions`` adds the :data:`POSITION` columns (Parquet only), from
-    which an ingest numbers the rows in input order without sorting.
+    cleaners decide what a value means. A ``schema`` spares the pass that finds the columns; with it CSV and JSON
+    records that do not fit are marked in the column CORRUPT. CSV records may hold quoted line breaks; a
+    file is then one task, and ``multi_line=False`` splits large files that have none. ``positions`` adds the
+    :data:`POSITION` columns (Parquet only, other formats have no row numbers), from which an ingest numbers
+    the rows in input order without sorting.
     """
+    if positions and fmt != "parquet":
+        raise ValueError(f"{fmt} rows have no positions: number them by an order column")
     source = f"{path.rstrip('/')}/{splits[0]}" if splits else path
     reader = spark.read.format(fmt)
+    if schema is not None:
+        shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if fmt != "parquet" and CORRUPT not in shape.fieldNames():
+            shape = T.StructType([*shape.fields, T.StructField(CORRUPT, T.StringType())])
+        reader = reader.schema(shape).option("columnNameOfCorruptRecord", CORRUPT)
     if fmt == "csv":
-        reader = reader.options(header=True, inferSchema=False, multiLine=False, escape='"')
+        reader = reader.options(header=True, inferSchema=False, multiLine=multi_line, escape='"')
     elif fmt == "json":
         reader = reader.options(primitivesAsString=True)
     table = reader.load(source)

@@ -1,9 +1,14 @@
 """Tables kept between the stages of a job, in the folder all executors share."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[list[str] | None] = ContextVar("kept_tables", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, else one in the warehouse, which executors share as well."""
@@ -11,6 +16,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/listforge-kept"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def kept_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside the block are removed at its end.
+
+    For a job or a micro-batch whose sink has committed by then. Tables kept outside such a block stay until
+    the folder's retention rule takes them.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
 def keep(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
@@ -19,5 +47,8 @@ def keep(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/listforge/{label}-{uuid.uuid4().hex}"
+    paths = _scope.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from ..plans import recommend
 from ..plans.requests import checked
 from ..plans.scoring import Scorer
 from ..sources.payload import write_payload
-from ..sources.shared import keep
+from ..sources.shared import keep, kept_tables
 
 
 def answer_stream(requests: DataFrame, cells: DataFrame, path: str, checkpoint: str,
@@ -22,12 +22,13 @@ def answer_stream(requests: DataFrame, cells: DataFrame, path: str, checkpoint:
     """
 
     def one_batch(batch: DataFrame, n: int) -> None:
-        rows = keep(checked(batch), "requests")
-        valid = rows.filter(F.size("errors") == 0).drop("errors")
-        rejected = rows.filter(F.size("errors") > 0).select("request_id", "errors")
-        answered = recommend.recommend(valid, None, scorer, cells)
-        write_payload(recommend.recommend_payload(answered), f"{path}/answers/batch={n}")
-        write_payload(rejected, f"{path}/rejected/batch={n}")
+        with kept_tables(batch.sparkSession):
+            rows = keep(checked(batch), "requests")
+            valid = rows.filter(F.size("errors") == 0).drop("errors")
+            rejected = rows.filter(F.size("errors") > 0).select("request_id", "errors")
+            answered = recommend.recommend(valid, None, scorer, cells)
+            write_payload(recommend.recommend_payload(answered), f"{path}/answers/batch={n}")
+            write_payload(rejected, f"{path}/rejected/batch={n}")
 
     return (
         requests.writeStream.foreachBatch(one_batch)

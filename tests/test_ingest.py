@@ -1,4 +1,5 @@
 import statistics
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from listforge.plans import ingest, options, quality
 from listforge.sources import read_catalog, read_raw, write_catalog
 from listforge.sources.schema import CATALOG, CATALOG_COLUMNS
-from listforge.sources.shared import shared_dir
+from listforge.sources.shared import keep, kept_tables, shared_dir
 from tests import samples
 
 RAW = [
@@ -209,19 +210,90 @@ def test_verification(spark, tmp_path):
     assert all(parts.values())
 
 
-def test_kept_tables_need_a_shared_folder():
-    class Conf(dict):
-        pass
-
+def test_kept_tables_lie_in_a_shared_folder():
     class Session:
-        conf = Conf()
-
-        class sparkContext:
-            master, applicationId = "yarn", "app"
+        conf = {"spark.sql.warehouse.dir": "/shared/warehouse/"}
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_dir(Session)
-    Session.sparkContext.master = "local[2]"
-    assert shared_dir(Session) == shared_dir(Session)
+    assert shared_dir(Session) == "/shared/warehouse/listforge-kept"
     Session.conf["spark.checkpoint.dir"] = "/shared"
     assert shared_dir(Session) == "/shared"
+
+
+def kept(spark):
+    root = Path(shared_dir(spark)) / "listforge"
+    return {p.name for p in root.iterdir()} if root.exists() else set()
+
+
+def test_a_finished_job_leaves_no_kept_tables(raw, spark, tmp_path):
+    before = kept(spark)
+    ingest.ingest(raw, str(tmp_path / "catalog"), ["seq"])
+    assert kept(spark) == before
+    with pytest.raises(RuntimeError), kept_tables(spark):
+        keep(raw)
+        assert kept(spark) > before
+        raise RuntimeError
+    assert kept(spark) == before
+
+
+def test_failed_publish_leaves_the_old_version(spark, tmp_path):
+    path, catalog = str(tmp_path / "c"), samples.catalog(spark)
+    write_catalog(catalog, path)
+    with pytest.raises(Exception, match="USER_RAISED"):
+        write_catalog(catalog.withColumn("name", F.when(F.col("id") > 250, F.raise_error(F.lit("broken"))).otherwise(F.col("name"))), path)
+    assert read_catalog(spark, path).count() == 300
+
+
+def test_versions_follow_each_other(spark, tmp_path):
+    path, catalog = str(tmp_path / "c"), samples.catalog(spark)
+    for n in (10, 20, 30, 40):
+        assert write_catalog(catalog.filter(F.col("id") <= n), path) == n
+        assert read_catalog(spark, path).count() == n
+    assert len([p for p in Path(path).iterdir() if p.name.startswith("_version")]) == 2
+
+
+def test_nan_and_infinity_are_missing(spark, tmp_path):
+    nan = float("nan")
+    rows = [(1, "A", "Btm", ["Cafe"], nan, nan, None), (2, "B", "Btm", ["Cafe"], 4.0, 300.0, "low"), (3, "C", None, ["Cafe"], 6.0, None, None)]
+    table = spark.createDataFrame(rows, CATALOG)
+    table.write.parquet(str(tmp_path / "foreign"))
+    write_catalog(table, str(tmp_path / "own"))
+    for path in ("foreign", "own"):
+        got = read_catalog(spark, str(tmp_path / path))
+        assert got.filter("rating is null and cost_for_two is null").count() == 1
+    for df in (table, got):
+        assert {r.column_name: r.null_pct for r in quality.null_rates(df).collect()}["rating"] == pytest.approx(33.333333)
+        assert {r.rule: r.value for r in quality.quality_report(df).collect()}["rating_out_of_range"] == 1
+    cost = spark.createDataFrame([(float("inf"),), (float("-inf"),), (nan,), (-7.0,)], "cost double")
+    assert [(r.cost_for_two, r.budget) for r in ingest.clean(cost).collect()] == [(None, None)] * 3 + [(7.0, "low")]
+
+
+def test_csv_records(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('name,rate\n"two\nlines",4.1/5\nb,3/5\nc,1,surplus\n')
+    path = str(tmp_path / "x.csv")
+    assert [r.name for r in read_raw(spark, path, "csv").collect()] == ["two\nlines", "b", "c"]
+    marked = read_raw(spark, path, "csv", schema="name string, rate string")
+    assert [r._corrupt_record is not None for r in marked.collect()] == [False, False, True]
+    done = ingest.ingest(marked, str(tmp_path / "c"))
+    assert {r.rule: r.value for r in done.report}["corrupt_rows"] == 1 and done.rows == 3
+    with pytest.raises(ValueError, match="positions"):
+        read_raw(spark, path, "csv", positions=True)
+
+
+def test_input_order_after_a_filter(spark, tmp_path):
+    spark.range(40).selectExpr("id as seq", "concat('n', id) as name").repartition(3).write.parquet(str(tmp_path / "raw"))
+    raw = read_raw(spark, str(tmp_path / "raw"), positions=True)
+    names = [r.name for r in raw.orderBy("_file", "_row").collect()]
+    for rows, want in ((raw, names), (raw.filter("seq % 3 = 0"), [n for n in names if int(n[1:]) % 3 == 0])):
+        got = {r.id: r.name for r in ingest.clean_catalog(rows).collect()}
+        assert got == {i: n for i, n in enumerate(want, 1)}
+
+
+def test_dense_ids_are_seen_without_a_shuffle(spark):
+    catalog = samples.catalog(spark)
+    facts = {r.rule: r.failed for r in quality.quality_report(catalog, numbered=True).collect()}
+    assert facts == {r.rule: r.failed for r in quality.quality_report(catalog).collect()}
+    twice = catalog.withColumn("id", F.when(F.col("id") == 7, 8).otherwise(F.col("id")))
+    for df in (twice, catalog.filter("id <> 5"), catalog.union(catalog)):
+        assert {r.rule: r.failed for r in quality.quality_report(df, numbered=True).collect()}["duplicate_ids"]
+    plan = quality.quality_report(catalog, numbered=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from checks.queries import all_queries
 from listforge.plans import shortlist
 from listforge.plans.ingest import clean
-from listforge.sources import read_catalog
+from listforge.sources import read_catalog, write_catalog
 from tests import samples
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def plan(df):
 @pytest.fixture(scope="module")
 def catalog(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("catalog"))
-    samples.catalog(spark).write.mode("overwrite").parquet(path)
+    write_catalog(samples.catalog(spark), path)
     return read_catalog(spark, path)
 
 
