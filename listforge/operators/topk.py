@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Slices of a key, at least.
 SLICES = 64
 
 
@@ -33,7 +34,19 @@ def best_per_hot_key(df: DataFrame, keys: Sequence[str], k: int, pos: str = "pos
     """The same in two rounds, for a whole catalog with very many map tasks.
 
     The first round merges slices of each key (by input partition, which leaves the map-side cut
-    as strong as before) on many reducers; the second sees at most ``SLICES * k`` rows a key.
+    as strong as before) on many reducers; the second sees at most ``k`` rows a slice and key.
     """
-    sliced = df.withColumn("_slice", F.spark_partition_id() % SLICES)
+    # A cluster set up for more reducers has more map tasks as well.
+    slices = max(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    sliced = df.withColumn("_slice", F.spark_partition_id() % slices)
     return _best(_best(sliced, [*keys, "_slice"], k, pos).drop("_slice", pos), keys, k, pos)
+
+
+def contending(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """Sorted lists that can hold one of the ``k`` best rows of a key, given each list's best row.
+
+    Fewer than ``k`` distinct rows may come before a list's best one; a row at the head of several
+    lists counts once.
+    """
+    within = Window.partitionBy(*keys).orderBy(F.col("rating").desc(), "id")
+    return df.withColumn("_rank", F.dense_rank().over(within)).filter(F.col("_rank") <= k).drop("_rank")

@@ -10,18 +10,20 @@ The batch plan never pairs requests with listings. It rests on three facts:
   dictionaries of queries and catalog values; cells then join on equality.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators.predicates import budget_is, cuisine_matches, location_matches, rating_at_least
 from ..operators.spread import spread_join
 from ..operators.substring import substring_pairs
-from ..operators.topk import best_per_hot_key, best_per_key
+from ..operators.topk import best_per_hot_key, best_per_key, contending
 from ..sources.schema import CATALOG_COLUMNS
 from ..sources.shared import keep
 
 WISH = ["place", "dish", "budget"]
+# Column metadata that says how many listings a kept table of cells or lists holds per key.
+_SIZE = "shortlist_size"
 LISTING_FIELDS = [c for c in CATALOG_COLUMNS if c not in ("id", "rating", "budget")]
 
 
@@ -43,7 +45,8 @@ def shortlist_one(catalog: DataFrame, location: str, cuisine: str,
 def best_cells(catalog: DataFrame, k: int = fixed.SHORTLIST_SIZE) -> DataFrame:
     """The ``k`` best listings of every (location, cuisine, tier), texts in lower case.
 
-    Independent of the requests, so it can be built once per catalog and used by every batch.
+    Independent of the requests, so it can be built once per catalog and used by every batch. ``cell_pos`` ranks a
+    cell's listings. The table remembers ``k`` and answers no request for more.
     """
     rows = catalog.filter(
         F.col("location").isNotNull() & F.col("budget").isNotNull()
@@ -54,7 +57,18 @@ def best_cells(catalog: DataFrame, k: int = fixed.SHORTLIST_SIZE) -> DataFrame:
         "budget", "rating", "id",
         F.struct(*LISTING_FIELDS).alias("listing"),
     )
-    return best_per_hot_key(rows, ["at", "offers", "budget"], k).drop("pos")
+    best = best_per_hot_key(rows, ["at", "offers", "budget"], k, "cell_pos")
+    return best.withColumn("id", _sized(F.col("id"), "id", k))
+
+
+def _sized(c: Column, name: str, k: int) -> Column:
+    return c.alias(name, metadata={_SIZE: k})
+
+
+def _held(df: DataFrame, column: str, k: int) -> None:
+    held = df.schema[column].metadata.get(_SIZE, 0)
+    if held < k:
+        raise ValueError(f"the kept table holds {held} listings per key, {k} are asked for")
 
 
 def wishes(requests: DataFrame) -> DataFrame:
@@ -67,31 +81,38 @@ def _distinct(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def wish_lists(asked: DataFrame, cells: DataFrame, k: int = fixed.SHORTLIST_SIZE) -> DataFrame:
-    """Per distinct wish (place, dish, budget) its best ``k`` listings as one sorted array.
+    """Per distinct wish (place, dish, budget) its best ``k`` listings as one sorted array, empty without a match.
 
-    ``cells`` should be a written table, it is read three times.
+    ``cells`` should be a written table, it is read several times. A broad text matches very many places and
+    dishes, so lists are first compared by their best row alone: at most ``k`` lists can hold one of the ``k``
+    best, and only these are opened. Ranking moves (rating, id) with the keys; the listing is fetched for the
+    winners at the end.
     """
-    dishes = substring_pairs(_distinct(asked, "dish", "query"), _distinct(cells, "offers", "text"))
-    places = substring_pairs(_distinct(asked, "place", "query"), _distinct(cells, "at", "text"))
-    reach = (
-        asked.select(*WISH).distinct()
-        .join(places.withColumnsRenamed({"query": "place", "text": "at"}), "place")
-    )
+    _held(cells, "id", k)
+    cell = ["at", "offers", "budget"]
+    ranks = cells.select(*cell, "rating", "id")
+    heads = cells.filter(F.col("cell_pos") == 1).select(*cell, "rating", "id")
+    dishes = substring_pairs(_distinct(asked, "dish", "query"), _distinct(cells, "offers", "text")).withColumnsRenamed({"query": "dish", "text": "offers"})
+    places = substring_pairs(_distinct(asked, "place", "query"), _distinct(cells, "at", "text")).withColumnsRenamed({"query": "place", "text": "at"})
+    reach = asked.select(*WISH).distinct().join(places, "place")
     stop = ["at", "dish", "budget"]
     # Only combinations somebody asks for are ranked; join, ranking and the next join share one partitioning.
-    offered = (
-        cells.join(dishes, cells.offers == dishes.text)
-        .select("at", F.col("query").alias("dish"), "budget", "rating", "id", "listing")
-        .join(reach.select(*stop).distinct(), stop, "left_semi")
-    )
-    by_dish = best_per_key(offered, stop, k).drop("pos")
-    best = best_per_key(reach.join(by_dish, stop).drop("at"), WISH, k)
+    offered = contending(heads.join(dishes, "offers").join(reach.select(*stop).distinct(), stop, "left_semi"), stop, k)
+    by_dish = best_per_key(ranks.join(offered.select(*cell, "dish"), cell), stop, k, "stop_pos")
+    stops = contending(by_dish.filter(F.col("stop_pos") == 1).select(*stop, "rating", "id").join(reach, stop), WISH, k)
+    best = best_per_key(by_dish.drop("stop_pos").join(stops.select(*stop, "place"), stop), WISH, k)
+    # One cell of the winner is enough to find its listing.
+    won = best.select(*WISH, "pos", "rating", "id", F.col("at").alias("_at"), F.col("offers").alias("_offers"))
+    source = cells.select(F.col("at").alias("_at"), F.col("offers").alias("_offers"), F.col("budget").alias("_budget"), F.col("id").alias("_id"), "listing")
+    full = won.join(source, (won["_at"] == source["_at"]) & (won["_offers"] == source["_offers"]) & (won["budget"] == source["_budget"]) & (won["id"] == source["_id"]))
     entry = F.struct(
         "pos", "id", F.col("listing.name").alias("name"), F.col("listing.location").alias("location"),
         F.col("listing.cuisines").alias("cuisines"), "rating",
         F.col("listing.cost_for_two").alias("cost_for_two"), "budget",
     )
-    return best.groupBy(*WISH).agg(F.array_sort(F.collect_list(entry)).alias("listings"))
+    lists = full.groupBy(*WISH).agg(F.array_sort(F.collect_list(entry)).alias("listings"))
+    every = asked.select(*WISH).distinct().join(lists, WISH, "left")
+    return every.withColumn("listings", _sized(F.coalesce("listings", F.array()), "listings", k))
 
 
 def with_shortlist(requests: DataFrame, cells: DataFrame, k: int = fixed.SHORTLIST_SIZE,
@@ -99,14 +120,17 @@ def with_shortlist(requests: DataFrame, cells: DataFrame, k: int = fixed.SHORTLI
     """Valid requests plus ``shortlist``: an array of at most ``k`` listings, empty without a match.
 
     ``extra`` holds further columns by ``request_id``; they join the narrow rows first. ``lists`` takes
-    :func:`wish_lists` of these requests where they are kept for several uses.
+    :func:`wish_lists` of these requests where they are kept for several uses; lists of other
+    requests or of fewer listings are refused.
     """
     asked = wishes(requests)
     rows = asked if extra is None else asked.join(extra, "request_id", "left")
     lists = wish_lists(asked, cells, k) if lists is None else lists
+    _held(lists, "listings", k)
     joined = spread_join(rows, lists, WISH, "request_id", counted=asked)
-    within = F.filter("listings", lambda x: x["rating"] >= F.col("min_rating"))
-    return joined.withColumn("shortlist", F.coalesce(within, F.array())).drop("listings", "place", "dish")
+    known = F.coalesce("listings", F.raise_error(F.lit("the lists were built for other requests")).cast(lists.schema["listings"].dataType))
+    within = F.filter(known, lambda x: (x["rating"] >= F.col("min_rating")) & (x["pos"] <= k))
+    return joined.withColumn("shortlist", within).drop("listings", "place", "dish")
 
 
 def shortlist_batch(requests: DataFrame, catalog: DataFrame, cells: DataFrame | None = None,

@@ -1,8 +1,9 @@
 import pytest
 
 from listforge.plans.funnel import filter_funnel, filter_funnel_batch
-from listforge.plans.shortlist import shortlist_batch, shortlist_one
+from listforge.plans.shortlist import best_cells, shortlist_batch, shortlist_one, wish_lists, wishes, with_shortlist
 from listforge.sources.schema import CATALOG_COLUMNS
+from listforge.sources.shared import keep
 from tests import samples
 
 
@@ -72,6 +73,38 @@ def test_batch_carries_whole_listings(spark, catalog):
     assert got.select(*CATALOG_COLUMNS).exceptAll(catalog.join(got.select("id"), "id", "left_semi").select(*CATALOG_COLUMNS)).count() == 0
 
 
+def broad_requests():
+    """One- and two-character texts, which nearly every place and dish holds."""
+    texts = ["a", "n", "ar", "i", "an"]
+    return [(i, place, dish, 0.0, tier) for i, (place, dish, tier) in enumerate(
+        (p, d, t) for p in texts for d in texts for t in ("low", "medium"))]
+
+
+@pytest.mark.parametrize("k", [3, 40, 60])
+def test_broad_wishes(spark, catalog, rows, k):
+    asked = spark.createDataFrame(broad_requests(), samples.REQUEST_SCHEMA)
+    got = {}
+    for r in shortlist_batch(asked, catalog, k=k).orderBy("request_id", "pos").collect():
+        got.setdefault(r.request_id, []).append(r.id)
+    want = {i: samples.brute_shortlist(rows, *wish, k) for i, *wish in broad_requests()}
+    assert got == {i: ids for i, ids in want.items() if ids}
+
+
+def test_kept_cells_and_lists_know_their_size(spark, catalog):
+    asked = samples.requests(spark)
+    cells = keep(best_cells(catalog, 5))
+    with pytest.raises(ValueError, match="5 listings per key, 40"):
+        shortlist_batch(asked, catalog, cells)
+    assert shortlist_batch(asked, catalog, cells, k=5).count() > 0
+    lists = keep(wish_lists(wishes(asked), cells, 5))
+    with pytest.raises(ValueError, match="5 listings per key, 6"):
+        with_shortlist(asked, cells, 6, lists=lists)
+    assert with_shortlist(asked, cells, 5, lists=lists).count() == asked.count()
+    other = spark.createDataFrame([(1, "btm", "a dish that nobody named", 0.0, "low")], samples.REQUEST_SCHEMA)
+    with pytest.raises(Exception, match="other requests"):
+        with_shortlist(other, cells, 5, lists=lists).collect()
+
+
 def brute_funnel(rows, location, cuisine, min_rating, budget):
     a = [r for r in rows if samples.matches(r, location, cuisine)[0]]
     b = [r for r in a if samples.matches(r, location, cuisine)[1]]
