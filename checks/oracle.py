@@ -79,11 +79,11 @@ _CTES = {
         left join (select request_id, count(*) as n from sl group by request_id) using (request_id)""", ["req", "sl"]),
     "kinds": ("""select *, case when n = 0 then 'empty' when way = 7 then 'unavailable' when way in (3, 4, 6) then 'failed' else 'scored' end as kind
         from sized""", ["sized"]),
-    "good": ("""select k.request_id, cast(least(n, 6) - pos + 2 as integer) as rec_pos, pos as rank, s.id, s.name, s.cuisines, s.rating, s.cost_for_two,
+    "good": ("""select k.request_id, cast(least(n, 6) - pos + 2 as integer) as rec_pos, cast(pos as bigint) as rank, s.id, s.name, s.cuisines, s.rating, s.cost_for_two,
         'AI: rated ' || cast(rating as varchar) || ' for ' || cast(cost_for_two as varchar) as said
         from kinds k join sl s using (request_id) where kind = 'scored' and way in (0, 1, 2) and pos <= 6""", ["kinds", "sl"]),
     "kept": ("select * from (select *, row_number() over (partition by request_id order by rec_pos) as nth from good) where nth <= 5", ["good"]),
-    "backup": (f"""select k.request_id, pos as rec_pos, pos as rank, s.id, s.name, s.cuisines, s.rating, s.cost_for_two,
+    "backup": (f"""select k.request_id, pos as rec_pos, cast(pos as bigint) as rank, s.id, s.name, s.cuisines, s.rating, s.cost_for_two,
         case kind when 'unavailable' then {_quoted(fixed.UNAVAILABLE_EXPLANATION)} else {_quoted(fixed.FAILED_EXPLANATION[0])} || cast(rating as varchar) || {_quoted(fixed.FAILED_EXPLANATION[1])} end as said
         from kinds k join sl s using (request_id) where kind in ('unavailable', 'failed') and pos <= 5""", ["kinds", "sl"]),
     "recs": ("select * exclude (nth) from kept union all select * from backup", ["kept", "backup"]),
@@ -271,7 +271,7 @@ def all_sql() -> dict[str, str]:
             "where request_id % 8 in (0, 1, 2, 5)", "req"),
         "valid_recs": _with("select request_id, rec_pos, id as restaurant_id, rank from kept", "kept"),
         "hallucinated_recs": _with(
-            "select request_id, cast(1 as integer) as rec_pos, cast(-1 as bigint) as restaurant_id, cast(9 as integer) as rank "
+            "select request_id, cast(1 as integer) as rec_pos, cast(-1 as bigint) as restaurant_id, cast(9 as bigint) as rank "
             "from kinds where kind = 'scored'", "kinds"),
         "fallback_recs": _with(
             "select k.request_id, kind, id as restaurant_id, rank, said as explanation from kinds k left join backup using (request_id) "

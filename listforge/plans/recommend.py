@@ -23,7 +23,7 @@ def _fallback(explanation) -> Column:
     return F.transform(
         F.slice("shortlist", 1, fixed.MAX_RECOMMENDATIONS),
         lambda x: F.struct(
-            x["pos"].alias("rec_pos"), x["id"].alias("restaurant_id"), x["pos"].alias("rank"),
+            x["pos"].alias("rec_pos"), x["id"].alias("restaurant_id"), x["pos"].cast("bigint").alias("rank"),
             explanation(x).alias("explanation"),
         ),
     )

@@ -43,15 +43,26 @@ def _field(value: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 
 
-def _whole(value: Column, name: str) -> Column:
-    """A whole number, also as ``1.0``, ``"1"`` or ``true``; anything else is null."""
-    kind = _kind_of(_field(value, name))
-    number = parse_number(_field(value, name, "string"))
-    exact = _field(value, name, "string").try_cast("bigint")
+def _text(value: Column) -> Column:
+    return F.when(_kind_of(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _whole(value: Column) -> Column:
+    """A whole number, also as ``1.0``, ``"1"`` or ``true``; anything else is null.
+
+    Numbers beyond 64 bits stop at the last one: no listing has such an id, and such ranks come last.
+    """
+    kind, said = _kind_of(value), F.try_variant_get(value, "$", "string")
+    number, exact = parse_number(said), said.try_cast("bigint")
+    wide = F.when(number < 0, F.lit(_LEAST)).otherwise(F.lit(_MOST))
     return (
         F.when(kind == "BIGINT", exact)
-        .when(kind == "BOOLEAN", _field(value, name, "boolean").cast("bigint"))
-        .when(number == F.floor(number), F.coalesce(exact, number.try_cast("bigint")))
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
+        .when(number == F.floor(number), F.coalesce(exact, number.try_cast("bigint"), wide))
+        .when(number.isNotNull() & (F.abs(number) > 1e15), wide)
     )
 
 
@@ -59,39 +70,47 @@ def _whole(value: Column, name: str) -> Column:
 # response that is exactly one value leaves this mark in second place.
 _END = "listforge end of response"
 
-_ANSWER = "struct<summary:string,recommendations:array<struct<restaurant_id:bigint,rank:int,explanation:string>>>"
+_ANSWER = "struct<summary:string,recommendations:array<struct<restaurant_id:bigint,rank:bigint,explanation:string>>>"
 # Shape of nearly all valid responses; it is read in one step, other shapes field by field.
 _USUAL = "OBJECT<recommendations: ARRAY<OBJECT<explanation: STRING, rank: BIGINT, restaurant_id: BIGINT>>, summary: STRING>"
+# The fields alone: unlike a whole variant, this passes over repeated keys (the last counts) and NaN in other fields.
+_FIELDS = "summary variant, recommendations array<struct<restaurant_id variant, rank variant, explanation variant>>"
 
 
-def _field_by_field(value: Column) -> Column:
+def _answer(summary: Column, entries: Column, field) -> Column:
     """The answer with null for every value of a wrong type."""
-    text = lambda v, name: F.when(_kind_of(_field(v, name)) == "STRING", _field(v, name, "string")).alias(name)
     entry = lambda x: F.struct(
-        _whole(x, "restaurant_id").alias("restaurant_id"),
-        _whole(x, "rank").try_cast("int").alias("rank"),
-        text(x, "explanation"),
-    )
-    return F.struct(
-        text(value, "summary"),
-        F.transform(_field(value, "recommendations", "array<variant>"), entry).alias("recommendations"),
+        _whole(field(x, "restaurant_id")).alias("restaurant_id"),
+        _whole(field(x, "rank")).alias("rank"),
+        _text(field(x, "explanation")).alias("explanation"),
     )
+    return F.struct(_text(summary).alias("summary"), F.transform(entries, entry).alias("recommendations"))
+
+
+def _field_by_field(value: Column) -> Column:
+    return _answer(_field(value, "summary"), _field(value, "recommendations", "array<variant>"), _field)
 
 
 def judged(responses: DataFrame) -> DataFrame:
     """Responses with ``status`` and, if valid, ``summary`` and ``recommendations``.
 
-    ``ok``: a JSON object with a text summary and a list of (id, rank, explanation).
+    ``ok``: a JSON object with a text summary and a list of (id, rank, explanation). Other fields may hold
+    anything, NaN and infinities as well; of repeated keys the last counts.
     ``retry``: not JSON or another shape. ``stop``: an error, or JSON that is no object.
     """
+    closed = F.concat(F.lit("["), "raw", F.lit(f',"{_END}"]'))
     marked = responses.select(
         "request_id", "attempt", (F.col("error").isNotNull() | F.col("raw").isNull()).alias("broken"),
-        F.try_parse_json(F.concat(F.lit("["), "raw", F.lit(f',"{_END}"]'))).alias("parsed"),
-    )
-    parsed = marked.select("request_id", "attempt", "broken", F.when(
-        F.try_variant_get("parsed", "$[1]", "string") == _END, F.try_variant_get("parsed", "$[0]", "variant")).alias("value"))
-    shaped = parsed.withColumn("shape", _kind_of(F.col("value")))
+        F.try_parse_json(closed).alias("parsed"), F.when(F.try_parse_json(closed).isNull(), F.from_json(closed, "array<string>")).alias("texts"))
+    parsed = marked.select(
+        "request_id", "attempt", "broken",
+        F.when(F.try_variant_get("parsed", "$[1]", "string") == _END, F.try_variant_get("parsed", "$[0]", "variant")).alias("value"),
+        F.when((F.size("texts") == 2) & (F.get("texts", F.lit(1)) == _END), F.get("texts", F.lit(0))).alias("other"))
+    shaped = parsed.withColumn("shape", F.coalesce(_kind_of(F.col("value")), F.when(F.col("other").startswith("{"), "OBJECT").when(F.col("other").isNotNull(), "other")))
+    fields = F.from_json("other", _FIELDS)
     read = shaped.withColumn("answer", F.when(
+        F.col("value").isNull(), F.when(F.col("shape") == "OBJECT", _answer(fields["summary"], fields["recommendations"], lambda x, name: x[name]))
+    ).when(
         F.col("shape") == _USUAL, F.try_variant_get("value", "$", _ANSWER)
     ).when(F.col("shape").startswith("OBJECT"), _field_by_field(F.col("value"))))
     summary, recommendations = F.col("answer.summary"), F.col("answer.recommendations")
@@ -101,7 +120,7 @@ def judged(responses: DataFrame) -> DataFrame:
     )
     status = (
         F.when(F.col("broken"), "stop")
-        .when(F.col("value").isNull(), "retry")
+        .when(F.col("shape").isNull(), "retry")
         .when(~F.col("shape").startswith("OBJECT"), "stop")
         .when(complete, "ok")
         .otherwise("retry")
@@ -116,11 +135,12 @@ def outcomes(responses: DataFrame, max_retries: int = fixed.MAX_RETRIES) -> Data
     ``attempt, summary, recommendations`` of that attempt, and ``outer_error`` for a failure outside the
     attempts. An answer with no usable id is still an answer.
     """
-    attempts = judged(responses).filter(F.col("attempt").isNull() | F.col("attempt").between(0, max_retries))
-    valid = F.when(F.col("status") == "ok", F.col("attempt"))
-    per_request = attempts.groupBy("request_id").agg(
-        F.count_if(F.col("attempt").isNull()) .alias("n_outer"),
-        F.min(F.when(F.col("status") == "stop", F.col("attempt"))).alias("stop"),
+    # Attempts beyond the limit do not count, but a request that has only those did fail.
+    counted = F.col("attempt").between(0, max_retries)
+    valid = F.when(counted & (F.col("status") == "ok"), F.col("attempt"))
+    per_request = judged(responses).groupBy("request_id").agg(
+        F.count_if(F.col("attempt").isNull()).alias("n_outer"),
+        F.min(F.when(counted & (F.col("status") == "stop"), F.col("attempt"))).alias("stop"),
         F.min(valid).alias("ok"),
         F.min_by(F.struct("summary", "recommendations"), valid).alias("answer"),
     )

@@ -36,6 +36,11 @@ def test_tiers(spark, cost, want):
 
 
 def test_display_numbers(spark):
-    df = spark.createDataFrame([(4.04, 299.9), (4.25, -1.5), (None, None)], "r double, c double")
+    df = spark.createDataFrame([(4.04, 299.9), (4.25, -1.5), (4.35, 0.0), (0.25, 1.0), (0.35, 7.9), (4.75, 2.0), (5.0, 3.5), (0.0, 0.5), (2.95, 1e6), (None, None)], "r double, c double")
     got = [tuple(r) for r in df.select(numbers.one_decimal(F.col("r")), numbers.whole_number(F.col("c"))).collect()]
-    assert got == [(4.0, 299.0), (4.3, -1.0), (None, None)]
+    assert got == [(4.0, 299.0), (4.2, -1.0), (4.3, 0.0), (0.2, 1.0), (0.3, 7.0), (4.8, 2.0), (5.0, 3.0), (0.0, 0.0), (3.0, 1e6), (None, None)]
+
+
+def test_one_decimal_of_all_hundredths(spark):
+    df = spark.range(501).select((F.col("id") / 100).alias("r"))
+    assert [r[1] for r in df.select("r", numbers.one_decimal(F.col("r"))).collect()] == [float(f"{i / 100:.1f}") for i in range(501)]

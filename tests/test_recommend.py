@@ -21,6 +21,11 @@ STATUS = [
     (GOOD, "ok"), ('{"summary": "x", "recommendations": []}', "ok"), (f"  {GOOD}\n", "ok"),
     ('{"summary": "x", "recommendations": [], "more": [1]}', "ok"),
     (answer([("7", 1.0, "x")]), "ok"), (answer([(True, "2", "x")]), "ok"),
+    (answer([(1, 2**40, "x")]), "ok"), (answer([(2**70, 1, "x")]), "ok"), (answer([(-(2**70), 2**80, "x")]), "ok"),
+    (GOOD[:-1] + ', "confidence": NaN}', "ok"), (GOOD[:-1] + ', "summary": "again"}', "ok"), (GOOD[:-1] + ', "summary": 5}', "retry"),
+    (GOOD[:-1] + ', "more": {"x": [Infinity, -Infinity]}}', "ok"), (GOOD[:-1] + ', "confidence": NaN} bye', "retry"), (f"[{GOOD[:-1]}, \"a\": NaN}}]", "stop"),
+    ('{"summary": "x", "recommendations": [{"rank": 1, "rank": 2, "restaurant_id": 1, "explanation": "x"}]}', "ok"),
+    ('{"summary": "x", "recommendations": [{"rank": NaN, "restaurant_id": 1, "explanation": "x"}]}', "retry"), ("NaN", "stop"),
     ("plain text", "retry"), ("", "retry"), (GOOD + " bye", "retry"), (GOOD + "}", "retry"), (GOOD + "]", "retry"),
     (GOOD + "," + GOOD, "retry"), (GOOD + '}, "b": {"a": 1', "retry"), (GOOD + "], [1", "retry"), ("{'summary': 1}", "retry"),
     ('{"summary": "x"}', "retry"), ('{"recommendations": []}', "retry"), ('{"summary": 1, "recommendations": []}', "retry"),
@@ -49,10 +54,17 @@ def test_coerced_numbers(spark):
     assert [(r.restaurant_id, r.rank) for r in recs] == [(7, 1), (1, 2)]
 
 
+def test_wide_numbers_and_repeated_keys(spark):
+    rows = [answer([(2**70, 2**40, "x"), (5, 2**90, "y")]), '{"summary": "a", "summary": "b", "recommendations": [{"rank": 1, "rank": 2, "restaurant_id": 3, "explanation": "x"}]}']
+    got = scoring.judged(spark.createDataFrame([(i, 0, raw, None) for i, raw in enumerate(rows)], RESPONSE)).orderBy("request_id").collect()
+    assert [(r.restaurant_id, r.rank) for r in got[0].recommendations] == [(2**63 - 1, 2**40), (5, 2**63 - 1)]
+    assert got[1].summary == "b" and [(r.restaurant_id, r.rank) for r in got[1].recommendations] == [(3, 2)]
+
+
 @pytest.mark.parametrize("attempts,want", [
     ([(0, GOOD)], 0), ([(0, "no"), (1, GOOD)], 1), ([(0, "no"), (1, "no"), (2, GOOD)], 2), ([(0, "no"), (1, "no"), (2, "no")], None),
     ([(0, None), (1, GOOD)], None), ([(0, "[]"), (1, GOOD)], None), ([(0, "no"), (1, "null"), (2, GOOD)], None),
-    ([(0, "no"), (1, "no"), (2, "no"), (3, GOOD)], None), ([(1, GOOD), (0, "no"), (2, "[]")], 1)])
+    ([(0, "no"), (1, "no"), (2, "no"), (3, GOOD)], None), ([(7, GOOD)], None), ([(1, GOOD), (0, "no"), (2, "[]")], 1)])
 def test_first_valid_attempt(spark, attempts, want):
     df = spark.createDataFrame([(1, n, raw, None) for n, raw in attempts], RESPONSE)
     assert [r.attempt for r in scoring.first_valid_attempt(df).collect()] == ([] if want is None else [want])
