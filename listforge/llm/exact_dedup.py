@@ -8,10 +8,6 @@ from .common import BROADCAST_ROWS, keep
 PREFIX = 64
 
 
-def _repeated(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").drop("_rows")
-
-
 def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix: int = PREFIX) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, and the expressions of ``carry``.
 
@@ -44,6 +40,7 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix:
     rows = keep(marked.select("doc_id", "_length", "_prefix", "_full", *carry), "hashed")
     groups = (rows.filter("_full is not null").groupBy("_length", "_full")
               .agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"))
+    groups = keep(groups, "groups")  # a join of two scans splits a group with very many rows
     # Settled rows differ in _prefix, so that their null hash does not bring them together.
     joined = (rows.withColumn("_key", F.coalesce("_full", F.unhex(F.hex("_prefix"))))
               .join(groups.withColumnRenamed("_full", "_key"), ["_length", "_key"], "left"))
