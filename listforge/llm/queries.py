@@ -72,6 +72,36 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [op1_exact_dedup, op2_quality, op3_sharding, op4_best_fit_packing, op5_secret_scan, op6_html_extraction, op7_nearest_neighbours, op8_toxicity, op9_source_mixing, op10_minhash_near_dedup]
 
+def _secrets_sql() -> str:
+    """Positions from matches and the gaps between them, windows one by one; DuckDB's patterns have no look-behind."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    classes = secrets.CLASSES
+    kinds = [("assign", secrets.ASSIGN, 2, 8), ("access", secrets.ACCESS, 0, 0), ("hex", secrets.HEX, 0, 0),
+             ("hex_entropy", "[A-Za-z0-9]{20,}", 0, 0), ("base64_entropy", classes["base64_entropy"][0], 0, 0)]
+    found = []
+    for k, (kind, pattern, group, least) in enumerate(kinds):
+        found.append(f"""select doc_id, {k} as ord, '{kind}' as kind, ends[i] - length(m[i]) as s, ends[i] as e, m[i] as said from (
+            select *, unnest(range(1, len(m) + 1)) as i from (
+              select *, list_transform(range(1, len(m) + 1), lambda i: cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) as bigint)) as ends
+              from (select doc_id, regexp_extract_all(text, p, 0) as m, regexp_extract_all(text, p, {group}) as v, string_split_regex(text, p) as gaps
+                from (select doc_id, coalesce(text, '') as text, {quoted(pattern)} as p from documents) where regexp_matches(text, p))))
+            where length(v[i]) >= {least}""")
+    allowed = " or ".join(f"regexp_matches(said, {quoted(a)})" for a in secrets.ALLOW)
+    bits = f"case ord when 3 then {classes['hex_entropy'][2]} else {classes['base64_entropy'][2]} end - 1e-9"
+    n = secrets.WINDOW
+    return f"""with f as materialized ({" union all ".join(found)}),
+        b as (select * from f where ord < 3),
+        c as (select * from f where ord > 3 or ord = 3 and regexp_full_match(said, '[0-9A-Fa-f]+')),
+        h as (select *, list_filter(range(1, length(said) - {n - 2}), lambda i: list_entropy(string_split(said[i:i + {n - 1}], '')) >= {bits}) as hot from c where not ({allowed})),
+        a as (select doc_id, ord, kind, s + hot[1] - 1 as s, s + hot[-1] + {n - 1} as e from h where len(hot) > 0),
+        o as (select doc_id, ord, kind, s, e from b union all
+          select doc_id, ord, kind, s, e from a where not exists (select 1 from b where b.doc_id = a.doc_id and b.s < a.e and a.s < b.e)),
+        g as (select doc_id, count(*) filter (ord = 0) as n_assign, count(*) filter (ord = 1) as n_access, count(*) filter (ord = 2) as n_hex,
+          string_agg(kind || ':' || s || ':' || e, ',' order by s, ord) filter (ord < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, ord) as spans from o group by doc_id)
+        select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+          sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents d left join g using (doc_id)"""
+
+
 SQL = {
     "op1_exact_dedup": """
         with t as (select doc_id, coalesce(text, '') as text from documents)
@@ -86,9 +116,22 @@ SQL = {
           from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id and len(q.x) = len(v.x)),
         r as (select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from d)
         select * from r where rank <= 10""",
+    "op10_minhash_near_dedup": r"""
+        with recursive w as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, list_distinct(case when len(w) = 0 then []
+            when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+        u as (select doc_id, unnest(s) as x from s),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
+        l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * c >= 85 * (len(x.s) + len(y.s) - c)),
+        r as (select doc_id as a, doc_id as b from s
+          union select r.a, n.b from r join (select a, b from l union all select b, a from l) n on n.a = r.b)
+        select s.doc_id, len(any_value(s.s)) as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept
+        from s join r on r.a = s.doc_id group by s.doc_id""",
+    "op5_secret_scan": _secrets_sql(),
 }
 
-
 def llm_queries() -> dict:
     return {q.__name__: q for q in QUERIES}
 
