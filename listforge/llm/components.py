@@ -22,10 +22,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = _print(state)
     while seen[0]:
         both = state.union(state.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("_w")).select(F.col("u").alias("_n"), F.least("u", "_w").alias("_m"))
+        # Kept before the join: a join of two scans splits a node with very many links.
+        least = keep(both.groupBy("u").agg(F.min("v").alias("_w")).select(F.col("u").alias("_n"), F.least("u", "_w").alias("_m")), "smallest")
         large = both.filter("v > u").join(least, F.col("u") == F.col("_n")).select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
         large = keep(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("_m")).withColumnRenamed("u", "_n")
+        least = keep(large.groupBy("u").agg(F.min("v").alias("_m")).withColumnRenamed("u", "_n"), "smallest")
         small = large.join(least, F.col("u") == F.col("_n"))
         state = keep(small.filter("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
                      .union(least.select("_n", "_m")).distinct(), "small-star")

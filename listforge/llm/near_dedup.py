@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, keep, semi_by, shingle_sets
@@ -15,17 +15,17 @@ WORDS = 5
 PERCENT = 85
 #: Smallest shingle hashes kept per document; paths choose their tokens among them.
 SKETCH = 32
-#: Pairs whose sketches estimate less than this stay unconfirmed: 4 standard errors under the threshold.
-ESTIMATE = 0.6
-TREES = 5
+#: Pairs that share less of their sketches stay unconfirmed: 4 standard errors under what a pair at the threshold shares.
+ESTIMATE = 0.73
+TREES = 4
 #: Tokens chosen per level of a path; its length is the depth of the trees.
 BRANCHES = (2, 2, 1, 1)
 #: Nodes of up to so many classes are compared without branching further.
 LEAF = 48
 #: Rows of one side in a comparison tile of a larger node.
-TILE = 256
-#: Rows, about, that one Python group holds when nodes are compared.
-GROUP_ROWS = 8192
+TILE = 512
+#: Rows and tokens, about, that one Python group holds when nodes are compared.
+GROUP_ROWS, GROUP_TOKENS = 8192, 2_000_000
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -56,10 +56,9 @@ def _full_sets(size: int):
     return run
 
 
-def _estimate(a: str, b: str):
-    """Jaccard similarity from two sketches: the share of the smallest hashes of the union that both have."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.size(least)
+def _alike(a: str, b: str):
+    """Whether two sketches share enough for their sets to be near."""
+    return F.size(F.array_intersect(a, b)) >= ESTIMATE * F.least(F.lit(SKETCH), F.greatest(F.size(a), F.size(b)))
 
 
 def _near(percent: int, inter, n_a, n_b):
@@ -99,19 +98,21 @@ class _Sets:
 
 
 def _children(rows: DataFrame, tokens: int) -> DataFrame:
-    """Rows (node, cls, sketch) one level down: a child node is the hash of its parent and a chosen token."""
+    """Rows one level down: a child node is the hash of its parent and a chosen token."""
     chosen = F.slice(F.array_sort(F.transform("sketch", lambda t: F.xxhash64(t, F.col("node")))), 1, tokens)
     return rows.select("cls", F.explode(chosen).alias("node"))
 
 
 def chosen_paths(classes: DataFrame) -> DataFrame:
-    """Members (node, cls) of all nodes with two classes or more that the trees end in."""
+    """Members (node, cls) of all nodes with two classes or more that the trees end in.
+
+    A path ends at a node of at most LEAF classes or at the last level.
+    """
     seeds = F.explode(F.array(*[F.lit(1000003 * (t + 1)).cast("long") for t in range(TREES)]))
-    rows = classes.select("cls", "sketch", seeds.alias("node"))
-    ended = []
+    rows, ended = classes.select("cls", "sketch", seeds.alias("node")), []
     for level, tokens in enumerate(BRANCHES):
         placed = keep(_children(rows, tokens), "paths")
-        sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+        sizes = keep(placed.groupBy("node").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "node-sizes")
         sized = keep(placed.join(sizes, "node"), "nodes")
         last = level == len(BRANCHES) - 1
         ended.append((sized if last else sized.filter(F.col("_size") <= LEAF)).select("node", "cls"))
@@ -125,61 +126,128 @@ def chosen_paths(classes: DataFrame) -> DataFrame:
     return out
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of one group with near sketches in different components; a tile is all rows of one (node, bu, ba)."""
-    cols = {n: table.column(n).to_numpy(zero_copy_only=False) for n in ("node", "bu", "ba", "left", "right")}
-    cls, comp, sketch = (table.column(n).to_pylist() for n in ("cls", "comp", "sketch"))
-    order = np.lexsort((cols["ba"], cols["bu"], cols["node"]))
-    key = np.stack([cols[n][order] for n in ("node", "bu", "ba")], 1)
-    cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True]) if len(order) else np.zeros(1, int)
-    a, b = [], []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        tile = order[lo:hi]
-        all_tokens = np.concatenate([np.asarray(sketch[i], np.int64) for i in tile])
-        owner = np.repeat(np.arange(len(tile)), [len(sketch[i]) for i in tile])
-        _, token = np.unique(all_tokens, return_inverse=True)
-        has = np.zeros((len(tile), token.max() + 1), np.float32)
-        has[owner, token] = 1
-        sizes = has.sum(1)
-        lefts, rights = (np.flatnonzero(cols[n][tile]) for n in ("left", "right"))
-        common = has[lefts] @ has[rights].T
-        # Shared tokens can only rise over the estimate's: the exact estimate follows in the join.
-        maybe = common >= ESTIMATE * np.minimum(SKETCH, np.maximum(sizes[lefts][:, None], sizes[rights][None, :]))
-        for x, y in zip(*np.nonzero(maybe), strict=True):
-            i, j = tile[lefts[x]], tile[rights[y]]
-            if comp[i] != comp[j]:
-                a.append(min(cls[i], cls[j]))
-                b.append(max(cls[i], cls[j]))
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs with near sketches of different components that share a node.
-
-    A node's largest component needs no comparison in itself: every other class is compared
-    with all classes of the node, in tiles of at most TILE by TILE.
+def _tiles(table: pa.Table):
+    """Row numbers of each tile: all rows of one (node, bu, ba)."""
+    key = np.stack([table.column(n).to_numpy() for n in ("node", "bu", "ba")], 1)
+    order = np.lexsort(key.T)
+    key = key[order]
+    cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True]) if len(order) else [0]
+    return [order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _candidates(table: pa.Table):
+    """For each tile its node and pairs (row left, row right) with alike sketches in different components.
+
+    Of several nodes that a pair shares only the least looks at it, and of two tiles that hold it
+    both ways round only one.
+    """
+    cls, comp, sketch, nodes = (table.column(n).to_pylist() for n in ("cls", "comp", "sketch", "nodes"))
+    node, left, right, loose = (table.column(n).to_numpy(zero_copy_only=False) for n in ("node", "left", "right", "loose"))
+    for tile in _tiles(table):
+        sizes = np.array([len(sketch[i]) for i in tile])
+        _, token, times = np.unique(np.concatenate([np.asarray(sketch[i], np.int64) for i in tile]), return_inverse=True, return_counts=True)
+        # Tokens of one row alone are shared with none.
+        column = np.cumsum(times > 1) - 1
+        both = times[token] > 1
+        has = np.zeros((len(tile), max(1, column[-1] + 1)), np.float32)
+        has[np.repeat(np.arange(len(tile)), sizes)[both], column[token[both]]] = 1
+        known: dict[bytes, int] = {}
+        kind = np.array([known.setdefault(comp[i], len(known)) for i in tile])
+        rank = np.argsort(np.argsort(np.array([cls[i] for i in tile], dtype=object)))
+        own = np.full((len(tile), max(len(nodes[i]) for i in tile)), np.iinfo(np.int64).max)
+        for k, i in enumerate(tile):
+            own[k, : len(nodes[i])] = nodes[i]
+        lefts, rights = np.flatnonzero(left[tile]), np.flatnonzero(right[tile])
+        need = ESTIMATE * np.minimum(SKETCH, np.maximum(sizes[lefts][:, None], sizes[rights][None, :]))
+        x, y = np.nonzero(has[lefts] @ has[rights].T >= need)
+        x, y = lefts[x], rights[y]
+        fine = (kind[x] != kind[y]) & ~(loose[tile][y] & (rank[x] > rank[y]))
+        x, y = x[fine], y[fine]
+        first = np.concatenate([np.where((own[x[at : at + 4096]][:, :, None] == own[y[at : at + 4096]][:, None, :]).any(2), own[x[at : at + 4096]], np.iinfo(np.int64).max).min(1)
+                                for at in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
+        mine = first == node[tile[0]]
+        yield tile, kind, x[mine], y[mine]
+
+
+def _flag(table):
+    """Rows that have a candidate in their tile."""
+    flagged = np.zeros(table.num_rows, bool)
+    for tile, _, x, y in _candidates(table):
+        flagged[tile[x]] = True
+        flagged[tile[y]] = True
+    return table.filter(pa.array(flagged)).select(["node", "bu", "ba", "cls"])
+
+
+def _link(percent: int):
+    def run(table):
+        """Confirmed links of each tile, as many as join what they join: pairs already connected are skipped."""
+        cls, tokens = table.column("cls").to_pylist(), table.column("tokens").to_pylist()
+        a, b = [], []
+        for tile, kind, x, y in _candidates(table):
+            sizes = np.array([len(tokens[i]) for i in tile])
+            _, token = np.unique(np.concatenate([np.asarray(tokens[i], np.int64) for i in tile]), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            has = np.zeros(token.max() + 1, bool)
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            for at in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
+                u, others = x[at[0]], y[at]
+                others = others[kind[others] != kind[u]]
+                if not len(others):
+                    continue
+                has[token[starts[u] : starts[u] + sizes[u]]] = True
+                inter = np.array([np.count_nonzero(has[token[starts[v] : starts[v] + sizes[v]]]) for v in others])
+                has[token[starts[u] : starts[u] + sizes[u]]] = False
+                for v in others[_near(percent, inter, sizes[u], sizes[others])]:
+                    if kind[v] != kind[u]:
+                        kind[kind == kind[v]] = kind[u]
+                        a.append(cls[tile[u]])
+                        b.append(cls[tile[v]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    return run
+
+
+def _compare_nodes(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: "_Sets", percent: int) -> DataFrame:
+    """Confirmed links between different components whose classes share a node.
+
+    A node's largest component needs no comparison in itself: every other class is compared with all classes of
+    the node, in tiles of at most about TILE by TILE. Sketches first flag the rows that have any candidate, so
+    that only these bring their full sets to the tile. Neither step puts out a row per pair.
     """
     placed = keep(members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
     parts = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    nodes = (parts.groupBy("node").agg(F.count(F.lit(1)).alias("_comps"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "comp")).alias("_top"))
-             # Nodes of two are compared already: one was the other's pivot.
-             .filter("_comps > 1 and _all > 2")
-             .select("node", F.col("_top.comp").alias("_main"), F.ceil(F.col("_all") / TILE).cast("long").alias("_na"),
-                     F.ceil((F.col("_all") - F.col("_top._n")) / TILE).cast("long").alias("_nu")))
-    rows = placed.join(nodes, "node").withColumn("_deal", F.xxhash64("cls", F.lit(3)))
-    rows = keep(rows, "to-compare")
+    nodes = keep(parts.groupBy("node").agg(F.count(F.lit(1)).alias("_comps"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "comp")).alias("_top"))
+                 # Nodes of two are compared already: one was the other's pivot.
+                 .filter("_comps > 1 and _all > 2")
+                 .select("node", F.col("_top.comp").alias("_main"), F.ceil(F.col("_all") / TILE).cast("long").alias("_na"),
+                         F.ceil((F.col("_all") - F.col("_top._n")) / TILE).cast("long").alias("_nu")), "open-nodes")
+    rows = placed.join(nodes, "node").withColumn("_deal", F.xxhash64("cls", F.lit(3))).withColumn("loose", F.col("comp") != F.col("_main"))
 
     def every(count):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
 
-    lefts = rows.filter("comp <> _main").select("node", "cls", "comp", F.pmod("_deal", "_nu").alias("bu"), every("_na").alias("ba"),
-                                                F.lit(True).alias("left"), F.lit(False).alias("right"))
-    rights = rows.select("node", "cls", "comp", every("_nu").alias("bu"), F.pmod("_deal", "_na").alias("ba"),
+    rows = keep(rows, "to-compare")
+    lefts = rows.filter("loose").select("node", "cls", "comp", "loose", F.pmod("_deal", "_nu").alias("bu"), every("_na").alias("ba"),
+                                        F.lit(True).alias("left"), F.lit(False).alias("right"))
+    rights = rows.select("node", "cls", "comp", "loose", every("_nu").alias("bu"), F.pmod("_deal", "_na").alias("ba"),
                          F.lit(False).alias("left"), F.lit(True).alias("right"))
-    tiles = keep(lefts.union(rights).groupBy("node", "bu", "ba", "cls", "comp").agg(F.max("left").alias("left"), F.max("right").alias("right")), "tiles")
+    tiles = lefts.union(rights).groupBy("node", "bu", "ba", "cls", "comp", "loose").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    # At most TREES times the branches of all levels.
+    shared = members.groupBy("cls").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    sketched = classes.select("cls", "sketch").join(shared, "cls")
+    tiles = keep(tiles.join(sketched, "cls"), "tiles")
     groups = max(1, -(-tiles.count() // GROUP_ROWS))
-    dealt = tiles.join(classes.select("cls", "sketch"), "cls").withColumn("_group", F.pmod(F.xxhash64("node", "bu", "ba"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(_compare, "a binary, b binary").distinct()
+
+    def dealt(df, n):
+        return df.withColumn("_group", F.pmod(F.xxhash64("node", "bu", "ba"), F.lit(n))).groupBy("_group")
+
+    flagged = keep(dealt(tiles, groups).applyInArrow(_flag, "node bigint, bu bigint, ba bigint, cls binary"), "flagged")
+    full = sets.ask(flagged.select("cls").distinct())
+    if full is None:
+        return members.sparkSession.createDataFrame([], "a binary, b binary")
+    wide = tiles.join(flagged, ["node", "bu", "ba", "cls"], "left_semi").join(full, "cls")
+    total = flagged.join(full.select("cls", F.size("tokens").alias("_size")), "cls").agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    return keep(dealt(wide, max(1, -(-total // GROUP_TOKENS))).applyInArrow(_link(percent), "a binary, b binary"), "tile-links")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -194,10 +262,10 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Da
 
     Documents with equal sets form one class, so copies cost one row each. Classes follow TREES
     random trees: at each level a class enters the nodes of the tokens that are smallest
-    under the node's hash, large nodes branch again, and what is left is compared: first every
+    under the node's hash, large nodes branch again, and the nodes left are compared: first every
     class with its node's pivot, then, where a node still spans several components,
-    all classes outside its largest component. Sketches only sort out pairs far below the threshold;
-    every link is confirmed on full sets. A pair at the threshold is missed with a
+    all classes outside its largest component with all others. Sketches only sort out pairs far below the
+    threshold; every link is confirmed on full sets. A pair at the threshold is missed with a
     probability of about 1e-3 in nodes of the deepest level, far less elsewhere.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -211,18 +279,19 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Da
     members = keep(chosen_paths(classes), "members")
     sets = _Sets(texts, classes, size)
 
-    pivots = members.groupBy("node").agg(F.min("cls").alias("a"))
+    # Kept before the join, here and below: a join of two scans splits a key with very many rows.
+    pivots = keep(members.groupBy("node").agg(F.min("cls").alias("a")), "pivots")
     stars = members.join(pivots, "node").select("a", F.col("cls").alias("b")).filter("a <> b").distinct()
-    links = sets.confirm(_estimated(stars, classes), percent)
+    links = sets.confirm(_plausible(stars, classes), percent)
     comps = keep(components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components")
-    rest = _estimated(_open_pairs(members, comps, classes), classes)
-    more = sets.confirm(rest, percent)
+    more = _compare_nodes(members, comps, classes, sets, percent)
     comps = keep(components(links.union(more)).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components")
 
     rooted = reps.join(comps, "cls").select("cls", "comp", "doc_id")
-    least = rooted.groupBy("comp").agg(F.min("doc_id").alias("_least"))
+    least = keep(rooted.groupBy("comp").agg(F.min("doc_id").alias("_least")), "least")
     changed = rooted.join(least, "comp").select("cls", F.col("comp").alias("root"), "_least")
     named = reps.join(changed, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("_least", "doc_id").alias("_least"))
+    named = keep(named, "named")
     out = _with_class(sigs.drop("sketch"), named)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -235,10 +304,10 @@ def _with_class(rows: DataFrame, named: DataFrame) -> DataFrame:
         "doc_id", "mark", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), "cls", "root")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sketch = classes.select("cls", "sketch")
     both = (pairs.join(sketch.toDF("b", "_sb"), "b").join(sketch.toDF("a", "_sa"), "a"))
-    return keep(both.filter(_estimate("_sa", "_sb") >= ESTIMATE).select("a", "b"), "pairs")
+    return keep(both.filter(_alike("_sa", "_sb")).select("a", "b"), "pairs")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
