@@ -173,4 +173,4 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
         share = rows
     if share <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    return docs.join(known, docs["doc_id"] == F.col("_id")).select(F.coalesce(docs["text"], F.lit("")).alias("text"), "label")
+    return docs.join(known, docs["doc_id"] == known["_id"]).select(F.coalesce(docs["text"], F.lit("")).alias("text"), known["label"])

@@ -102,12 +102,11 @@ def mixture(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: i
     """``docs`` as often as the mix takes them; with ``placed`` also columns shard and key (the order in the shard)."""
     mixed = mix(docs, shards, blocks, seed)
     # One row for repeated rows, which are taken alike; documents not taken need no row.
-    takes = keep(mixed.filter(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark"), "draws")
-                 .dropDuplicates(["_id", "_source", "_mark"]).withColumnRenamed("draws", "_draws"), "draws")
+    takes = (mixed.filter(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark"), "draws")
+             .dropDuplicates(["_id", "_source", "_mark"]).select("_id", "_source", "_mark", F.inline("draws")))
+    takes = keep(takes, "draws")
     if takes.count() <= BROADCAST_ROWS:
         takes = F.broadcast(takes)
     mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     both = docs.join(takes, docs["doc_id"].eqNullSafe(takes["_id"]) & docs["source"].eqNullSafe(takes["_source"]) & (mark == takes["_mark"]))
-    both = both.withColumn("_draw", F.explode("_draws"))
-    extra = [F.col("_draw.shard").alias("shard"), F.col("_draw.key").alias("key")] if placed else []
-    return both.select(*[docs[c] for c in docs.columns], *extra)
+    return both.select(*[docs[c] for c in docs.columns], *([takes["shard"], takes["key"]] if placed else []))
