@@ -178,6 +178,20 @@ def _sorted(key):
         "items")
 
 
+_GAPS = """(select id // 4 as request_id, id % 4 + 1 as rank, id, case id % 3 when 0 then null when 1 then 0.0 else rating end as rating,
+    case id % 5 when 0 then null when 1 then 0.0 else cost_for_two end as cost_for_two from cat)"""
+
+
+def _sorted_gaps(key):
+    return _with(f"select request_id, cast(row_number() over (partition by request_id order by {key}, rank) as integer) as pos, id from {_GAPS}", "cat")
+
+
+def _null_rates():
+    return _with(" union all ".join(
+        f"select '{c}' as column_name, round(avg(cast({c} is null as integer)) * 100, 6) as null_pct from cat"
+        for c in ["id", "name", "location", "cuisines", "rating", "cost_for_two", "budget"]), "cat")
+
+
 def _shortlist_json(struct):
     return f"to_json(list({struct} order by pos))"
 
@@ -194,6 +208,19 @@ def all_sql() -> dict[str, str]:
             f"select *, {_TIER} as budget from (select row_number() over (order by p_partkey) as id, trim(p_name) as name, "
             f"{_title('p_brand')} as location, {_title('p_type')} as cuisines, cast(case when p_size between 0 and 5 then p_size end as double) as rating, "
             "abs(p_retailprice) as cost_for_two from part)"),
+        "clean_catalog_input_order_filtered": (
+            f"select *, {_TIER} as budget from (select row_number() over (order by p_partkey) as id, trim(p_name) as name, "
+            f"{_title('p_brand')} as location, {_title('p_type')} as cuisines, cast(case when p_size between 0 and 5 then p_size end as double) as rating, "
+            "abs(p_retailprice) as cost_for_two from part where p_size % 3 <> 1)"),
+        "ingest_published": _with(
+            "select count(*) as n_rows, min(id) as first_id, max(id) as last_id, count(distinct id) as n_ids, "
+            f"(select coalesce(string_agg(rule, ',' order by rule), '') from ({_rules()}) where failed) as failed from cat", "cat"),
+        "null_rates_nan": _null_rates(),
+        "quality_report_nan": _rules(),
+        "catalog_columns": "select * from (values ('id', 'bigint'), ('name', 'string'), ('location', 'string'), ('cuisines', 'array<string>'), "
+                           "('rating', 'double'), ('cost_for_two', 'double'), ('budget', 'string')) t(column_name, type)",
+        "round_hundredths": "select *, cast(format('{:.1f}', raw_value) as double) as cleaned from "
+                            "(select p_partkey as id, cast(p_partkey % 501 as double) / 100 as raw_value from part)",
         "clean_catalog_defaults": _with(
             f"select id, 'Unknown' as name, location, {cuisines} as cuisines, cast(null as double) as rating, "
             "cast(null as double) as cost_for_two, cast(null as varchar) as budget from cat", "cat"),
@@ -204,9 +231,7 @@ def all_sql() -> dict[str, str]:
         "normalize_location": _cell("location", _LOCATION),
         "assign_budget": _with(f"select id, cost_for_two as raw_value, {_TIER} as cleaned from cat", "cat"),
         "quality_report": _rules(),
-        "null_rates": _with(" union all ".join(
-            f"select '{c}' as column_name, round(avg(cast({c} is null as integer)) * 100, 6) as null_pct from cat"
-            for c in ["id", "name", "location", "cuisines", "rating", "cost_for_two", "budget"]), "cat"),
+        "null_rates": _null_rates(),
         "budget_counts": _with("select budget, count(*) as n from cat where budget is not null group by budget", "cat"),
         "budget_counts_with_null": _with("select budget, count(*) as n from cat group by budget", "cat"),
         "rating_summary": _with(
@@ -246,6 +271,21 @@ def all_sql() -> dict[str, str]:
             on c.place = lower(r.location) and c.dish = lower(r.cuisine) group by r.request_id)""", "req", "cat"),
         "shortlist_one": _with(_ONE.format(f"{_P_LOC} and {_P_CUI} and {_P_RAT} and {_P_BUD}"), "cat"),
         "shortlist_empty": _with(_ONE.format(f"contains(lower(location), 'no such place') and {_P_CUI} and {_P_RAT} and {_P_BUD}"), "cat"),
+        "shortlist_batch_broad": _with(
+            """select request_id, cast(row_number() over (partition by request_id order by rating desc, id) as integer) as pos, id, rating from
+            (select request_id, x[request_id % 8 + 1] as place, x[(request_id // 8) % 8 + 1] as dish, min_rating, budget
+              from req, (select ['a', 'n', 'i', 'o', 'at', 'on', 'na', 'ti'] as x)) r join cat c using (budget)
+            where rating >= min_rating and contains(lower(location), place) and len(list_filter(cuisines, lambda x: contains(lower(x), dish))) > 0
+            qualify pos <= 40""", "req", "cat"),
+        "scored_by_hook": _with(
+            "select request_id, cast(0 as integer) as attempt, count(*) || ' candidates' as summary, max(id) filter (pos = 1) as restaurant_id, "
+            "cast(1 as bigint) as rank, max(name) filter (pos = 1) as explanation from sl group by request_id", "sl"),
+        "sort_price_asc_gaps": _sorted_gaps("coalesce(nullif(cost_for_two, 0), 'infinity')"),
+        "sort_price_desc_gaps": _sorted_gaps("-coalesce(cost_for_two, 0)"),
+        "sort_rating_desc_gaps": _sorted_gaps("-coalesce(rating, 0)"),
+        "display_labels_gaps": _with(
+            "select request_id, id, coalesce('₹' || cast(cast(cost_for_two as bigint) as varchar) || ' for two', 'Price N/A') as price, "
+            f"printf('%.1f', rating) as rating from {_GAPS}", "cat"),
         "shortlist_batch": _with("select request_id, pos, id, name, rating from sl", "sl"),
         "requests_valid": _with("select * from req", "req"),
         "requests_rejected": _with(f"select request_id, {_TEXT.format('errors')} as errors from checked where len(errors) > 0", "checked"),

@@ -80,6 +80,56 @@ def catalog_roundtrip(t: Tables):
         F.sum("cost_for_two").alias("sum_cost"))
 
 
+@query
+def clean_catalog_input_order_filtered(t: Tables):
+    """Ids by file position where rows are missing: no gaps and no repeats."""
+    raw = read_raw(t.spark, f"{t.dir}/part.parquet", positions=True).filter("p_size % 3 <> 1").withColumnsRenamed({
+        "p_name": "name", "p_brand": "area", "p_type": "cuisine", "p_size": "rating", "p_retailprice": "avg_cost"})
+    return _flat(ingest.clean_catalog(raw), "cuisines")
+
+
+@query
+def ingest_published(t: Tables):
+    """Rows and ids of the catalog that an ingest over an older version publishes, and the rules that fail."""
+    path = f"{shared_dir(t.spark)}/listforge/published-{uuid.uuid4().hex}"
+    write_catalog(t.catalog.filter("id <= 7"), path)
+    done = ingest.ingest(t.raw_listings(), path, ["src_key"])
+    failed = ",".join(sorted(r.rule for r in done.report if r.failed))
+    return read_catalog(t.spark, path).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.count_distinct("id").alias("n_ids")).withColumn("failed", F.lit(failed))
+
+
+def _with_nan(t: Tables) -> DataFrame:
+    """The catalog as a foreign system might hand it over: NaN for some missing numbers."""
+    some = lambda c, n: F.when((F.col("id") % n == 0) & F.col(c).isNull(), float("nan")).otherwise(F.col(c)).alias(c)
+    return t.catalog.select("id", "name", "location", "cuisines", some("rating", 2), some("cost_for_two", 1), "budget")
+
+
+@query
+def null_rates_nan(t: Tables):
+    return quality.null_rates(_with_nan(t))
+
+
+@query
+def quality_report_nan(t: Tables):
+    return quality.quality_report(_with_nan(t))
+
+
+@query
+def catalog_columns(t: Tables):
+    path = f"{shared_dir(t.spark)}/listforge/columns-{uuid.uuid4().hex}"
+    write_catalog(t.catalog, path)
+    return quality.verification(t.spark, path)["columns"]
+
+
+@query
+def round_hundredths(t: Tables):
+    """Tenths of numbers with two decimals, ties included."""
+    hundredths = (F.col("p_partkey") % 501 / 100).alias("raw_value")
+    return t.given("part").select(F.col("p_partkey").alias("id"), hundredths).withColumn("cleaned", numbers.one_decimal(F.col("raw_value")))
+
+
 def _per_cell(name, column, function):
     def run(t: Tables):
         out = function(F.col(column))
@@ -292,6 +342,48 @@ for _view in (views.sort_rank, views.sort_price_asc, views.sort_price_desc, view
     _queries[_view.__name__] = lambda spark, sf_dir, view=_view: view(tables(spark, sf_dir).answered)
 
 
+def _gapped(t: Tables) -> DataFrame:
+    """Answers of four listings each, whose price or rating may be missing or 0."""
+    gone = lambda c, n, zero: F.when(F.col("id") % n == 0, None).when(F.col("id") % n == 1, 0.0).otherwise(F.col(c)).alias(c)
+    item = F.struct(F.col("rank"), F.col("rank").cast("int").alias("rec_pos"), "id", "cuisines", gone("rating", 3, 0.0), gone("cost_for_two", 5, 0.0))
+    rows = t.catalog.withColumn("rank", F.col("id") % 4 + 1).withColumn("request_id", F.floor(F.col("id") / 4))
+    return rows.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("cuisine", F.lit("ECON"))
+
+
+for _view in (views.sort_price_asc, views.sort_price_desc, views.sort_rating_desc):
+    _queries[f"{_view.__name__}_gaps"] = lambda spark, sf_dir, view=_view: view(_gapped(tables(spark, sf_dir)))
+
+
+@query
+def display_labels_gaps(t: Tables):
+    return views.cards(_gapped(t)).select("request_id", "id", "price", "rating")
+
+
+@query
+def scored_by_hook(t: Tables):
+    """Responses of a scorer that runs in the tasks: it counts the candidates and praises the first."""
+    def scorer(batches):
+        import json
+
+        for prompts in batches:
+            found = [json.loads(p.split("Candidates (JSON)\n")[1].split("\n")[0]) for p in prompts["prompt"]]
+            yield prompts[["request_id"]].assign(attempt=0, error=None, raw=[json.dumps({
+                "summary": f"{len(c)} candidates", "recommendations": [{"restaurant_id": c[0]["id"], "rank": 1, "explanation": c[0]["name"]}]}) for c in found])
+
+    responses = scoring.score(t.shortlisted, scorer)
+    best = scoring.outcomes(responses)
+    return best.select("request_id", "attempt", "summary", F.inline("recommendations"))
+
+
+@query
+def shortlist_batch_broad(t: Tables):
+    """Requests whose one- and two-letter texts nearly every place and dish holds."""
+    letters = lambda n: F.element_at(F.array(*[F.lit(x) for x in ("a", "n", "i", "o", "at", "on", "na", "ti")]), (n % 8 + 1).cast("int"))
+    asked = t.requests.select("request_id", letters(F.col("request_id")).alias("location"),
+                              letters(F.floor(F.col("request_id") / 8)).alias("cuisine"), "min_rating", "budget")
+    return shortlist.shortlist_batch(asked, t.catalog, t.cells).select("request_id", "pos", "id", "rating")
+
+
 @query
 def display_cuisines(t: Tables):
     return _flat(views.cards(t.answered).select("request_id", "id", "cuisines"), "cuisines")

@@ -5,9 +5,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key handled by one slice, and the most slices a job may have in total.
+# Rows of one key handled by one slice, and the longest list of hot keys that is broadcast.
 SLICE_ROWS = 200_000
-MAX_SLICES = 10_000
+BROADCAST_KEYS = 100_000
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], row_id: str,
@@ -15,19 +15,19 @@ def spread_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], row_id
     """Left join of ``rows`` with ``per_key`` (at most one row per key) that splits hot keys.
 
     Keys with more than ``slice_rows`` rows get several slices: their rows are dealt out by
-    a hash of ``row_id`` and their one partner row is copied per slice. The list of
-    hot keys is broadcast; it holds fewer than ``MAX_SLICES`` entries, since a slice is
-    never smaller than ``total / MAX_SLICES``. Keys are counted on ``counted`` where ``rows``
-    is a wider version of it.
+    a hash of ``row_id`` and their one partner row is copied per slice. There are at most rows / ``slice_rows``
+    hot keys; up to BROADCAST_KEYS their list is broadcast, beyond that it is joined like any other
+    table. Keys are counted on ``counted`` where ``rows`` is a wider version of it.
     """
     keys = list(keys)
-    counts = (rows if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    size = F.greatest(F.lit(slice_rows), F.ceil(total / MAX_SLICES))
-    hot = counts.filter(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_slices"))
+    counted = rows if counted is None else counted
+    counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > slice_rows).select(*keys, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices"))
+    if counted.count() // slice_rows <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
 
     def sliced(df):
-        return df.join(F.broadcast(hot), keys, "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
+        return df.join(hot, keys, "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
 
     left = sliced(rows).withColumn("_slice", F.pmod(F.xxhash64(row_id), F.col("_slices")).cast("int"))
     right = sliced(per_key).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import CATALOG, CATALOG_COLUMNS
-from .shared import remove
+from .shared import exists, remove
 
 _MANIFEST = "_published"
 
@@ -18,13 +18,11 @@ def _not_nan(c: Column) -> Column:
 
 def _versions(spark: SparkSession, path: str) -> list[str]:
     """Folders of the published versions, newest first; the manifest has one row each."""
-    try:
-        found = spark.read.schema("seq bigint, version string").parquet(f"{path.rstrip('/')}/{_MANIFEST}")
-        return [f"{path.rstrip('/')}/{r.version}" for r in found.orderBy(F.desc("seq")).collect()]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    manifest = f"{path.rstrip('/')}/{_MANIFEST}"
+    if not exists(spark, manifest):
         return []
+    found = spark.read.schema("seq bigint, version string").parquet(manifest)
+    return [f"{path.rstrip('/')}/{r.version}" for r in found.orderBy(F.desc("seq")).collect()]
 
 
 def write_catalog(catalog: DataFrame, path: str, partition_by_budget: bool = False, versions: int = 2) -> int:

@@ -16,10 +16,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/listforge-kept"
 
 
+def _in_file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _in_file_system(spark, path)
+    return files.exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system holds it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _in_file_system(spark, path)
+    files.delete(target, True)
 
 
 @contextmanager
