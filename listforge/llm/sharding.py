@@ -11,7 +11,7 @@ from .common import keep, ordered_totals
 
 SHARDS = 8
 #: Capacities tried at once; a round leaves one in so many of those still possible.
-TRIALS = 2048
+TRIALS = 256
 
 
 def _nearest(ends: DataFrame, marks: np.ndarray, above: bool) -> np.ndarray:
@@ -28,7 +28,9 @@ def _nearest(ends: DataFrame, marks: np.ndarray, above: bool) -> np.ndarray:
             else:
                 at = np.searchsorted(own, marks, side="right")
                 found = np.maximum(found, np.r_[0, own][at])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(marks)), pa.int32()), pa.array(found, pa.int64())], names=["mark", "end"])
+        # Each task says something about each mark, so the number of marks is kept small.
+        new = found != (np.iinfo(np.int64).max if above else 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(new), pa.int32()), pa.array(found[new], pa.int64())], names=["mark", "end"])
 
     best = (F.min if above else F.max)("end").alias("end")
     got = ends.select("end").mapInArrow(run, "mark int, end bigint").groupBy("mark").agg(best).collect()
