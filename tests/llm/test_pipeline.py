@@ -1,5 +1,7 @@
 """The pipeline's stages by their laws on the smallest tables, and its registration."""
 
+import re
+
 import __spark_entry__
 import corpus_pipeline
 
@@ -9,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
