@@ -2,6 +2,7 @@
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,11 @@ WORDS = 5
 PERCENT = 85
 #: Smallest shingle hashes kept per document; paths choose their tokens among them.
 SKETCH = 32
-#: Pairs that share less of their sketches stay unconfirmed: 4 standard errors under what a pair at the threshold shares.
-ESTIMATE = 0.73
-TREES = 4
+#: Probability, at most, that sketches alone sort out a pair at the threshold.
+MISSED = 1e-6
+TREES = 6
 #: Tokens chosen per level of a path; its length is the depth of the trees.
-BRANCHES = (2, 2, 1, 1)
+BRANCHES = (2, 2, 2, 2)
 #: Nodes of up to so many classes are compared without branching further.
 LEAF = 48
 #: Rows of one side in a comparison tile of a larger node.
@@ -56,9 +57,23 @@ def _full_sets(size: int):
     return run
 
 
-def _alike(a: str, b: str):
+def least_shared(percent: int) -> float:
+    """Share of their sketches below which a pair at the threshold falls with a probability of at most MISSED.
+
+    Each of the SKETCH smallest tokens of the union is in both sets with the probability of the threshold, and then stands
+    in both sketches. So a pair shares at least a binomial number of tokens, however the sets' sizes differ.
+    """
+    p, below = percent / 100, 0.0
+    for shared in range(SKETCH + 1):
+        below += comb(SKETCH, shared) * p**shared * (1 - p) ** (SKETCH - shared)
+        if below > MISSED:
+            break
+    return shared / SKETCH
+
+
+def _alike(a: str, b: str, percent: int):
     """Whether two sketches share enough for their sets to be near."""
-    return F.size(F.array_intersect(a, b)) >= ESTIMATE * F.least(F.lit(SKETCH), F.greatest(F.size(a), F.size(b)))
+    return F.size(F.array_intersect(a, b)) >= least_shared(percent) * F.least(F.lit(SKETCH), F.greatest(F.size(a), F.size(b)))
 
 
 def _near(percent: int, inter, n_a, n_b):
@@ -135,7 +150,7 @@ def _tiles(table: pa.Table):
     return [order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _candidates(table: pa.Table):
+def _candidates(table: pa.Table, percent: int):
     """For each tile its node and pairs (row left, row right) with alike sketches in different components.
 
     Of several nodes that a pair shares only the least looks at it, and of two tiles that hold it
@@ -158,24 +173,26 @@ def _candidates(table: pa.Table):
         for k, i in enumerate(tile):
             own[k, : len(nodes[i])] = nodes[i]
         lefts, rights = np.flatnonzero(left[tile]), np.flatnonzero(right[tile])
-        need = ESTIMATE * np.minimum(SKETCH, np.maximum(sizes[lefts][:, None], sizes[rights][None, :]))
+        need = least_shared(percent) * np.minimum(SKETCH, np.maximum(sizes[lefts][:, None], sizes[rights][None, :]))
         x, y = np.nonzero(has[lefts] @ has[rights].T >= need)
         x, y = lefts[x], rights[y]
         fine = (kind[x] != kind[y]) & ~(loose[tile][y] & (rank[x] > rank[y]))
         x, y = x[fine], y[fine]
-        first = np.concatenate([np.where((own[x[at : at + 4096]][:, :, None] == own[y[at : at + 4096]][:, None, :]).any(2), own[x[at : at + 4096]], np.iinfo(np.int64).max).min(1)
-                                for at in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
+        first = np.concatenate([np.where((own[x[at : at + 512]][:, :, None] == own[y[at : at + 512]][:, None, :]).any(2), own[x[at : at + 512]], np.iinfo(np.int64).max).min(1)
+                                for at in range(0, len(x), 512)]) if len(x) else np.empty(0, np.int64)
         mine = first == node[tile[0]]
         yield tile, kind, x[mine], y[mine]
 
 
-def _flag(table):
-    """Rows that have a candidate in their tile."""
-    flagged = np.zeros(table.num_rows, bool)
-    for tile, _, x, y in _candidates(table):
-        flagged[tile[x]] = True
-        flagged[tile[y]] = True
-    return table.filter(pa.array(flagged)).select(["node", "bu", "ba", "cls"])
+def _flag(percent: int):
+    def run(table):
+        """Rows that have a candidate in their tile."""
+        flagged = np.zeros(table.num_rows, bool)
+        for tile, _, x, y in _candidates(table, percent):
+            flagged[tile[x]] = True
+            flagged[tile[y]] = True
+        return table.filter(pa.array(flagged)).select(["node", "bu", "ba", "cls"])
+    return run
 
 
 def _link(percent: int):
@@ -183,7 +200,7 @@ def _link(percent: int):
         """Confirmed links of each tile, as many as join what they join: pairs already connected are skipped."""
         cls, tokens = table.column("cls").to_pylist(), table.column("tokens").to_pylist()
         a, b = [], []
-        for tile, kind, x, y in _candidates(table):
+        for tile, kind, x, y in _candidates(table, percent):
             sizes = np.array([len(tokens[i]) for i in tile])
             _, token = np.unique(np.concatenate([np.asarray(tokens[i], np.int64) for i in tile]), return_inverse=True)
             starts = np.cumsum(sizes) - sizes
@@ -241,7 +258,7 @@ def _compare_nodes(members: DataFrame, comps: DataFrame, classes: DataFrame, set
     def dealt(df, n):
         return df.withColumn("_group", F.pmod(F.xxhash64("node", "bu", "ba"), F.lit(n))).groupBy("_group")
 
-    flagged = keep(dealt(tiles, groups).applyInArrow(_flag, "node bigint, bu bigint, ba bigint, cls binary"), "flagged")
+    flagged = keep(dealt(tiles, groups).applyInArrow(_flag(percent), "node bigint, bu bigint, ba bigint, cls binary"), "flagged")
     full = sets.ask(flagged.select("cls").distinct())
     if full is None:
         return members.sparkSession.createDataFrame([], "a binary, b binary")
@@ -265,8 +282,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Da
     under the node's hash, large nodes branch again, and the nodes left are compared: first every
     class with its node's pivot, then, where a node still spans several components,
     all classes outside its largest component with all others. Sketches only sort out pairs far below the
-    threshold; every link is confirmed on full sets. A pair at the threshold is missed with a
-    probability of about 1e-3 in nodes of the deepest level, far less elsewhere.
+    threshold; every link is confirmed on full sets. Paths miss most where one text contains the
+    other; the README has the recall.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sigs = keep(texts.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
@@ -282,7 +299,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Da
     # Kept before the join, here and below: a join of two scans splits a key with very many rows.
     pivots = keep(members.groupBy("node").agg(F.min("cls").alias("a")), "pivots")
     stars = members.join(pivots, "node").select("a", F.col("cls").alias("b")).filter("a <> b").distinct()
-    links = sets.confirm(_plausible(stars, classes), percent)
+    links = sets.confirm(_plausible(stars, classes, percent), percent)
     comps = keep(components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components")
     more = _compare_nodes(members, comps, classes, sets, percent)
     comps = keep(components(links.union(more)).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components")
@@ -304,10 +321,10 @@ def _with_class(rows: DataFrame, named: DataFrame) -> DataFrame:
         "doc_id", "mark", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), "cls", "root")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sketch = classes.select("cls", "sketch")
     both = (pairs.join(sketch.toDF("b", "_sb"), "b").join(sketch.toDF("a", "_sa"), "a"))
-    return keep(both.filter(_alike("_sa", "_sb")).select("a", "b"), "pairs")
+    return keep(both.filter(_alike("_sa", "_sb", percent)).select("a", "b"), "pairs")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

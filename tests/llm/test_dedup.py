@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,27 @@ def test_near_groups(make, families):
     assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+@pytest.mark.parametrize("leaf", [near_dedup.LEAF, 1])
+def test_near_contained(make, monkeypatch, leaf):
+    """Truncated and extended copies just above the threshold, in shallow nodes and in those of the deepest level."""
+    monkeypatch.setattr(near_dedup, "LEAF", leaf)
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        base = [f"{w}{i}" for w in words(rng, 204)]
+        cut = rng.randint(174, 184)
+        rows += [" ".join(base), " ".join(base[:cut] if i % 2 else base[204 - cut :])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(make(*enumerate(rows))).collect()}
+    assert [i for i in range(0, 800, 2) if got[i + 1] != i] == []
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_least_shared(percent):
+    need = near_dedup.least_shared(percent) * near_dedup.SKETCH
+    draws = np.random.default_rng(5).binomial(near_dedup.SKETCH, percent / 100, 1_000_000)
+    assert (draws < need).sum() <= 10 and need > 1
+
+
 def test_near_by_shuffle(make, families, monkeypatch):
     import listforge.llm.common as common
 
