@@ -12,6 +12,9 @@ from listforge.llm.common import table
 from listforge.llm.queries import vocabulary_path
 from listforge.sources.shared import keep
 
+#: Similarity from which the near-duplicate stage drops a copy; the 85 of op10 is that query's own contract.
+PERCENT = 80
+
 
 def toxic_filter(spark, docs, sf_dir):
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -22,7 +25,7 @@ def drop_exact_copies(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, PERCENT)
 
 
 def mix_sources(spark, docs, sf_dir):

@@ -33,3 +33,12 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_stage_at_80(spark, make):
+    base = [f"w{i}" for i in range(104)]
+    # 100 shingles; two words far apart and one at the end lose 5 + 5 + 1 of them: 89 of 111, 80.2 %.
+    near = ["x" if i in (30, 60, 103) else w for i, w in enumerate(base)]
+    far = ["y" if i in (10, 30, 60) else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, make(*rows), SF).collect()) == [1, 3]
