@@ -120,3 +120,14 @@ def test_extract_clash(spark):
         rows = rows.withColumn(name, F.lit("clash"))
     assert sorted(len(r.text) for r in html.extract(rows).collect()) == [1, 11 * 50_000 - 1]
     assert html.extract(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pages", [2, 256])
+def test_runs_of_the_whole_host(spark, monkeypatch, pages):
+    """A notice on two of many pages goes however the host is dealt out, and copies of a page do not empty each other."""
+    monkeypatch.setattr(html, "PAGES", pages)
+    notice = "we value your trust and sell all of your data to our many partners"
+    rows = [(i, f"http://h/{i}", f"<div>Own words of page {i} and {' '.join(f'p{i}x{k}' for k in range(12))}</div>" + f"<p>{notice}</p>" * (i in (3, 31))) for i in range(40)]
+    rows += [(100 + k, f"http://h/copy{k}", rows[5][2]) for k in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own words of page {5 if i >= 100 else i} and {' '.join(f'p{5 if i >= 100 else i}x{k}' for k in range(12))}" for i, _, _ in rows}
