@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, mixing, near_dedup, nearest, packing, quality, secrets, sharding, toxicity
+from . import conversation_trie, exact_dedup, html, mixing, near_dedup, nearest, packing, quality, resampling, rules, secrets, sharding, statements, toxicity
 from .common import held_out, table
 
 #: The vocabulary that op4 and the pipeline count tokens with.
@@ -70,7 +70,24 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
-QUERIES = [op1_exact_dedup, op2_quality, op3_sharding, op4_best_fit_packing, op5_secret_scan, op6_html_extraction, op7_nearest_neighbours, op8_toxicity, op9_source_mixing, op10_minhash_near_dedup]
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = rules.judge(docs, rules.order(docs), rules.BASE_STATISTICS)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return found.select("doc_id", *rules.BASE_STATISTICS, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
+QUERIES = [op1_exact_dedup, op2_quality, op3_sharding, op4_best_fit_packing, op5_secret_scan, op6_html_extraction, op7_nearest_neighbours, op8_toxicity, op9_source_mixing, op10_minhash_near_dedup,
+           op11_importance_resampling, op12_conversation_trie, op13_quality_rules]
 
 def _secrets_sql() -> str:
     """Positions from matches and the gaps between them, windows one by one; DuckDB's patterns have no look-behind."""
@@ -130,8 +147,12 @@ SQL = {
         select s.doc_id, len(any_value(s.s)) as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept
         from s join r on r.a = s.doc_id group by s.doc_id""",
     "op5_secret_scan": _secrets_sql(),
+    "op11_importance_resampling": statements.resampling(),
+    "op12_conversation_trie": statements.trie(),
+    "op13_quality_rules": statements.rules(),
 }
 
+
 def llm_queries() -> dict:
     return {q.__name__: q for q in QUERIES}
 
