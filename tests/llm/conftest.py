@@ -33,3 +33,8 @@ def clashing(odd):
 
 def words(rng: random.Random, n: int) -> list[str]:
     return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 8))) for _ in range(n)]
+
+
+@pytest.fixture
+def rng():
+    return random.Random(7)
