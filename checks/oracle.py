@@ -107,6 +107,16 @@ _CTES = {
         from bodies join (values (0, 0, 'good'), (1, 0, 'plain'), (1, 1, 'good'), (2, 0, 'wrong'), (2, 1, 'good'), (3, 0, 'plain'),
           (3, 1, 'plain'), (3, 2, 'plain'), (4, 0, 'error'), (4, 1, 'good'), (5, 0, 'lost'), (6, 0, 'list'), (6, 1, 'good'))
           a(way, attempt, kind) on request_id % 8 = a.way""", ["bodies"]),
+    "newer": ("""select * replace (case when id % 11 = 0 then rating / 2 else rating end as rating) from cat
+        where id % 7 <> 0 and not coalesce(location = 'Nation 1' and id % 10 <> 3, location is null)
+        union all select * replace (id + 1000000 as id, least(rating + 0.25, 5.0) as rating) from cat where id % 13 = 0""", ["cat"]),
+    "later": (_catalog("""(select src_key, name, location, cuisines, case when src_key % 11 = 0 then '4.9/5' else rate end as rate, cost from raw where src_key % 7 <> 0
+        union all select src_key + 1000000, 'new ' || src_key, location, cuisines, rate, cost from raw where src_key % 13 = 0)""").replace("select row_number() over (order by src_key) as id,", "select src_key,"), ["raw"]),
+    "ids": ("""select *, row_number() over (partition by name, location, cuisines, rating, cost_for_two, budget order by id) as nth from cat""", ["cat"]),
+    "again": ("""select *, row_number() over (partition by name, location, cuisines, rating, cost_for_two, budget order by src_key) as nth from later""", ["later"]),
+    "told_ids": ("""select a.*, i.id from again a left join ids i on a.name = i.name and a.nth = i.nth and a.cuisines = i.cuisines
+        and a.location is not distinct from i.location and a.rating is not distinct from i.rating
+        and a.cost_for_two is not distinct from i.cost_for_two and a.budget is not distinct from i.budget""", ["again", "ids"]),
     "facts": (f"""select count(*) as n, count(*) - count(distinct id) as extra, count(*) filter (name is null) as null_name,
         count(*) filter (location is null) as null_location, count(*) filter (rating is null) as null_rating,
         count(*) filter (cost_for_two is null) as null_cost, count(*) filter (budget is null) as null_budget,
@@ -202,6 +212,10 @@ def all_sql() -> dict[str, str]:
         "raw_listings": _with("select * from raw", "raw"),
         "clean_catalog": _with(f"select {_CAT_COLUMNS} from cat", "cat"),
         "clean_catalog_aliases": _with(f"select {_CAT_COLUMNS} from cat", "cat"),
+        "clean_catalog_csv_order": _with(
+            f"select row_number() over (order by src_key) as id, trim(case when src_key % 3 = 0 then name || ',' || chr(10) || '\"' || src_key || '\"' else name end) as name, "
+            f"location, {_TEXT.format('cuisines')} as cuisines, rating, cost_for_two, budget from (select r.name, src_key, location, cuisines, rating, cost_for_two, budget from "
+            "(select src_key, name from raw) r join (select id, location, cuisines, rating, cost_for_two, budget from cat) c on c.id = r.src_key + 1)", "raw", "cat"),
         "clean_catalog_lineitem": _with(f"select {_CAT_COLUMNS} from lcat", "lcat"),
         # The file holds its rows in key order.
         "clean_catalog_input_order": (
@@ -232,6 +246,9 @@ def all_sql() -> dict[str, str]:
         "assign_budget": _with(f"select id, cost_for_two as raw_value, {_TIER} as cleaned from cat", "cat"),
         "quality_report": _rules(),
         "null_rates": _null_rates(),
+        "duplicate_ids_dense": _with(
+            "select way, n from (select count(*) - count(distinct id) as n from (select [1, 3, 4, 5, 8, 9, 3, 4, 8][(id - 1) % 9 + 1] + (id - 1) // 9 * 9 as id "
+            "from cat where id <= (select count(*) // 9 * 9 from cat))), (values ('bits'), ('ids'), ('numbered'), ('foreign')) v(way)", "cat"),
         "budget_counts": _with("select budget, count(*) as n from cat where budget is not null group by budget", "cat"),
         "budget_counts_with_null": _with("select budget, count(*) as n from cat group by budget", "cat"),
         "rating_summary": _with(
@@ -271,6 +288,14 @@ def all_sql() -> dict[str, str]:
             on c.place = lower(r.location) and c.dish = lower(r.cuisine) group by r.request_id)""", "req", "cat"),
         "shortlist_one": _with(_ONE.format(f"{_P_LOC} and {_P_CUI} and {_P_RAT} and {_P_BUD}"), "cat"),
         "shortlist_empty": _with(_ONE.format(f"contains(lower(location), 'no such place') and {_P_CUI} and {_P_RAT} and {_P_BUD}"), "cat"),
+        "shortlist_after_delta": _with(
+            """select request_id, cast(row_number() over (partition by request_id order by rating desc, id) as integer) as pos, id, rating from
+            (select r.request_id, c.id, c.rating from req r join newer c on c.budget = r.budget and c.rating >= r.min_rating and contains(lower(c.location), lower(r.location))
+              and len(list_filter(c.cuisines, lambda x: contains(lower(x), lower(r.cuisine)))) > 0) qualify pos <= 40""", "req", "newer"),
+        "ids_after_reingest": _with(
+            """select id, name, rating, false as gone from told_ids where id is not null
+            union all select (select count(*) from cat) + row_number() over (order by src_key), name, rating, false from told_ids where id is null
+            union all select id, null, null, true from cat where id not in (select id from told_ids where id is not null)""", "told_ids", "cat"),
         "shortlist_batch_broad": _with(
             """select request_id, cast(row_number() over (partition by request_id order by rating desc, id) as integer) as pos, id, rating from
             (select request_id, x[request_id % 8 + 1] as place, x[(request_id // 8) % 8 + 1] as dish, min_rating, budget
@@ -280,6 +305,12 @@ def all_sql() -> dict[str, str]:
         "scored_by_hook": _with(
             "select request_id, cast(0 as integer) as attempt, count(*) || ' candidates' as summary, max(id) filter (pos = 1) as restaurant_id, "
             "cast(1 as bigint) as rank, max(name) filter (pos = 1) as explanation from sl group by request_id", "sl"),
+        "scored_in_rounds": _with(
+            """select request_id, attempt, case when mood = 3 and attempt = 1 then 'TimeoutError: no answer' end as error,
+              case when mood = 3 and attempt = 1 then 'stop' when mood < 3 and attempt = mood then 'ok' else 'retry' end as status,
+              case when mood < 3 and attempt = mood then first end as restaurant_id
+            from (select request_id, min(id) filter (pos = 1) as first, min(id) filter (pos = 1) % 5 as mood from sl group by request_id)
+            join (select cast(range as integer) as attempt from range(3)) on attempt <= case mood when 3 then 1 when 4 then 2 else mood end""", "sl"),
         "sort_price_asc_gaps": _sorted_gaps("coalesce(nullif(cost_for_two, 0), 'infinity')"),
         "sort_price_desc_gaps": _sorted_gaps("-coalesce(cost_for_two, 0)"),
         "sort_rating_desc_gaps": _sorted_gaps("-coalesce(rating, 0)"),
@@ -289,6 +320,15 @@ def all_sql() -> dict[str, str]:
         "shortlist_batch": _with("select request_id, pos, id, name, rating from sl", "sl"),
         "requests_valid": _with("select * from req", "req"),
         "requests_rejected": _with(f"select request_id, {_TEXT.format('errors')} as errors from checked where len(errors) > 0", "checked"),
+        "requests_json": _with(
+            """select request_id, location, min_rating, array_to_string(list_filter([case when location = '' then 'location' end, case when cuisine = '' then 'cuisine' end,
+              case when request_id % 7 in (1, 4, 5, 6) then 'min_rating' end, case when budget not in ('low', 'medium', 'high') then 'budget' end], lambda e: e is not null), '|') as errors
+            from (select request_id, trim(location) as location, trim(cuisine) as cuisine, budget,
+              cast(case request_id % 7 when 0 then 0 when 2 then 3.5 when 3 then 4 when 6 then 6 end as double) as min_rating from asked)""", "asked"),
+        "outer_errors": _with(
+            """select request_id, kind, cast(case when kind in ('failed', 'unavailable') then least(n, 5) end as integer) as n_recs from (
+              select request_id, n, case when n = 0 then 'empty' when request_id % 3 = 0 then 'error' when request_id % 3 = 1 then 'failed' else 'unavailable' end as kind from sized)""", "sized"),
+        "catalog_size": _with("select count(distinct coalesce(budget, '')) as n_files, true as sized from cat", "cat"),
         "requests_summary": _with(
             "select request_id, 'location=''' || location || '''  cuisine=''' || cuisine || '''  min_rating=' || cast(min_rating as varchar) "
             "|| '  budget=''' || budget || '''' as summary from req", "req"),

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from listforge.functions import messages, numbers, text
 from listforge.operators import predicates
-from listforge.plans import funnel, ingest, options, quality, recommend, requests, scoring, shortlist, views
+from listforge.plans import delta, funnel, identity, ingest, options, quality, recommend, requests, rounds, scoring, shortlist, views
 from listforge.sources import read_catalog, read_raw, write_catalog
-from listforge.sources.shared import shared_dir
+from listforge.sources.shared import keep, shared_dir
 
-from .tables import Tables, tables
+from .tables import PLAIN, WRONG, Tables, tables
 
 WISH = dict(location="nation 1", cuisine="econ", min_rating=2.0, budget="medium")
 NO_WISH = dict(location="no such place", cuisine="econ", min_rating=2.0, budget="medium")
@@ -88,6 +88,22 @@ def clean_catalog_input_order_filtered(t: Tables):
     return _flat(ingest.clean_catalog(raw), "cuisines")
 
 
+@query
+def clean_catalog_csv_order(t: Tables):
+    """Ids by the order of a CSV file whose cells hold quotes, commas and line breaks, read in many byte ranges."""
+    path = f"{shared_dir(t.spark)}/listforge/csv-{uuid.uuid4().hex}"
+    said = F.concat(F.col("name"), F.lit(',\n"'), F.col("src_key").cast("string"), F.lit('"\n\n'))
+    rows = t.raw_listings().select("src_key", F.when(F.col("src_key") % 3 == 0, said).otherwise(F.col("name")).alias("name"), "location", "cuisines", "rate", "cost")
+    rows.coalesce(1).sortWithinPartitions("src_key").write.options(header=True, escape='"').csv(path)
+    # Ranges far smaller than the file; a cluster's default would need a file of some hundred megabytes.
+    before = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    t.spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        return _flat(ingest.clean_catalog(read_raw(t.spark, path, "csv", positions=True)), "cuisines")
+    finally:
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @query
 def ingest_published(t: Tables):
     """Rows and ids of the catalog that an ingest over an older version publishes, and the rules that fail."""
@@ -123,6 +139,15 @@ def catalog_columns(t: Tables):
     return quality.verification(t.spark, path)["columns"]
 
 
+@query
+def catalog_size(t: Tables):
+    """Files of the newest version alone, and whether their size is known."""
+    path = f"{shared_dir(t.spark)}/listforge/sized-{uuid.uuid4().hex}"
+    write_catalog(t.catalog.filter("id <= 3"), path)
+    write_catalog(t.catalog.coalesce(1), path, partition_by_budget=True)
+    return quality.verification(t.spark, path)["size"].select("n_files", (F.col("size_kb") > 0).alias("sized"))
+
+
 @query
 def round_hundredths(t: Tables):
     """Tenths of numbers with two decimals, ties included."""
@@ -158,6 +183,19 @@ def quality_report(t: Tables):
     return quality.quality_report(t.catalog)
 
 
+@query
+def duplicate_ids_dense(t: Tables):
+    """Ids whose count, range and sums are those of 1..n although some stand twice; counted both ways and by both kinds of report."""
+    wrong = F.element_at(F.array(*[F.lit(x) for x in (1, 3, 4, 5, 8, 9, 3, 4, 8)]), ((F.col("id") - 1) % 9 + 1).cast("int"))
+    n = t.catalog.count() // 9 * 9
+    ids = t.catalog.filter(F.col("id") <= n).withColumn("id", wrong + F.floor((F.col("id") - 1) / 9) * 9)
+    ways = {"bits": quality.surplus_ids(ids, dense=True), "ids": quality.surplus_ids(ids, dense=False)}
+    for way, numbered in (("numbered", True), ("foreign", False)):
+        ways[way] = quality.quality_report(ids, numbered=numbered).filter("rule = 'duplicate_ids' and failed").select(F.col("value").cast("bigint").alias("n"))
+    rows = [df.select(F.lit(way).alias("way"), "n") for way, df in ways.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 @query
 def null_rates(t: Tables):
     return quality.null_rates(t.catalog)
@@ -269,6 +307,24 @@ def requests_summary(t: Tables):
     return requests.requests_summary(requests.requests_valid(t.raw_requests()))
 
 
+@query
+def requests_json(t: Tables):
+    """Requests as JSON texts with a threshold that is absent, null, a number, a text, a list, no number or too large."""
+    given = F.element_at(F.array(*[F.lit(x) for x in ("", ', "min_rating": null', ', "min_rating": 3.5', ', "min_rating": "4"', ', "min_rating": [3]', ', "min_rating": "abc"', ', "min_rating": 6')]),
+                         (F.col("request_id") % 7 + 1).cast("int"))
+    body = F.concat(F.lit('{"location": "'), "location", F.lit('", "cuisine": "'), "cuisine", F.lit('", "budget": "'), "budget", F.lit('"'), given, F.lit("}"))
+    found = requests.checked(requests.from_json(t.raw_requests().select("request_id", body.alias("body"))))
+    return _flat(found.select("request_id", "location", "min_rating", "errors"), "errors")
+
+
+@query
+def outer_errors(t: Tables):
+    """Fallbacks of requests whose scorer failed outside its attempts, inside them, or was not there."""
+    way = F.col("request_id") % 3
+    failed = t.requests.filter(way < 2).select("request_id", F.when(way == 1, 0).cast("int").alias("attempt"), F.lit(None).cast("string").alias("raw"), F.lit("boom").alias("error"))
+    return recommend.answers(t.requests, t.cells, failed).select("request_id", "kind", F.size("recs").alias("n_recs"))
+
+
 # Scoring and answers
 
 @query
@@ -375,6 +431,61 @@ def scored_by_hook(t: Tables):
     return best.select("request_id", "attempt", "summary", F.inline("recommendations"))
 
 
+def moody():
+    """A scorer that needs one to three attempts or fails for good, by its first candidate's id; made here, so that it travels with its code."""
+    plain, wrong = PLAIN, WRONG
+
+    def call(prompt: str, attempt: int) -> str:
+        import json
+
+        first = json.loads(prompt.split("Candidates (JSON)\n")[1].split("\n")[0])[0]
+        mood = first["id"] % 5
+        if mood == 3 and attempt == 1:
+            raise TimeoutError("no answer")
+        if mood == 4 or attempt < min(mood, 2):
+            return wrong if mood == 2 else plain
+        return json.dumps({"summary": f"answer {attempt}", "recommendations": [{"restaurant_id": first["id"], "rank": 1, "explanation": first["name"]}]})
+    return call
+
+
+@query
+def scored_in_rounds(t: Tables):
+    """Every call that rounds of retries make, with what became of it."""
+    ledger = f"{shared_dir(t.spark)}/listforge/ledger-{uuid.uuid4().hex}"
+    called = rounds.score_in_rounds(t.shortlisted, moody(), ledger)
+    return scoring.judged(called, carry=("error",)).select("request_id", "attempt", "error", "status", F.get("recommendations", F.lit(0))["restaurant_id"].alias("restaurant_id"))
+
+
+def _newer(t: Tables) -> DataFrame:
+    """The catalog's next version: listings gone, re-rated, closed down to one cell, and new."""
+    rated = F.when(F.col("id") % 11 == 0, F.col("rating") / 2).otherwise(F.col("rating"))
+    left = t.catalog.filter((F.col("id") % 7 != 0) & ~((F.col("location") == "Nation 1") & (F.col("id") % 10 != 3))).withColumn("rating", rated)
+    new = t.catalog.filter(F.col("id") % 13 == 0).withColumns({"id": F.col("id") + 1_000_000, "rating": F.least(F.col("rating") + 0.25, F.lit(5.0))})
+    return left.unionByName(new)
+
+
+@query
+def shortlist_after_delta(t: Tables):
+    """Shortlists from cells that were kept up with the next version's changes."""
+    newer = _newer(t)
+    removed, added = delta.changes(t.catalog, newer)
+    state = delta.update_cells(keep(delta.cell_state(t.catalog, slack=10), "cell-state"), removed, added, newer, slack=10)
+    return shortlist.shortlist_batch(t.requests, None, delta.cells_of(state)).select("request_id", "pos", "id", "rating")
+
+
+@query
+def ids_after_reingest(t: Tables):
+    """Ids after rows went, changed and came: unchanged rows keep theirs, others continue after the last."""
+    raw = t.raw_listings()
+    _, id_map = identity.stable_ids(raw, t.spark.createDataFrame([], identity.ID_MAP), ["src_key"])
+    changed = F.when(F.col("src_key") % 11 == 0, F.lit("4.9/5")).otherwise(F.col("rate"))
+    other = raw.filter("src_key % 7 <> 0").withColumn("rate", changed)
+    came = raw.filter("src_key % 13 = 0").withColumns({"src_key": F.col("src_key") + 1_000_000, "name": F.concat(F.lit("new "), "src_key")})
+    catalog, following = identity.stable_ids(other.unionByName(came), id_map, ["src_key"])
+    gone = identity.tombstones(following).select("id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("rating"), F.lit(True).alias("gone"))
+    return catalog.select("id", "name", "rating", F.lit(False).alias("gone")).union(gone)
+
+
 @query
 def shortlist_batch_broad(t: Tables):
     """Requests whose one- and two-letter texts nearly every place and dish holds."""

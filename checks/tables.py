@@ -76,8 +76,8 @@ class Tables:
         return keep(requests.requests_valid(self.raw_requests()), "requests")
 
     @cached_property
-    def cells(self) -> DataFrame:
-        return keep(shortlist.best_cells(self.catalog), "cells")
+    def cells(self) -> shortlist.Cells:
+        return shortlist.kept_cells(self.catalog)
 
     @cached_property
     def shortlisted(self) -> DataFrame:

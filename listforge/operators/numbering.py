@@ -1,5 +1,7 @@
 """Consecutive numbers and running totals over a global order, without a one-task window."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,30 @@ def running_total(ordered: DataFrame, weight: str, name: str) -> DataFrame:
         .withColumn(name, F.col("_before") + F.sum(weight).over(local))
         .drop("_part", "_seq", "_before")
     )
+
+
+def keyed_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], totals: dict[str, str]) -> DataFrame:
+    """``df`` with inclusive running totals per ``keys`` in ``order``; ``totals`` maps new columns to numeric ones.
+
+    Rows are sorted by ranges of (keys, order, scan position), so a key with half of all rows is dealt over many
+    partitions. Each partition adds up its own rows of a key; what a key had in the partitions
+    before is carried over. A partition shares keys with its neighbours only at its two ends, so there are at most twice as many
+    carried rows as partitions, and those are broadcast. Equal places in ``order`` count in scan order.
+    """
+    keys = list(keys)
+    # Written before the sort: finding the ranges reads the rows once more.
+    ordered = in_order(keep(df, "to-order"), *keys, *order).withColumn("_part", F.shiftright("_seq", _ROW_BITS))
+    sums = ordered.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_sum{i}") for i, c in enumerate(totals.values())])
+    of_key = Window.partitionBy(*keys)
+    earlier = of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_parts", F.count(F.lit(1)).over(of_key)).select(
+        "_part", "_parts", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        *[F.coalesce(F.sum(f"_sum{i}").over(earlier), F.lit(0)).alias(f"_before{i}") for i in range(len(totals))]).filter("_parts > 1").drop("_parts")
+    local = Window.partitionBy("_part", *keys).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ordered.select(*df.columns, "_part", *[F.sum(c).over(local).alias(f"_local{i}") for i, c in enumerate(totals.values())])
+    same = rows["_part"] == carried["_part"]
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(carried[f"_key{i}"])
+    return rows.join(F.broadcast(carried), same, "left").select(
+        *[rows[c] for c in df.columns],
+        *[(F.coalesce(F.col(f"_before{i}"), F.lit(0)) + F.col(f"_local{i}")).alias(name) for i, name in enumerate(totals)])

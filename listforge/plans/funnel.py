@@ -1,9 +1,10 @@
 """Filter funnels: how many listings survive each predicate, and which one left none."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators.numbering import keyed_totals
 from ..operators.predicates import budget_is, cuisine_matches, location_matches, rating_at_least
 from ..operators.spread import spread_join
 from ..operators.substring import substring_pairs
@@ -36,7 +37,8 @@ def filter_funnel_batch(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 
     The catalog is reduced once to a histogram over (location, cuisine set, rating, tier), so a
     listing counts once however many of its cuisines match. Sets are matched through their
-    members; thresholds are answered by running counts in rating order.
+    members; thresholds are answered by running counts in rating order, which a sweep over ranges of
+    (place, dish, rating) adds up, so a pair that holds half of all counts is spread over many tasks.
     """
     asked = wishes(requests)
     histogram = keep(
@@ -69,21 +71,20 @@ def filter_funnel_batch(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         .groupBy("place", "dish", "rating", "budget").agg(F.sum("n").alias("n"))
     )
     keys = ["place", "dish", "min_rating", "budget"]
+    by_wish = keep(by_wish, "by-wish")
+    per_pair = by_wish.groupBy("place", "dish").agg(F.sum("n").alias("n_cuisine"))
     counted = by_wish.select("place", "dish", F.col("rating").alias("mark"), F.lit(0).alias("kind"), "budget", "n")
     wanted = asked.select(*keys).distinct().select(
         "place", "dish", F.col("min_rating").alias("mark"), F.lit(1).alias("kind"), "budget", F.lit(0).cast("bigint").alias("n"))
-    # From the best rating down, unrated last; at equal marks the counts come before the thresholds.
-    group = Window.partitionBy("place", "dish")
-    down = group.orderBy(F.desc("mark"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    tier_sum = lambda t: F.sum(F.when(F.col("budget") == t, F.col("n")).otherwise(F.lit(0))).over(down).alias(f"upto_{t}")
-    running = counted.unionByName(wanted).select(
-        "place", "dish", "mark", "kind", "budget", F.sum("n").over(group).alias("n_cuisine"),
-        F.sum("n").over(down).alias("n_rating"), *[tier_sum(t) for t in fixed.TIERS],
-    ).filter(F.col("kind") == 1)
-    n_budget = F.coalesce(*[F.when(F.col("budget") == t, F.col(f"upto_{t}")) for t in fixed.TIERS])
-    per_wish = running.select(
-        "place", "dish", F.col("mark").alias("min_rating"), "budget", "n_cuisine", "n_rating", n_budget.alias("n_budget"),
-    ).join(per_place, "place", "left")
+    # Thresholds are merged into the sorted ratings: from the best down, unrated last, counts before thresholds at equal
+    # marks. The running totals at a threshold are its answer.
+    tiers = {t: F.when(F.col("budget") == t, F.col("n")).otherwise(F.lit(0)).alias(f"n_{t}") for t in fixed.TIERS}
+    marks = counted.unionByName(wanted).select("*", *tiers.values())
+    swept = keyed_totals(marks, ["place", "dish"], [F.desc("mark"), "kind"], {"n_rating": "n", **{f"upto_{t}": f"n_{t}" for t in tiers}})
+    n_budget = F.coalesce(*[F.when(F.col("budget") == t, F.col(f"upto_{t}")) for t in tiers])
+    per_wish = swept.filter(F.col("kind") == 1).select(
+        "place", "dish", F.col("mark").alias("min_rating"), "budget", "n_rating", n_budget.alias("n_budget"),
+    ).join(per_pair, ["place", "dish"], "left").join(per_place, "place", "left")
     answered = spread_join(asked, per_wish, keys, "request_id").withColumn("n_all", n_all)
     counts = answered.select("request_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
     return counts.select("request_id", *COUNTS, _empty_stage())

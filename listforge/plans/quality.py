@@ -12,6 +12,11 @@ from ..sources.catalog import catalog_path, read_catalog
 from ..sources.schema import CATALOG_COLUMNS
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+#: Ids and bytes of one bitmap, and the bytes that an id costs in a shuffle.
+BITMAP_IDS, BITMAP_BYTES, ID_BYTES = 32_768, 4_096, 8
+
+
 class QualityError(ValueError):
     """An error rule failed."""
 
@@ -35,9 +40,9 @@ def quality_report(df: DataFrame, numbered: bool = False, corrupt: int | None =
     """One row per rule: ``rule, severity, value, threshold, failed``.
 
     Errors stop an ingest, warnings are reported, checks are the acceptance thresholds of
-    a finished catalog. All counts come from one pass. Whether ids are unique is a separate count by id that
-    reads the id column only; for ids that the same job has just ``numbered`` 1..n, their range, count and
-    sums in that one pass say it without a shuffle. ``corrupt`` adds a rule with the number of source rows that
+    a finished catalog. All counts come from one pass. How many ids stand more than once is an exact count of its own that
+    reads the id column only (:func:`surplus_ids`); ids that the same job has just ``numbered`` 1..n are counted by bitmaps
+    without a look at them first. ``corrupt`` adds a rule with the number of source rows that
     could not be read. Percentages are rounded to 6 places.
     """
     present = [c for c in CATALOG_COLUMNS if c in df.columns]
@@ -57,17 +62,13 @@ def quality_report(df: DataFrame, numbered: bool = False, corrupt: int | None =
         count_if("bad_tier", col("budget").isNotNull() & ~col("budget").isin(fixed.TIERS), "budget"),
         count_if("tier_differs", col("budget").isNotNull() & col("cost_for_two").isNotNull() & tier_differs,
                  "budget", "cost_for_two"),
-        *([_dense_ids(df)] if has("id") and numbered else []),
+        *([F.min("id").alias("first_id"), F.max("id").alias("last_id")] if has("id") and numbered else []),
     )
-    if has("id") and numbered:
-        facts = facts.withColumn("extra_ids", F.when(col("dense") | (col("n_rows") == 0), F.lit(0)).otherwise(col("n_rows")).cast("bigint"))
-    elif has("id"):
-        extra = (
-            df.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-            # Null ids count as missing values, so each of them is surplus here.
-            .agg(F.coalesce(F.sum(F.when(col("id").isNull(), col("n")).otherwise(col("n") - 1)), F.lit(0)).alias("n"))
-        )
-        facts = facts.withColumn("extra_ids", extra.scalar())
+    if has("id"):
+        facts = facts.withColumn("extra_ids", surplus_ids(df, dense=True if numbered else None).scalar())
+        if numbered:  # a gap is an error as well
+            whole = (n == 0) | ((col("first_id") == 1) & (col("last_id") == n))
+            facts = facts.withColumn("extra_ids", F.when(F.coalesce(whole, F.lit(False)), col("extra_ids")).otherwise(n))
     else:
         facts = facts.withColumn("extra_ids", F.lit(0).cast("bigint"))
 
@@ -110,12 +111,35 @@ def quality_report(df: DataFrame, numbered: bool = False, corrupt: int | None =
     return facts.select(F.inline(F.array(*rules)))
 
 
-def _dense_ids(df: DataFrame) -> Column:
-    """Whether the ids look like 1..n: count, range and the first two power sums are those of 1..n."""
-    i, n = F.col("id").cast("decimal(18,0)"), F.count(F.lit(1)).cast("decimal(12,0)")
-    filled = (F.count("id") == F.count(F.lit(1))) & (F.min("id") == 1) & (F.max("id") == F.count(F.lit(1)))
-    sums = (F.sum(i) * 2 == n * (n + 1)) & (F.sum(i * i) * 6 == n * (n + 1) * (2 * n + 1))
-    return (filled & sums).alias("dense")
+def surplus_ids(df: DataFrame, dense: bool | None = None) -> DataFrame:
+    """One row, one column ``n``: rows beyond the first of each id; every null id is surplus.
+
+    Exact in both ways. ``dense`` ids set bits: each task makes one bitmap of 4 KB per 32,768 neighbouring
+    ids, bitmaps are merged per bucket, and rows without a bit of their own are surplus. Other ids are
+    counted one by one. Unless told, :func:`bitmaps_pay` looks at the id ranges first.
+    """
+    whole = dict(df.dtypes)["id"] in _WHOLE
+    if whole and (bitmaps_pay(df) if dense is None else dense):
+        i = F.col("id").cast("bigint")
+        per_bucket = df.groupBy(F.bitmap_bucket_number(i).alias("bucket")).agg(
+            F.count(F.lit(1)).alias("n"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(i))).alias("bits"))
+        surplus = F.when(F.col("bucket").isNull(), F.col("n")).otherwise(F.col("n") - F.col("bits"))
+        return per_bucket.agg(F.coalesce(F.sum(surplus), F.lit(0)).alias("n"))
+    per_id = df.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    # Null ids count as missing values, so each of them is surplus here.
+    surplus = F.when(F.col("id").isNull(), F.col("n")).otherwise(F.col("n") - 1)
+    return per_id.agg(F.coalesce(F.sum(surplus), F.lit(0)).alias("n"))
+
+
+def bitmaps_pay(df: DataFrame) -> bool:
+    """Whether bitmaps move fewer bytes than the ids: from the id range of each input partition, one row per partition.
+
+    A task holds at most one bitmap per id, and one per bucket of its range.
+    """
+    parts = df.select("id", F.spark_partition_id().alias("part")).groupBy("part").agg(F.count("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    span = (F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)")) / BITMAP_IDS + 2
+    sums = parts.agg(F.sum("n"), F.sum(F.least(F.col("n").cast("double"), span.cast("double")))).first()
+    return bool(sums[0]) and sums[1] * BITMAP_BYTES <= sums[0] * ID_BYTES
 
 
 def failed_errors(report: Iterable[Row]) -> list[str]:

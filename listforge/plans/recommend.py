@@ -14,8 +14,9 @@ from ..functions.numbers import one_decimal, whole_number
 from ..functions.text import strip
 from ..sources.schema import RESPONSE
 from ..sources.shared import keep
+from .rounds import Call, score_in_rounds
 from .scoring import Scorer, outcomes, score
-from .shortlist import best_cells, wish_lists, wishes, with_shortlist
+from .shortlist import Cells, indexed, kept_cells, wish_lists, wishes, with_shortlist
 
 
 def _fallback(explanation) -> Column:
@@ -29,7 +30,7 @@ def _fallback(explanation) -> Column:
     )
 
 
-def answers(requests: DataFrame, cells: DataFrame, responses: DataFrame,
+def answers(requests: DataFrame, cells: DataFrame | Cells, responses: DataFrame,
             max_retries: int = fixed.MAX_RETRIES, strict_numbers: bool = False,
             word_boundary: bool = False, lists: DataFrame | None = None) -> DataFrame:
     """Per valid request: ``kind``, proposals as answered, ``recs``, ``items`` and ``summary``.
@@ -95,12 +96,12 @@ def answers(requests: DataFrame, cells: DataFrame, responses: DataFrame,
 
 
 def recommend(requests: DataFrame, catalog: DataFrame | None, scorer: Scorer | None = None,
-              cells: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+              cells: DataFrame | Cells | None = None, tasks: int | None = None) -> DataFrame:
     """The whole way for a table of valid requests; without a scorer the rating fallback answers.
 
     ``cells`` built before from the catalog take its place.
     """
-    cells = keep(best_cells(catalog), "cells") if cells is None else cells
+    cells = kept_cells(catalog) if cells is None else indexed(cells)
     if scorer is None:
         return answers(requests, cells, requests.sparkSession.createDataFrame([], RESPONSE))
     # Two uses: the prompts and the answers. One row per distinct wish is far less than one per request.
@@ -110,6 +111,17 @@ def recommend(requests: DataFrame, catalog: DataFrame | None, scorer: Scorer | N
     return answers(requests, cells, responses, lists=lists)
 
 
+def recommend_in_rounds(requests: DataFrame, cells: DataFrame | Cells, call: Call, ledger: str,
+                        max_retries: int = fixed.MAX_RETRIES) -> DataFrame:
+    """The whole way with a scorer that answers one prompt: rounds of calls, only failed requests called again.
+
+    ``ledger`` is the path of the table of calls; the same path after a crash goes on from there.
+    """
+    lists = keep(wish_lists(wishes(requests), cells), "lists")
+    responses = score_in_rounds(with_shortlist(requests, cells, lists=lists), call, ledger, max_retries)
+    return answers(requests, cells, responses, max_retries, lists=lists)
+
+
 def valid_recs(answered: DataFrame) -> DataFrame:
     """Known ids in response order, at most five; ``rec_pos`` is the place in the response."""
     return answered.filter(F.col("kind") == "scored").select("request_id", F.inline("recs")).drop("explanation")

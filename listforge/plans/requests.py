@@ -9,16 +9,35 @@ from ..functions.numbers import parse_number
 from ..functions.text import strip
 
 
+def from_json(bodies: DataFrame) -> DataFrame:
+    """Requests from JSON texts (request_id, body), with ``min_rating_given``: whether the threshold stands there at all.
+
+    Texts must be texts; a threshold may be a number, a text or a truth value. What is no JSON object has no fields.
+    """
+    value = F.try_parse_json("body")
+    field = lambda name: F.try_variant_get("value", f"$.{name}", "variant")
+    text = lambda name: F.when(F.schema_of_variant(field(name)) == "STRING", F.try_variant_get("value", f"$.{name}", "string")).alias(name)
+    kind = F.schema_of_variant(field("min_rating"))
+    threshold = (F.when(kind == "BOOLEAN", F.try_variant_get("value", "$.min_rating", "boolean").cast("int").cast("string"))
+                 .when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.try_variant_get("value", "$.min_rating", "string")))
+    return bodies.select("request_id", value.alias("value")).select(
+        "request_id", text("location"), text("cuisine"), threshold.alias("min_rating"), text("budget"), field("min_rating").isNotNull().alias("min_rating_given"))
+
+
 def checked(requests: DataFrame) -> DataFrame:
     """Cleaned fields plus ``errors``, the names of the fields that break a rule.
 
-    An absent threshold means 0.0; a table cannot tell it from an explicit null.
+    An absent threshold means 0.0 and an explicit null is refused, where ``min_rating_given`` tells them apart (see
+    :func:`from_json`); without that column every null counts as absent.
     """
+    absent = F.col("min_rating").isNull()
+    if "min_rating_given" in requests.columns:
+        absent = absent & ~F.col("min_rating_given")
     cleaned = requests.select(
         "request_id",
         strip(F.col("location")).alias("location"),
         strip(F.col("cuisine")).alias("cuisine"),
-        F.when(F.col("min_rating").isNull(), F.lit(fixed.DEFAULT_MIN_RATING))
+        F.when(absent, F.lit(fixed.DEFAULT_MIN_RATING))
         .otherwise(parse_number(F.col("min_rating").cast("string"))).alias("min_rating"),
         "budget",
     )

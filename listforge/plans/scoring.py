@@ -1,6 +1,6 @@
 """Scorer responses: candidates out, JSON answers in, checks and retries between."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -91,19 +91,21 @@ def _field_by_field(value: Column) -> Column:
     return _answer(_field(value, "summary"), _field(value, "recommendations", "array<variant>"), _field)
 
 
-def judged(responses: DataFrame) -> DataFrame:
-    """Responses with ``status`` and, if valid, ``summary`` and ``recommendations``.
+def judged(responses: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Responses with ``status`` and, if valid, ``summary`` and ``recommendations``; ``carry`` names columns to keep.
 
     ``ok``: a JSON object with a text summary and a list of (id, rank, explanation). Other fields may hold
     anything, NaN and infinities as well; of repeated keys the last counts.
     ``retry``: not JSON or another shape. ``stop``: an error, or JSON that is no object.
     """
-    closed = F.concat(F.lit("["), "raw", F.lit(f',"{_END}"]'))
-    marked = responses.select(
-        "request_id", "attempt", (F.col("error").isNotNull() | F.col("raw").isNull()).alias("broken"),
-        F.try_parse_json(closed).alias("parsed"), F.when(F.try_parse_json(closed).isNull(), F.from_json(closed, "array<string>")).alias("texts"))
+    kept = ["request_id", "attempt", *carry]
+    closed = responses.select(*kept, (F.col("error").isNotNull() | F.col("raw").isNull()).alias("broken"),
+                              F.concat(F.lit("["), "raw", F.lit(f',"{_END}"]')).alias("closed"))
+    # Parsed once: the next steps use the value more than once, so Catalyst leaves it in a projection of its own.
+    once = closed.withColumn("parsed", F.try_parse_json("closed"))
+    marked = once.withColumn("texts", F.when(F.col("parsed").isNull(), F.from_json("closed", "array<string>")))
     parsed = marked.select(
-        "request_id", "attempt", "broken",
+        *kept, "broken",
         F.when(F.try_variant_get("parsed", "$[1]", "string") == _END, F.try_variant_get("parsed", "$[0]", "variant")).alias("value"),
         F.when((F.size("texts") == 2) & (F.get("texts", F.lit(1)) == _END), F.get("texts", F.lit(0))).alias("other"))
     shaped = parsed.withColumn("shape", F.coalesce(_kind_of(F.col("value")), F.when(F.col("other").startswith("{"), "OBJECT").when(F.col("other").isNotNull(), "other")))
@@ -125,7 +127,7 @@ def judged(responses: DataFrame) -> DataFrame:
         .when(complete, "ok")
         .otherwise("retry")
     )
-    return read.select("request_id", "attempt", status.alias("status"),
+    return read.select(*kept, status.alias("status"),
                        summary.alias("summary"), recommendations.alias("recommendations"))
 
 

@@ -1,52 +1,121 @@
 """The catalog table: versioned Parquet sink and scan."""
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import CATALOG, CATALOG_COLUMNS
-from .shared import exists, remove
+from .shared import create, exists, names_in, remove
 
-_MANIFEST = "_published"
+_MANIFEST, _LEASES, _CLAIM = "_published", "_leases", "claim-"
+
+
+class PublishConflict(RuntimeError):
+    """Somebody else published after this job had looked."""
 
 
 def _not_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def _published(spark: SparkSession, path: str) -> dict[int, str]:
+    """Names of the published versions by number. The manifest has one file per version, named by its number."""
+    entries = names_in(spark, f"{path.rstrip('/')}/{_MANIFEST}")
+    return {int(number): name for number, _, name in (e.partition("-") for e in sorted(entries) if e[:1].isdigit())}
+
+
 def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Folders of the published versions, newest first; the manifest has one row each."""
-    manifest = f"{path.rstrip('/')}/{_MANIFEST}"
-    if not exists(spark, manifest):
-        return []
-    found = spark.read.schema("seq bigint, version string").parquet(manifest)
-    return [f"{path.rstrip('/')}/{r.version}" for r in found.orderBy(F.desc("seq")).collect()]
+    """Folders of the published versions, newest first."""
+    return [f"{path.rstrip('/')}/{name}" for _, name in sorted(_published(spark, path).items(), reverse=True)]
+
+
+def _leased(spark: SparkSession, path: str) -> set[str]:
+    """Names of the versions that a reader holds; leases that have run out are taken away."""
+    folder, held = f"{path.rstrip('/')}/{_LEASES}", set()
+    for entry in names_in(spark, folder):
+        until, _, rest = entry.partition("-")
+        if int(until) < time.time():
+            remove(spark, f"{folder}/{entry}")
+        else:
+            held.add(rest.rpartition("-")[0])
+    return held
+
+
+def lease(spark: SparkSession, path: str, seconds: float) -> tuple[str, str]:
+    """Hold the newest version for some time: its folder and the lease, to be given to :func:`release`.
+
+    The lease is made before the version is looked up again, so a publisher either sees the lease or the reader the newer version.
+    """
+    while True:
+        folder = catalog_path(spark, path)
+        name = folder.rpartition("/")[2]
+        held = f"{path.rstrip('/')}/{_LEASES}/{int(time.time() + seconds) + 1}-{name}-{uuid.uuid4().hex}"
+        create(spark, held)
+        if exists(spark, folder):
+            return folder, held
+        release(spark, held)
+
+
+def release(spark: SparkSession, held: str) -> None:
+    remove(spark, held)
 
 
-def write_catalog(catalog: DataFrame, path: str, partition_by_budget: bool = False, versions: int = 2) -> int:
+@contextmanager
+def pinned(spark: SparkSession, path: str, seconds: float = 24 * 3600) -> Iterator[DataFrame]:
+    """The newest version's rows for a job of several reads: publishers do not remove it before the block ends or the time is up."""
+    folder, held = lease(spark, path, seconds)
+    try:
+        yield _canonical(spark, folder, folder == path)
+    finally:
+        release(spark, held)
+
+
+def write_catalog(catalog: DataFrame, path: str, partition_by_budget: bool = False, versions: int = 2, after: int | None = None) -> int:
     """Publish ``catalog`` as the newest version under ``path``; returns its rows.
 
-    The version is written beside the others and only then named in the manifest, by one appended file:
-    a write that fails half-way leaves what was published before in place. The newest ``versions`` are left.
-    NaN becomes null. The row count is observed during the write, not counted again.
+    The version is written beside the others and only then named in the manifest, by creating the one file of the next
+    number: of two publishers that started from the same version the second fails with :class:`PublishConflict`, and a write that
+    fails half-way leaves what was published before in place. ``after`` is the number (:func:`latest`) that the
+    caller's input came from, by default the one at the start. The newest ``versions`` are left, and
+    older ones that a reader holds. NaN becomes null. The row count is observed during the write, not counted again.
     """
     spark, rows = catalog.sparkSession, Observation("catalog_rows")
-    before = _versions(spark, path)
-    name = f"_version-{len(before):06d}-{uuid.uuid4().hex}"
+    seen = latest(spark, path) if after is None else after
+    name = f"_version-{seen + 1:06d}-{uuid.uuid4().hex}"
+    folder = f"{path.rstrip('/')}/{name}"
     clean = catalog.withColumns({c: _not_nan(F.col(c)) for c, kind in catalog.dtypes if kind in ("double", "float")})
     writer = clean.observe(rows, F.count(F.lit(1)).alias("n")).write
     if partition_by_budget:
         writer = writer.partitionBy("budget")
-    writer.parquet(f"{path.rstrip('/')}/{name}")
-    newest = spark.range(1).select(F.current_timestamp().cast("double").cast("decimal(30,6)").alias("t"), F.lit(name).alias("version"))
-    newest.select((F.col("t") * 1_000_000).cast("bigint").alias("seq"), "version").write.mode("append").parquet(f"{path.rstrip('/')}/{_MANIFEST}")
-    for old in before[max(0, versions - 1):]:
-        remove(spark, old)
+    writer.parquet(folder)
+    _commit(spark, path, seen, name)
+    held = _leased(spark, path)
+    for old in _versions(spark, path)[versions:]:
+        if old.rpartition("/")[2] not in held:
+            remove(spark, old)
     return rows.get["n"]
 
 
+def latest(spark: SparkSession, path: str) -> int:
+    """The last number taken, 0 where there is none; a publisher that died after taking one leaves a gap."""
+    taken = names_in(spark, f"{path.rstrip('/')}/{_MANIFEST}")
+    return max((int(name.removeprefix(_CLAIM)) for name in taken if name.startswith(_CLAIM)), default=0)
+
+
+def _commit(spark: SparkSession, path: str, seen: int, name: str) -> None:
+    """Name the version in the manifest, if its number is the next one and no other publisher takes it first."""
+    manifest, number = f"{path.rstrip('/')}/{_MANIFEST}", f"{seen + 1:012d}"
+    if latest(spark, path) != seen or not create(spark, f"{manifest}/{_CLAIM}{number}"):
+        remove(spark, f"{path.rstrip('/')}/{name}")
+        raise PublishConflict(f"{path}: another job has published version {seen + 1}; start again from it")
+    create(spark, f"{manifest}/{number}-{name}")
+
+
 def catalog_path(spark: SparkSession, path: str) -> str:
     """Folder of the newest version; ``path`` itself if nothing was published there (a foreign table)."""
     return next(iter(_versions(spark, path)), path)
@@ -59,14 +128,19 @@ def read_catalog(spark: SparkSession, path: str, cache: bool = False) -> DataFra
     table becomes null. The scan keeps Parquet pushdown and pruning; ``cache`` holds the table over many uses.
     """
     folder = catalog_path(spark, path)
+    out = _canonical(spark, folder, folder == path)
+    return out.cache() if cache else out
+
+
+def _canonical(spark: SparkSession, folder: str, foreign: bool) -> DataFrame:
     try:
         found = spark.read.parquet(folder)
     except AnalysisException as e:
-        raise FileNotFoundError(f"no catalog at {path}: run listforge.plans.ingest.ingest first") from e
+        raise FileNotFoundError(f"no catalog at {folder}: run listforge.plans.ingest.ingest first") from e
     columns = dict(found.dtypes)
     missing = [c for c in CATALOG_COLUMNS if c not in columns]
     if missing:
-        raise ValueError(f"catalog at {path} lacks columns: {', '.join(missing)}")
+        raise ValueError(f"catalog at {folder} lacks columns: {', '.join(missing)}")
     cuisines = F.col("cuisines")
     if columns["cuisines"] == "string":
         cuisines = F.when(cuisines.isNotNull(), F.array(cuisines))
@@ -77,7 +151,6 @@ def read_catalog(spark: SparkSession, path: str, cache: bool = False) -> DataFra
             return cuisines.alias("cuisines")
         c = F.col(field.name).cast(field.dataType)
         # Published versions hold no NaN, so conditions on their columns reach the scan as they are.
-        return (_not_nan(c) if folder == path and columns[field.name] in ("double", "float") else c).alias(field.name)
+        return (_not_nan(c) if foreign and columns[field.name] in ("double", "float") else c).alias(field.name)
 
-    out = found.select(*[read(f) for f in CATALOG.fields])
-    return out.cache() if cache else out
+    return found.select(*[read(f) for f in CATALOG.fields])

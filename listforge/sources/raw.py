@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lines import records
+
 # File and row number of a raw row; together they give the input order.
 POSITION = ["_file", "_row"]
 # Holds the text of a record that does not fit the columns.
@@ -20,10 +22,10 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", splits: Seque
     cleaners decide what a value means. A ``schema`` spares the pass that finds the columns; with it CSV and JSON
     records that do not fit are marked in the column CORRUPT. CSV records may hold quoted line breaks; a
     file is then one task, and ``multi_line=False`` splits large files that have none. ``positions`` adds the
-    :data:`POSITION` columns (Parquet only, other formats have no row numbers), from which an ingest numbers
-    the rows in input order without sorting.
+    :data:`POSITION` columns, from which an ingest numbers the rows in input order without sorting. With it CSV (header in
+    each file, quoted line breaks or not) and JSON lines are split by byte ranges as well, however large a file is.
     """
-    if positions and fmt != "parquet":
+    if positions and fmt not in ("parquet", "csv", "json"):
         raise ValueError(f"{fmt} rows have no positions: number them by an order column")
     source = f"{path.rstrip('/')}/{splits[0]}" if splits else path
     reader = spark.read.format(fmt)
@@ -39,9 +41,20 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", splits: Seque
     table = reader.load(source)
     if not positions:
         return table
+    if fmt == "csv":
+        rows = records(spark, source).filter(F.col("_row") > 0).withColumn("_row", F.col("_row") - 1)
+        read = F.from_csv("record", _ddl(table.schema), {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        return rows.select(read.alias("_read"), *POSITION).select("_read.*", *POSITION)
+    if fmt == "json":
+        read = F.from_json("record", table.schema, {"primitivesAsString": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        return records(spark, source, quotes=False).select(read.alias("_read"), *POSITION).select("_read.*", *POSITION)
     return table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+def _ddl(shape: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in shape.fields)
+
+
 def resolve_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
     """First candidate present, in exact case; names may hold blanks and brackets.
 

@@ -5,6 +5,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _scope: ContextVar[list[str] | None] = ContextVar("kept_tables", default=None)
@@ -32,6 +33,25 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def create(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it is there already. File systems make it for one caller only."""
+    files, target = _in_file_system(spark, path)
+    files.mkdirs(target.getParent())
+    try:
+        files.create(target, False).close()
+    except Py4JJavaError as e:
+        if files.exists(target):
+            return False
+        raise OSError(f"cannot write {path}") from e
+    return True
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder, none if there is no such folder."""
+    files, target = _in_file_system(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+
+
 @contextmanager
 def kept_tables(spark: SparkSession) -> Iterator[None]:
     """Tables kept inside the block are removed at its end.

@@ -7,11 +7,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans import recommend
 from ..plans.requests import checked
 from ..plans.scoring import Scorer
+from ..plans.shortlist import Cells, indexed
 from ..sources.payload import write_payload
 from ..sources.shared import keep, kept_tables
 
 
-def answer_stream(requests: DataFrame, cells: DataFrame, path: str, checkpoint: str,
+def answer_stream(requests: DataFrame, cells: DataFrame | Cells, path: str, checkpoint: str,
                   scorer: Scorer | None = None, **trigger) -> StreamingQuery:
     """Validate and answer a stream of requests.
 
@@ -20,6 +21,7 @@ def answer_stream(requests: DataFrame, cells: DataFrame, path: str, checkpoint:
     kept reduction of the catalog and is not rebuilt per batch. ``trigger`` takes the
     arguments of ``DataStreamWriter.trigger``.
     """
+    cells = indexed(cells)  # once, not per batch
 
     def one_batch(batch: DataFrame, n: int) -> None:
         with kept_tables(batch.sparkSession):

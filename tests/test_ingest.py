@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from listforge.plans import ingest, options, quality
 from listforge.sources import read_catalog, read_raw, write_catalog
+from listforge.sources.catalog import PublishConflict, latest, lease, pinned
 from listforge.sources.schema import CATALOG, CATALOG_COLUMNS
-from listforge.sources.shared import keep, kept_tables, shared_dir
+from listforge.sources.shared import create, keep, kept_tables, shared_dir
 from tests import samples
 
 RAW = [
@@ -276,7 +277,7 @@ def test_csv_records(spark, tmp_path):
     done = ingest.ingest(marked, str(tmp_path / "c"))
     assert {r.rule: r.value for r in done.report}["corrupt_rows"] == 1 and done.rows == 3
     with pytest.raises(ValueError, match="positions"):
-        read_raw(spark, path, "csv", positions=True)
+        read_raw(spark, path, "orc", positions=True)
 
 
 def test_input_order_after_a_filter(spark, tmp_path):
@@ -288,12 +289,88 @@ def test_input_order_after_a_filter(spark, tmp_path):
         assert got == {i: n for i, n in enumerate(want, 1)}
 
 
-def test_dense_ids_are_seen_without_a_shuffle(spark):
+def test_ids_of_an_ingest_are_counted_by_bitmaps(spark):
     catalog = samples.catalog(spark)
     facts = {r.rule: r.failed for r in quality.quality_report(catalog, numbered=True).collect()}
     assert facts == {r.rule: r.failed for r in quality.quality_report(catalog).collect()}
     twice = catalog.withColumn("id", F.when(F.col("id") == 7, 8).otherwise(F.col("id")))
     for df in (twice, catalog.filter("id <> 5"), catalog.union(catalog)):
         assert {r.rule: r.failed for r in quality.quality_report(df, numbered=True).collect()}["duplicate_ids"]
-    plan = quality.quality_report(catalog, numbered=True)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning" not in plan
+    plan = quality.surplus_ids(catalog, dense=True)._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "hashpartitioning(id" not in plan
+
+
+IDS = [
+    ([1, 3, 4, 5, 8, 9, 3, 4, 8], 3),  # count, range and both power sums of 1..9
+    ([], 0), ([None, None, 1], 2), ([0, 0, -1, -1, -40_000], 2), ([1, 1 << 62, 1 << 62, -(1 << 62), 32_768, 32_769, 32_768], 2),
+    (list(range(1, 70_000)), 0), ([*range(1, 70_000), 5, 65_536], 2),
+]
+
+
+@pytest.mark.parametrize("ids,surplus", IDS)
+def test_surplus_ids_both_ways(spark, ids, surplus):
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(3)
+    assert [quality.surplus_ids(df, dense).first().n for dense in (True, False, None)] == [surplus] * 3
+
+
+def test_repeated_ids_with_the_sums_of_1_to_n_are_no_catalog(spark):
+    rows = [(i, "n", "Btm", [], 4.0, 300.0, "low") for i in IDS[0][0]]
+    df = spark.createDataFrame(rows, samples.CATALOG)
+    for numbered in (True, False):
+        found = {r.rule: (r.value, r.failed) for r in quality.quality_report(df, numbered=numbered).collect()}
+        assert found["duplicate_ids"] == (3.0, True)
+
+
+def test_bitmaps_are_for_near_ids_only(spark):
+    near = spark.range(1, 200_000, 1, 4)
+    assert quality.bitmaps_pay(near)
+    assert not quality.bitmaps_pay(near.select((F.col("id") * 1_000_003).alias("id")))  # 200,000 buckets of one id
+    assert not quality.bitmaps_pay(near.limit(0)) and not quality.bitmaps_pay(near.select(F.lit(None).cast("bigint").alias("id")))
+    text = near.limit(10).select(F.lit("a").alias("id"))
+    assert quality.surplus_ids(text).first().n == 9
+
+
+def test_a_reader_keeps_its_version_over_three_publishes(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = samples.catalog(spark)
+    write_catalog(rows, path)
+    with pinned(spark, path) as mine:
+        for n in (10, 20, 30):
+            write_catalog(rows.filter(f"id <= {n}"), path, versions=1)
+            assert mine.count() == rows.count()
+        assert read_catalog(spark, path).count() == 30
+        assert len(list(tmp_path.glob("c/_version-*"))) == 2
+    write_catalog(rows.filter("id <= 40"), path, versions=1)
+    assert len(list(tmp_path.glob("c/_version-*"))) == 1 and read_catalog(spark, path).count() == 40
+
+
+def test_a_lease_runs_out(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = samples.catalog(spark)
+    write_catalog(rows, path)
+    folder, held = lease(spark, path, -10)
+    write_catalog(rows, path, versions=1)
+    assert not Path(folder).exists() and not Path(held).exists()
+
+
+def test_the_second_of_two_publishers_fails(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = samples.catalog(spark)
+    write_catalog(rows.filter("id <= 5"), path)
+    start = latest(spark, path)
+    write_catalog(rows.filter("id <= 6"), path, after=start)
+    with pytest.raises(PublishConflict):
+        write_catalog(rows.filter("id <= 7"), path, after=start)
+    assert read_catalog(spark, path).count() == 6 and len(list(tmp_path.glob("c/_version-*"))) == 2
+    write_catalog(rows.filter("id <= 7"), path, after=latest(spark, path))
+    assert read_catalog(spark, path).count() == 7
+
+
+def test_a_publisher_that_died_after_its_claim_stops_nobody(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = samples.catalog(spark)
+    write_catalog(rows.filter("id <= 5"), path)
+    assert create(spark, f"{path}/_published/claim-{2:012d}") and not create(spark, f"{path}/_published/claim-{2:012d}")
+    assert read_catalog(spark, path).count() == 5
+    write_catalog(rows.filter("id <= 6"), path)
+    assert read_catalog(spark, path).count() == 6 and latest(spark, path) == 3

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from listforge.operators.numbering import in_order, number, number_rows, running_total
+from listforge.operators.numbering import in_order, keyed_totals, number, number_rows, running_total
 from listforge.operators.spread import spread_join
 from listforge.operators.substring import substring_pairs
 from listforge.operators.topk import best_per_hot_key, best_per_key
@@ -44,6 +44,29 @@ def test_running_total(spark):
     assert got == want
 
 
+def test_keyed_totals_carry_a_hot_key_over_partitions(spark):
+    rng = random.Random(11)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None, "zz"]), rng.choice([1.5, 2.5, None]), rng.randint(0, 9), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, mark double, n bigint, row int").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = keyed_totals(df.withColumn("one", F.lit(1)), ["k"], [F.desc("mark"), "row"], {"upto": "n", "rows": "one"})
+    found = {r.row: (r.upto, r.rows) for r in got.collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total, want = {}, {}
+    for k, mark, n, row in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[3])):
+        a, b = total.get(k, (0, 0))
+        total[k] = want[row] = (a + n, b + 1)
+    assert found == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(_part" in plan  # rows are numbered per partition and key, never per key alone
+
+
+def test_keyed_totals_of_repeated_rows_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1)] * 500, "k string, n bigint").repartition(5)
+    assert sorted(r.upto for r in keyed_totals(df, ["k"], ["n"], {"upto": "n"}).collect()) == list(range(1, 501))
+    assert keyed_totals(df.limit(0), ["k"], ["n"], {"upto": "n"}).collect() == []
+
+
 def test_substring_pairs_equal_brute_force(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("aabc é%_") for _ in range(rng.randint(1, n)))

@@ -35,3 +35,14 @@ def test_numeric_thresholds(spark):
 def test_summary(spark):
     df = plan.requests_valid(spark.createDataFrame(ROWS[:1], REQUEST))
     assert plan.requests_summary(df).first().summary == "location='Btm'  cuisine='North Indian'  min_rating=3.5  budget='medium'"
+
+
+def test_json_bodies_tell_null_from_absent(spark):
+    good = '"location": " Btm ", "cuisine": "Cafe", "budget": "low"'
+    bodies = [f"{{{good}}}", f'{{{good}, "min_rating": null}}', f'{{{good}, "min_rating": 3}}', f'{{{good}, "min_rating": "3.5"}}', f'{{{good}, "min_rating": true}}',
+              f'{{{good}, "min_rating": [1]}}', f'{{{good}, "min_rating": 5.01}}', '{"location": 7, "cuisine": null, "budget": "low"}', "[]", "no json", None]
+    df = plan.from_json(spark.createDataFrame(list(enumerate(bodies)), "request_id bigint, body string"))
+    got = {r.request_id: (r.min_rating, r.errors) for r in plan.checked(df).collect()}
+    everything = (0.0, ["location", "cuisine", "budget"])
+    assert got == {0: (0.0, []), 1: (None, ["min_rating"]), 2: (3.0, []), 3: (3.5, []), 4: (1.0, []), 5: (None, ["min_rating"]), 6: (5.01, ["min_rating"]),
+                   7: (0.0, ["location", "cuisine"]), 8: everything, 9: everything, 10: everything}
