@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, keep
 
 PREFIX = 64
+#: Bits that open heads are marked in where there are too many for a list; 64 MB whatever their number.
+HEAD_BITS = 1 << 29
+
+
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("_length", "_prefix"), F.lit(HEAD_BITS)).cast("bigint")
 
 
 def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix: int = PREFIX) -> DataFrame:
@@ -34,9 +40,16 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix:
     if open_heads.count() <= BROADCAST_ROWS:
         marked = wide.join(F.broadcast(open_heads), ["_length", "_prefix"], "left").withColumn("_full", F.when(F.col("_open"), full))
     else:
-        # Too many for a broadcast: hashing everything is cheaper than shuffling texts.
-        marked = wide.withColumn("_full", full).drop("_text").join(open_heads, ["_length", "_prefix"], "left")
-        marked = marked.withColumn("_full", F.when(F.col("_open"), F.col("_full")))
+        # Too many for a broadcast as they are, so as bits: a text is hashed if the bit of its head is set. A bit that
+        # another head has set costs one hash more; such a text is then alone in its group.
+        bits = open_heads.select(_bit().alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("_bits"))
+        bits = keep(bits, "open-bits")  # at most HEAD_BITS / 8 bytes
+        bucket = F.bitmap_bucket_number(_bit() + 1).alias("_bucket")
+        marked = wide.withColumn("_bucket", bucket).join(F.broadcast(bits), "_bucket", "left")
+        at = F.bitmap_bit_position(_bit() + 1)
+        byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))
+        marked = marked.withColumn("_full", F.when(F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)), full))
     rows = keep(marked.select("doc_id", "_length", "_prefix", "_full", *carry), "hashed")
     groups = (rows.filter("_full is not null").groupBy("_length", "_full")
               .agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"))
@@ -50,10 +63,36 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; columns unchanged."""
+    """``docs`` with one row of each text, that of the largest doc_id; columns unchanged.
+
+    Rows that repeat an id and text, and copies that have no id at all, are copies as well: the first in storage order stays, if ``docs``
+    is a stored table, else any one.
+    """
     mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))  # an id may stand at several texts
-    flags = exact_dedup(docs, {"_mark": mark})
-    gone = keep(flags.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_mark"), "copies")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (mark == gone["_mark"]), "left_anti")
+    flags = keep(exact_dedup(docs, {"_mark": mark}).select("doc_id", "kept", "_mark"), "flags")
+    gone = flags.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_mark").distinct()
+    left = flags.filter("kept").groupBy("doc_id", "_mark").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return one_row_each(docs, mark, keep(gone, "copies"), keep(left.select(F.col("doc_id").alias("_id"), "_mark"), "repeated"))
+
+
+def one_row_each(docs: DataFrame, mark: Column, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the (id, mark) pairs ``gone``, and with one row of each pair ``repeated``; both are kept tables.
+
+    Repeated rows alone are shuffled, by pair and first by input partition, so a row repeated any number of times is no hot spot.
+    """
+    def side(df):
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    columns = docs.columns
+    marked = docs.withColumn("_listforge_mark", mark)
+    id_ = F.col("doc_id")
+    left = marked.join(side(gone), id_.eqNullSafe(gone["_gone"]) & (F.col("_listforge_mark") == gone["_mark"]), "left_anti")
+    if repeated.isEmpty():
+        return left.select(*columns)
+    more = side(repeated)
+    same = id_.eqNullSafe(repeated["_id"]) & (F.col("_listforge_mark") == repeated["_mark"])
+    rows = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    firsts = (left.join(more, same, "left_semi").select("doc_id", "_listforge_mark", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"), rows)
+              .groupBy("doc_id", "_listforge_mark", "_part").agg(F.min_by("_row", "_at").alias("_row"), F.min("_at").alias("_at"))
+              .groupBy("doc_id", "_listforge_mark").agg(F.min_by("_row", "_at").alias("_row")).select("_row.*"))
+    return left.join(more, same, "left_anti").select(*columns).union(firsts)
