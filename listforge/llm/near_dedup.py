@@ -2,15 +2,16 @@
 
 import hashlib
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, keep, semi_by, shingle_sets
+from .common import BROADCAST_ROWS, keep, shingle_sets
 from .components import components
+from .exact_dedup import one_row_each
 
 WORDS = 5
 PERCENT = 85
@@ -19,14 +20,17 @@ SKETCH = 32
 #: Probability, at most, that sketches alone sort out a pair at the threshold.
 MISSED = 1e-6
 TREES = 6
-#: Tokens chosen per level of a path; its length is the depth of the trees.
-BRANCHES = (2, 2, 2, 2)
+#: Tokens chosen per level of a path, and the levels after which a node that stays large is compared in slices.
+BRANCHES, LEVELS = 2, 8
 #: Nodes of up to so many classes are compared without branching further.
-LEAF = 48
-#: Rows of one side in a comparison tile of a larger node.
-TILE = 512
-#: Rows and tokens, about, that one Python group holds when nodes are compared.
-GROUP_ROWS, GROUP_TOKENS = 8192, 2_000_000
+LEAF = 2048
+#: Share of a large node's classes from which a child counts as the same group again.
+STAYS = 0.5
+#: Rows, at most, of one side of a comparison of sketches, and rows and tokens of one of whole sets; a larger group is cut
+#: into slices with common pivots.
+NODE_ROWS, SLICE_ROWS, SLICE_TOKENS, PIVOTS = 8192, 2048, 1_000_000, 32
+#: Rows and tokens, about, that one Python group holds.
+GROUP_ROWS, GROUP_TOKENS = 8192, 1_000_000
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -47,13 +51,14 @@ def _signatures(size: int):
 
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # a text that repeats brings its set once a task
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # sets are larger than their texts
-                sets = [s for s in shingle_sets(_texts(batch.column("text").slice(at, 256)), size) if len(s)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array(sets, pa.list_(pa.int64())),
-                ], names=["cls", "tokens"])
+                part = batch.slice(at, 256)
+                sets = shingle_sets(_texts(part.column("text")), size)
+                new = [i for i, c in enumerate(part.column("cls").to_pylist()) if c not in seen and not seen.add(c)]
+                rows = part.take(pa.array(new, pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("g", "cls", "slices")] + [pa.array([sets[i] for i in new], pa.list_(pa.int64()))], names=["g", "cls", "slices", "tokens"])
     return run
 
 
@@ -71,200 +76,222 @@ def least_shared(percent: int) -> float:
     return shared / SKETCH
 
 
-def _alike(a: str, b: str, percent: int):
-    """Whether two sketches share enough for their sets to be near."""
-    return F.size(F.array_intersect(a, b)) >= least_shared(percent) * F.least(F.lit(SKETCH), F.greatest(F.size(a), F.size(b)))
+# -- chosen paths --
 
+def _children(rows: DataFrame) -> DataFrame:
+    """Rows one level down: a child node is the hash of its parent and a chosen token that the path has not used."""
+    left = F.array_except("sketch", "used") if "used" in rows.columns else F.col("sketch")
+    chosen = F.slice(F.array_sort(F.transform(left, lambda t: F.struct(F.xxhash64(t, F.col("node")).alias("node"), t.alias("t")))), 1, BRANCHES)
+    more = [c for c in ("used", "above") if c in rows.columns]
+    return rows.select("cls", *more, F.explode(chosen).alias("c")).select("cls", "c.node", "c.t", *more)
 
-def _near(percent: int, inter, n_a, n_b):
-    return 100 * inter >= percent * (n_a + n_b - inter)
 
+def chosen_paths(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Members (g, cls) of all nodes with two classes or more that the trees end in.
 
-class _Sets:
-    """Full sets of the classes asked for so far; each pass reads only texts of new classes."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int):
-        self.docs, self.classes, self.size, self.parts = docs, classes, size, []
-
-    def ask(self, wanted: DataFrame) -> DataFrame:
-        for part in self.parts:
-            wanted = wanted.join(part.select("cls"), "cls", "left_anti")
-        new = keep(wanted.join(self.classes.select("cls", "doc_id"), "cls").select("cls", "doc_id"), "wanted")
-        rows = new.count()
-        if rows:
-            texts = semi_by(self.docs.select("doc_id", "text"), "doc_id", new.select("doc_id"), rows)
-            sets = texts.mapInArrow(_full_sets(self.size), "cls binary, tokens array<bigint>")
-            # An id that stands at several texts brings sets that nobody asked for, and copies.
-            self.parts.append(keep(sets.join(new.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets"))
-        out = self.parts[0] if self.parts else None
-        for part in self.parts[1:]:
-            out = out.union(part)
-        return out
-
-    def confirm(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """The pairs (a, b) whose full sets are near, as a kept table."""
-        sets = self.ask(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-        if sets is None:
-            return pairs
-        right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("_tb"))
-        left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("_ta"))
-        both = pairs.join(right, "b").join(left, "a").withColumn("_inter", F.size(F.array_intersect("_ta", "_tb")))
-        return keep(both.filter(_near(percent, F.col("_inter"), F.size("_ta"), F.size("_tb"))).select("a", "b"), "near-links")
-
-
-def _children(rows: DataFrame, tokens: int) -> DataFrame:
-    """Rows one level down: a child node is the hash of its parent and a chosen token."""
-    chosen = F.slice(F.array_sort(F.transform("sketch", lambda t: F.xxhash64(t, F.col("node")))), 1, tokens)
-    return rows.select("cls", F.explode(chosen).alias("node"))
-
-
-def chosen_paths(classes: DataFrame) -> DataFrame:
-    """Members (node, cls) of all nodes with two classes or more that the trees end in.
-
-    A path ends at a node of at most LEAF classes or at the last level.
+    A path ends at a node of at most LEAF classes, at a larger one that has kept half of the node above, and after LEVELS
+    tokens. So the number of levels follows the sizes: only large nodes whose classes differ branch again, while
+    branching would copy a group of classes that are alike. Classes that run out of tokens are compared with those of nearly as few.
     """
     seeds = F.explode(F.array(*[F.lit(1000003 * (t + 1)).cast("long") for t in range(TREES)]))
-    rows, ended = classes.select("cls", "sketch", seeds.alias("node")), []
-    for level, tokens in enumerate(BRANCHES):
-        placed = keep(_children(rows, tokens), "paths")
-        sizes = keep(placed.groupBy("node").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "node-sizes")
+    rows = classes.select("cls", "sketch", seeds.alias("node"))
+    ended = []
+    for level in range(1, LEVELS + 1):
+        placed = keep(_children(rows), "paths")
+        sizes = keep(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node-sizes")
         sized = keep(placed.join(sizes, "node"), "nodes")
-        last = level == len(BRANCHES) - 1
-        ended.append((sized if last else sized.filter(F.col("_size") <= LEAF)).select("node", "cls"))
-        large = sized.filter(F.col("_size") > LEAF).select("node", "cls")
-        if last or large.isEmpty():
+        stop = F.col("n") <= LEAF
+        if "above" in placed.columns:
+            stop = stop | (F.col("n") >= F.col("above") * STAYS)
+        if level == LEVELS or sizes.filter(F.col("n") > LEAF).isEmpty():
+            ended.append(sized.select(F.col("node").alias("g"), "cls"))
             break
-        rows = large.join(classes.select("cls", "sketch"), "cls")
+        ended.append(sized.filter(stop).select(F.col("node").alias("g"), "cls"))
+        used = F.concat("used", F.array("t")) if "used" in sized.columns else F.array("t")
+        rows = sized.filter(~stop).select("cls", "node", used.alias("used"), F.col("n").alias("above")).join(classes.select("cls", "sketch"), "cls")
+        few = F.size("sketch") * percent <= 100 * (level + 1)
+        ended.append(rows.filter(few).select(F.xxhash64("node", F.lit("few")).alias("g"), "cls"))
     out = ended[0]
     for part in ended[1:]:
         out = out.union(part)
     return out
 
 
-def _tiles(table: pa.Table):
-    """Row numbers of each tile: all rows of one (node, bu, ba)."""
-    key = np.stack([table.column(n).to_numpy() for n in ("node", "bu", "ba")], 1)
-    order = np.lexsort(key.T)
-    key = key[order]
-    cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True]) if len(order) else [0]
-    return [order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+# -- comparisons inside a group --
 
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _candidates(table: pa.Table, percent: int):
-    """For each tile its node and pairs (row left, row right) with alike sketches in different components.
 
-    Of several nodes that a pair shares only the least looks at it, and of two tiles that hold it
-    both ways round only one.
-    """
-    cls, comp, sketch, nodes = (table.column(n).to_pylist() for n in ("cls", "comp", "sketch", "nodes"))
-    node, left, right, loose = (table.column(n).to_numpy(zero_copy_only=False) for n in ("node", "left", "right", "loose"))
-    for tile in _tiles(table):
-        sizes = np.array([len(sketch[i]) for i in tile])
-        _, token, times = np.unique(np.concatenate([np.asarray(sketch[i], np.int64) for i in tile]), return_inverse=True, return_counts=True)
-        # Tokens of one row alone are shared with none.
-        column = np.cumsum(times > 1) - 1
-        both = times[token] > 1
-        has = np.zeros((len(tile), max(1, column[-1] + 1)), np.float32)
-        has[np.repeat(np.arange(len(tile)), sizes)[both], column[token[both]]] = 1
-        known: dict[bytes, int] = {}
-        kind = np.array([known.setdefault(comp[i], len(known)) for i in tile])
-        rank = np.argsort(np.argsort(np.array([cls[i] for i in tile], dtype=object)))
-        own = np.full((len(tile), max(len(nodes[i]) for i in tile)), np.iinfo(np.int64).max)
-        for k, i in enumerate(tile):
-            own[k, : len(nodes[i])] = nodes[i]
-        lefts, rights = np.flatnonzero(left[tile]), np.flatnonzero(right[tile])
-        need = least_shared(percent) * np.minimum(SKETCH, np.maximum(sizes[lefts][:, None], sizes[rights][None, :]))
-        x, y = np.nonzero(has[lefts] @ has[rights].T >= need)
-        x, y = lefts[x], rights[y]
-        fine = (kind[x] != kind[y]) & ~(loose[tile][y] & (rank[x] > rank[y]))
-        x, y = x[fine], y[fine]
-        first = np.concatenate([np.where((own[x[at : at + 512]][:, :, None] == own[y[at : at + 512]][:, None, :]).any(2), own[x[at : at + 512]], np.iinfo(np.int64).max).min(1)
-                                for at in range(0, len(x), 512)]) if len(x) else np.empty(0, np.int64)
-        mine = first == node[tile[0]]
-        yield tile, kind, x[mine], y[mine]
-
-
-def _flag(percent: int):
-    def run(table):
-        """Rows that have a candidate in their tile."""
-        flagged = np.zeros(table.num_rows, bool)
-        for tile, _, x, y in _candidates(table, percent):
-            flagged[tile[x]] = True
-            flagged[tile[y]] = True
-        return table.filter(pa.array(flagged)).select(["node", "bu", "ba", "cls"])
-    return run
+def _shared(tile: np.ndarray, token: np.ndarray, row: np.ndarray, least: np.ndarray):
+    """Postings of tokens that several rows of a tile share, rows that share too few left out: (row, first, last) of each posting list, and each row's lists."""
+    keep_at = np.arange(len(token))
+    for _ in range(3):
+        key = token[keep_at].astype(np.uint64) ^ (tile[row[keep_at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, number, times = np.unique(key, return_inverse=True, return_counts=True)
+        common = times[number] > 1
+        enough = np.bincount(row[keep_at][common], minlength=len(least)) >= least
+        fine = common & enough[row[keep_at]]
+        if fine.all():
+            break
+        keep_at = keep_at[fine]
+    if not len(keep_at):
+        return keep_at, keep_at, keep_at, keep_at
+    _, number = np.unique(key[fine], return_inverse=True)
+    holder = row[keep_at]
+    order = np.argsort(number, kind="stable")
+    ends = np.cumsum(np.bincount(number))
+    return holder, number, holder[order], np.r_[0, ends]
 
 
-def _link(percent: int):
-    def run(table):
-        """Confirmed links of each tile, as many as join what they join: pairs already connected are skipped."""
-        cls, tokens = table.column("cls").to_pylist(), table.column("tokens").to_pylist()
+def _linked(percent: int, exact: bool, first_pass: bool):
+    """Compare the rows of each tile of an Arrow group (g, i, j, cls, tokens, and unless first_pass comp, left, right).
+
+    With ``exact`` the tokens are whole sets and near ones are linked; else they are sketches, and alike ones are. Each row counts its
+    common tokens with all others of its tile through the list of rows of each token. Puts out stars (root, member) in the first pass, else the links that connect something: never all pairs.
+    """
+    share = least_shared(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = np.unique(np.stack([_ids(table.column("g")), table.column("i").to_numpy(), table.column("j").to_numpy()], 1), axis=0, return_inverse=True)[1].ravel()
+        order = np.argsort(tile, kind="stable")
+        table, tile = table.take(pa.array(order)), tile[order]
+        cls = table.column("cls").to_pylist()
+        sets = table.column("tokens").combine_chunks()
+        offsets, values = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy(zero_copy_only=False)
+        n = len(cls)
+        size = np.diff(offsets)
+        if first_pass:
+            kind, left, right = np.arange(n), np.ones(n, bool), np.ones(n, bool)
+        else:
+            kind = _ids(table.column("comp"))
+            left, right = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("left", "right"))
+        # A set's smallest tokens are its sketch.
+        short = size if exact else np.minimum(size, SKETCH)
+        row = np.repeat(np.arange(n), short)
+        token = values[np.repeat(offsets[:-1], short) + np.arange(len(row)) - np.repeat(np.cumsum(short) - short, short)]
+        least = np.ceil(percent * size / 100) if exact else np.ceil(share * short - 1e-9)
+        holder, number, posted, ends = _shared(tile, token, row, least)
+        begin = np.searchsorted(holder, np.arange(n + 1))
+        low, high = np.searchsorted(tile, tile, "left"), np.searchsorted(tile, tile, "right")
         a, b = [], []
-        for tile, kind, x, y in _candidates(table, percent):
-            sizes = np.array([len(tokens[i]) for i in tile])
-            _, token = np.unique(np.concatenate([np.asarray(tokens[i], np.int64) for i in tile]), return_inverse=True)
-            starts = np.cumsum(sizes) - sizes
-            has = np.zeros(token.max() + 1, bool)
-            order = np.argsort(x, kind="stable")
-            x, y = x[order], y[order]
-            for at in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
-                u, others = x[at[0]], y[at]
-                others = others[kind[others] != kind[u]]
-                if not len(others):
-                    continue
-                has[token[starts[u] : starts[u] + sizes[u]]] = True
-                inter = np.array([np.count_nonzero(has[token[starts[v] : starts[v] + sizes[v]]]) for v in others])
-                has[token[starts[u] : starts[u] + sizes[u]]] = False
-                for v in others[_near(percent, inter, sizes[u], sizes[others])]:
-                    if kind[v] != kind[u]:
-                        kind[kind == kind[v]] = kind[u]
-                        a.append(cls[tile[u]])
-                        b.append(cls[tile[v]])
+        for u in np.flatnonzero(left & (begin[1:] > begin[:-1])).tolist():
+            lo, hi = int(low[u]), int(high[u])
+            if not (kind[lo:hi] != kind[u]).any():
+                continue  # all of the tile is one component
+            lists = number[begin[u] : begin[u + 1]]
+            # Tokens in common with every row of the tile at once.
+            counts = np.bincount(np.concatenate([posted[ends[k] : ends[k + 1]] for k in lists.tolist()]) - lo, minlength=hi - lo)
+            if exact:
+                fits = 100 * counts >= percent * (size[u] + size[lo:hi] - counts)
+            else:
+                fits = counts >= share * np.maximum(short[u], short[lo:hi]) - 1e-9
+            for v in (np.flatnonzero(fits & right[lo:hi] & (kind[lo:hi] != kind[u])) + lo).tolist():
+                if kind[v] != kind[u]:
+                    kind[lo:hi][kind[lo:hi] == kind[v]] = kind[u]
+                    if not first_pass:
+                        a.append(cls[u])
+                        b.append(cls[v])
+        if first_pass:  # a star around the smallest class of each component
+            for rows in np.split(np.arange(n), np.flatnonzero(np.diff(tile)) + 1):
+                own: dict[int, list[bytes]] = {}
+                for i, k in zip(rows.tolist(), kind[rows].tolist(), strict=True):
+                    own.setdefault(k, []).append(cls[i])
+                for members in own.values():
+                    if len(members) > 1:
+                        root = min(members)
+                        a += [root] * len(members)
+                        b += members
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
     return run
 
 
-def _compare_nodes(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: "_Sets", percent: int) -> DataFrame:
-    """Confirmed links between different components whose classes share a node.
+def _compared(wide: DataFrame, total: int, percent: int, exact: bool, first_pass: bool) -> DataFrame:
+    """Kept links of tiles (g, i, j, cls, tokens, ...), several tiles to one Python group; ``total`` is the weight of all rows."""
+    groups = max(1, ceil(total / (GROUP_TOKENS if exact else GROUP_ROWS)))
+    dealt = wide.withColumn("_group", F.pmod(F.xxhash64("g", "i", "j"), F.lit(groups)))
+    return keep(dealt.groupBy("_group").applyInArrow(_linked(percent, exact, first_pass), "a binary, b binary"), "links")
+
+
+def _sized(rows: DataFrame, exact: bool) -> tuple[DataFrame, int, bool]:
+    """Rows (g, cls, w: tokens, or 1 if not exact) of groups of two or more with n and slices, kept; all their weight; whether any has several slices."""
+    most_rows, most_weight = (SLICE_ROWS, SLICE_TOKENS) if exact else (NODE_ROWS, NODE_ROWS)
+    sizes = keep(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("all")).filter("n > 1")
+                 .select("g", "n", F.ceil(F.greatest(F.col("n") / most_rows, F.col("all") / most_weight)).cast("long").alias("slices"), "all"), "group-sizes")
+    total, most = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.max("slices"), F.lit(0))).first()
+    return keep(rows.join(sizes.drop("all"), "g"), "grouped"), total, most > 1
+
+
+def _large_links(placed: DataFrame, payload: DataFrame, total: int, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) inside the groups of several slices, of :func:`_sized` rows and the tokens by class.
 
-    A node's largest component needs no comparison in itself: every other class is compared with all classes of
-    the node, in tiles of at most about TILE by TILE. Sketches first flag the rows that have any candidate, so
-    that only these bring their full sets to the tile. Neither step puts out a row per pair.
+    Each slice holds the same about PIVOTS members, which connect what is alike across slices. Then only rows outside the
+    group's largest component are compared with all others. So a group's cost follows its rows where most of them connect.
     """
-    placed = keep(members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
-    parts = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    nodes = keep(parts.groupBy("node").agg(F.count(F.lit(1)).alias("_comps"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "comp")).alias("_top"))
-                 # Nodes of two are compared already: one was the other's pivot.
-                 .filter("_comps > 1 and _all > 2")
-                 .select("node", F.col("_top.comp").alias("_main"), F.ceil(F.col("_all") / TILE).cast("long").alias("_na"),
-                         F.ceil((F.col("_all") - F.col("_top._n")) / TILE).cast("long").alias("_nu")), "open-nodes")
-    rows = placed.join(nodes, "node").withColumn("_deal", F.xxhash64("cls", F.lit(3))).withColumn("loose", F.col("comp") != F.col("_main"))
-
-    def every(count):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-
-    rows = keep(rows, "to-compare")
-    lefts = rows.filter("loose").select("node", "cls", "comp", "loose", F.pmod("_deal", "_nu").alias("bu"), every("_na").alias("ba"),
-                                        F.lit(True).alias("left"), F.lit(False).alias("right"))
-    rights = rows.select("node", "cls", "comp", "loose", every("_nu").alias("bu"), F.pmod("_deal", "_na").alias("ba"),
-                         F.lit(False).alias("left"), F.lit(True).alias("right"))
-    tiles = lefts.union(rights).groupBy("node", "bu", "ba", "cls", "comp", "loose").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    # At most TREES times the branches of all levels.
-    shared = members.groupBy("cls").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    sketched = classes.select("cls", "sketch").join(shared, "cls")
-    tiles = keep(tiles.join(sketched, "cls"), "tiles")
-    groups = max(1, -(-tiles.count() // GROUP_ROWS))
-
-    def dealt(df, n):
-        return df.withColumn("_group", F.pmod(F.xxhash64("node", "bu", "ba"), F.lit(n))).groupBy("_group")
-
-    flagged = keep(dealt(tiles, groups).applyInArrow(_flag(percent), "node bigint, bu bigint, ba bigint, cls binary"), "flagged")
-    full = sets.ask(flagged.select("cls").distinct())
-    if full is None:
-        return members.sparkSession.createDataFrame([], "a binary, b binary")
-    wide = tiles.join(flagged, ["node", "bu", "ba", "cls"], "left_semi").join(full, "cls")
-    total = flagged.join(full.select("cls", F.size("tokens").alias("_size")), "cls").agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    return keep(dealt(wide, max(1, -(-total // GROUP_TOKENS))).applyInArrow(_link(percent), "a binary, b binary"), "tile-links")
+    most_rows, most_weight = (SLICE_ROWS, SLICE_TOKENS) if exact else (NODE_ROWS, NODE_ROWS)
+    big = placed.filter("slices > 1").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), "slices"))
+    pivot = F.pmod(F.xxhash64("cls", "g", F.lit(5)), "n") < PIVOTS
+    to = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array("own"))
+    sliced = keep(big.select("g", F.explode(to).alias("i"), F.lit(0).cast("long").alias("j"), "cls"), "slices")
+    found = _compared(sliced.join(payload, "cls"), total, percent, exact, True)
+    comps = keep(components(found).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "slice-components")
+    # Written before it is counted and joined: a join of two scans splits a group with very many rows.
+    known = keep(big.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "big-groups")
+    parts = known.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("v"))
+    open_groups = keep(parts.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("m_all"), F.sum("v").alias("v_all"), F.max(F.struct("m", "comp", "v")).alias("top"))
+                       .filter("comps > 1").select("g", F.col("top.comp").alias("main"), F.ceil(F.greatest(
+                           (F.col("m_all") - F.col("top.m")) / most_rows, (F.col("v_all") - F.col("top.v")) / most_weight)).cast("long").alias("lots")), "open-groups")
+    if open_groups.isEmpty():
+        return found
+    rest = known.join(open_groups, "g").withColumn("lot", F.pmod(F.xxhash64("cls", F.lit(7)), "lots"))
+    zero = F.lit(0).cast("long")
+    lefts = rest.filter("comp <> main").select("g", "lot", F.explode(F.sequence(zero, F.col("slices") - 1)).alias("own"), "cls", "comp", "w", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    rights = rest.select("g", F.explode(F.sequence(zero, F.col("lots") - 1)).alias("lot"), "own", "cls", "comp", "w", F.lit(False).alias("left"), F.lit(True).alias("right"))
+    both = keep(lefts.union(rights).groupBy("g", F.col("lot").alias("i"), F.col("own").alias("j"), "cls", "comp", "w")
+                .agg(F.max("left").alias("left"), F.max("right").alias("right")), "loose-tiles")
+    weight = both.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    return found.union(_compared(both.drop("w").join(payload, "cls"), weight, percent, exact, False))
+
+
+def links_in_groups(rows: DataFrame, payload: DataFrame, percent: int, exact: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) between the members of each group, of ``rows`` (g, cls, w: tokens, or 1 if not exact): stars of the components of
+    groups that one task compares, and links of larger ones (None without any)."""
+    placed, total, large = _sized(rows, exact)
+    zero = F.lit(0).cast("long")
+    small = _compared(placed.filter("slices = 1").select("g", zero.alias("i"), zero.alias("j"), "cls").join(payload, "cls"), total, percent, exact, True)
+    return small, _large_links(placed, payload, total, percent, exact) if large else None
+
+
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Kept rows (cls, comp): classes that some path and alike sketches connect, by the smallest class they reach."""
+    members = keep(chosen_paths(classes, percent).withColumn("w", F.lit(1).cast("long")), "members")
+    # Within a node half of each hash tells tokens apart; an accident only makes one more candidate.
+    sketches = classes.select("cls", F.transform("sketch", lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("tokens"))
+    small, large = links_in_groups(members, sketches, percent, exact=False)
+    links = small if large is None else small.union(large)
+    return keep(components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "candidates")
+
+
+def _confirmed(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Rows (cls, comp): classes that links of their whole sets connect, within the candidate groups (cls, comp).
+
+    A class's set is worked out from one text, in the task that reads it, and moves once where one task compares its group.
+    """
+    rows = groups.join(classes.select("cls", "doc_id", "mark", "n_shingles"), "cls")
+    placed, total, large = _sized(rows.select(F.col("comp").alias("g"), "cls", F.col("n_shingles").alias("w"), "doc_id", "mark"), True)
+    asked = placed.select("g", "cls", "slices", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    if placed.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    read = texts.withColumn("mark", F.xxhash64("text")).join(asked, texts["doc_id"].eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    sets = keep(read.select("g", "cls", "slices", "text").mapInArrow(_full_sets(size), "g binary, cls binary, slices bigint, tokens array<bigint>"), "sets")
+    zero = F.lit(0).cast("long")
+    stars = _compared(sets.filter("slices = 1").select("g", zero.alias("i"), zero.alias("j"), "cls", "tokens"), total, percent, True, True)
+    found = stars.select(F.col("b").alias("cls"), F.col("a").alias("comp")).distinct()
+    if large:
+        payload = keep(sets.filter("slices > 1").select("cls", "tokens").dropDuplicates(["cls"]), "large-sets")
+        links = _large_links(placed.select("g", "cls", "w", "n", "slices"), payload, total, percent, True)
+        found = found.union(components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")))
+    return keep(found, "components")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -277,36 +304,25 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Da
     texts have an empty set, no links and are kept; null ids lose to any id. Rows that repeat an id
     and text share all values. ``mark`` is the text's xxhash64, to tell apart texts under one id.
 
-    Documents with equal sets form one class, so copies cost one row each. Classes follow TREES
-    random trees: at each level a class enters the nodes of the tokens that are smallest
-    under the node's hash, large nodes branch again, and the nodes left are compared: first every
-    class with its node's pivot, then, where a node still spans several components,
-    all classes outside its largest component with all others. Sketches only sort out pairs far below the
-    threshold; every link is confirmed on full sets. Paths miss most where one text contains the
-    other; the README has the recall.
+    Documents with equal sets form one class, so copies cost one row each. Classes follow TREES random
+    trees: at each level a class enters the nodes of the tokens that are smallest under the node's
+    hash, large nodes branch again, and the classes of a node are compared by their sketches. What
+    alike sketches connect is one group, in which whole sets are compared and every link is confirmed. Paths miss
+    most where one text contains the other; the README has the recall.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sigs = keep(texts.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
         _signatures(size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark bigint, n_shingles bigint, cls binary, sketch array<bigint>"), "signatures")
-    reps = sigs.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("_mark"))
-    firsts = sigs.filter("cls is not null").select(F.col("cls").alias("_cls"), F.col("doc_id").alias("_id"), "sketch")
-    # The sketch of one row of each class; equal sets have equal sketches.
-    classes = keep(reps.join(firsts, (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-                   .select("cls", "doc_id", "sketch").dropDuplicates(["cls"]), "classes")
-    members = keep(chosen_paths(classes), "members")
-    sets = _Sets(texts, classes, size)
-
-    # Kept before the join, here and below: a join of two scans splits a key with very many rows.
-    pivots = keep(members.groupBy("node").agg(F.min("cls").alias("a")), "pivots")
-    stars = members.join(pivots, "node").select("a", F.col("cls").alias("b")).filter("a <> b").distinct()
-    links = sets.confirm(_plausible(stars, classes, percent), percent)
-    comps = keep(components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components")
-    more = _compare_nodes(members, comps, classes, sets, percent)
-    comps = keep(components(links.union(more)).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components")
+    # One row per class: the smallest id and its text's mark; equal sets have equal sketches.
+    classes = keep(sigs.filter("cls is not null").groupBy("cls").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("_rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+        .select("cls", "_rep.doc_id", "_rep.mark", "sketch", "n_shingles"), "classes")
+    comps = _confirmed(_candidates(classes, percent), classes, texts, percent, size)
 
+    reps = classes.select("cls", "doc_id")
     rooted = reps.join(comps, "cls").select("cls", "comp", "doc_id")
     least = keep(rooted.groupBy("comp").agg(F.min("doc_id").alias("_least")), "least")
-    changed = rooted.join(least, "comp").select("cls", F.col("comp").alias("root"), "_least")
+    changed = keep(rooted.join(least, "comp").select("cls", F.col("comp").alias("root"), "_least"), "changed")
     named = reps.join(changed, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("_least", "doc_id").alias("_least"))
     named = keep(named, "named")
     out = _with_class(sigs.drop("sketch"), named)
@@ -321,17 +337,17 @@ def _with_class(rows: DataFrame, named: DataFrame) -> DataFrame:
         "doc_id", "mark", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), "cls", "root")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    sketch = classes.select("cls", "sketch")
-    both = (pairs.join(sketch.toDF("b", "_sb"), "b").join(sketch.toDF("a", "_sa"), "a"))
-    return keep(both.filter(_alike("_sa", "_sb", percent)).select("a", "b"), "pairs")
-
-
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the smallest id; columns unchanged."""
-    flags = near_dedup(docs, percent)
-    gone = keep(flags.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")), "near-copies")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    """``docs`` with one row of each group of near duplicates, that of the smallest id; columns unchanged.
+
+    Of rows that repeat an id and text one stays; texts without words are no copies of each other unless they repeat an id.
+    """
+    flags = keep(near_dedup(docs, percent).select("doc_id", "mark", "kept", "n_shingles", "component_id", "root"), "flags")
+    # A group without any id keeps its smallest mark.
+    nameless = flags.filter("component_id is null and n_shingles > 0").select(F.col("root").alias("_root"), "mark")
+    first = nameless.groupBy("_root").agg(F.min("mark").alias("_first"))
+    more = nameless.join(first, "_root").filter("mark <> _first").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("_gone"), F.col("mark").alias("_mark"))
+    gone = flags.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).union(more).distinct()
+    left = flags.filter(F.col("kept") & (F.col("doc_id").isNotNull() | (F.col("n_shingles") > 0))).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (mark == gone["_mark"]), "left_anti")
+    return one_row_each(docs, mark, keep(gone, "near-copies"), keep(left.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "repeated"))

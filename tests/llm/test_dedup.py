@@ -1,6 +1,7 @@
 """Exact and near duplicates against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -73,10 +74,31 @@ def test_exact_odd_rows(odd, clashing):
     left = exact_dedup.drop_copies(odd)
     assert left.columns == odd.columns
     assert sorted((r.doc_id, (r.text or "")[:5]) for r in left.collect()) == sorted([
-        (2, "a b c"), (2, "a b c"), (2, "anoth"), (4, ""), (5, "w0 w1"), (6, "w0 w1"), (7, " \n\t "), (9, "é ß 😀"), (10, "one")])
+        (2, "a b c"), (2, "anoth"), (4, ""), (5, "w0 w1"), (6, "w0 w1"), (7, " \n\t "), (9, "é ß 😀"), (10, "one")])
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_nameless_copies_go(make):
+    docs = make(*[(1, "same text here")] * 3, (None, "no id"), (None, "no id"), (None, "no id too"), (2, "same text here"), (2, "same text here"), (None, ""), (None, None))
+    assert sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_copies(docs).fillna("", "text").collect()) == [
+        ("2", "same text here"), ("None", ""), ("None", "no id"), ("None", "no id too")]
+    near = make(*[(1, "a b c d e f g")] * 3, (1, "other words stand in this text"), (None, "x y z u v w"), (None, "x y z u v w"), (5, ""), (6, None))
+    left = near_dedup.keep_one(near)
+    assert left.columns == near.columns and sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [
+        ("1", "a b c d e f g"), ("1", "other words stand in this text"), ("5", ""), ("6", ""), ("None", "x y z u v w")]
+
+
+@pytest.mark.parametrize("bits", [exact_dedup.HEAD_BITS, 8])
+def test_many_open_heads(make, monkeypatch, bits):
+    """Beyond a list of heads, bits say which texts are hashed whole; shared bits change nothing."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["x" * 70 + str(i % 9), str(i % 40), "", f"own {i}", "y" * 100 + str(i)])) for i in range(400)]
+    want = sorted(map(tuple, exact_dedup.exact_dedup(make(*rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(exact_dedup, "HEAD_BITS", bits)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(make(*rows)).collect())) == want
+
+
 def test_no_python_in_exact(make):
     plan = exact_dedup.exact_dedup(make((1, "a")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -145,6 +167,41 @@ def test_near_contained(make, monkeypatch, leaf):
     assert [i for i in range(0, 800, 2) if got[i + 1] != i] == []
 
 
+@pytest.mark.parametrize("slice_rows,leaf,levels,dense", [(16, 2048, 8, True), (16, 4, 8, True), (4096, 3, 8, False), (16, 3, 2, False)])
+def test_near_groups_in_slices_and_deep_trees(make, families, monkeypatch, slice_rows, leaf, levels, dense):
+    """Small limits send the same texts through slices with pivots, loose tiles, and nodes of many levels."""
+    for name, value in (("SLICE_ROWS", slice_rows), ("NODE_ROWS", slice_rows), ("SLICE_TOKENS", 100 * slice_rows), ("PIVOTS", 4), ("LEAF", leaf), ("LEVELS", levels), ("GROUP_ROWS", 100), ("GROUP_TOKENS", 5000)):
+        monkeypatch.setattr(near_dedup, name, value)
+    if not dense:
+        monkeypatch.setattr(near_dedup, "STAYS", 2.0)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(make(*families)).collect()}
+    want = brute_components([(i, t) for i, t in families])
+    assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
+
+
+def test_links_of_long_sets(spark):
+    """Groups above the token limit, of sets of very different sizes, against all pairs."""
+    rng = np.random.default_rng(4)
+    rows, sets = [], []
+    for g in range(3):
+        base = np.unique(rng.integers(0, 1 << 60, 3000))
+        for k in range(25):
+            s = np.unique(np.r_[base[rng.random(len(base)) > rng.choice([0.01, 0.08, 0.3])], rng.integers(0, 1 << 60, int(rng.integers(0, 400)))])
+            rows.append((g, f"{g}-{k:02d}".encode(), len(s)))
+            sets.append((f"{g}-{k:02d}".encode(), s.tolist()))
+    payload = near_dedup.keep(spark.createDataFrame(sets, "cls binary, tokens array<bigint>"))
+    table = near_dedup.keep(spark.createDataFrame(rows, "g long, cls binary, w long"))
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if a[:1] == b[:1] and 100 * len(set(x) & set(y)) >= 85 * len(set(x) | set(y))]
+    want = dict(components(spark.createDataFrame(links, "a binary, b binary")).collect())
+    for limit in (2_000_000, 20_000):
+        near_dedup.SLICE_TOKENS, before = limit, near_dedup.SLICE_TOKENS
+        small, large = near_dedup.links_in_groups(table, payload, 85, True)
+        near_dedup.SLICE_TOKENS = before
+        found = small if large is None else small.union(large)
+        assert (large is None) == (limit == 2_000_000)
+        assert {bytes(k): bytes(v) for k, v in dict(components(found).collect()).items()} == {bytes(k): bytes(v) for k, v in want.items()}
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_least_shared(percent):
     need = near_dedup.least_shared(percent) * near_dedup.SKETCH
