@@ -40,10 +40,12 @@ def ordered_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
     ``totals`` maps new long columns to numeric ones. Rows are dealt out by ranges of (keys, order),
     so a key with a third of all rows covers many partitions; each task adds up its own
-    rows and only one row per (partition, key) is added up across tasks.
+    rows and only one row per (partition, key) is added up across tasks. The scan position ends the order,
+    so rows that are equal in it, such as a repeated one, are dealt out as well.
     """
     keys = list(keys)
-    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*keys, *order)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    spread = tied.repartitionByRange(*[F.col(k) for k in keys], *order, "_tie").sortWithinPartitions(*keys, *order, "_tie").drop("_tie")
     # Written before it is numbered: a second evaluation could draw the ranges elsewhere.
     kept = keep(spread.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     sums = [F.sum(c).alias(f"_sum{i}") for i, c in enumerate(totals.values())]
