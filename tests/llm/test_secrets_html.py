@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -59,6 +60,28 @@ def test_scan_odd_rows(odd, clashing):
     assert secrets.scan(odd, allow=()).count() == odd.count()
 
 
+def test_very_many_secrets_in_one_text(make):
+    n = 16_000
+    hex_ = "0123456789abcdef" * 2
+    text = " ".join(f"token={k:08d}xyz {hex_}" for k in range(n // 2))
+    start = time.time()
+    row = secrets.scan(make((1, text))).selectExpr("size(base) as n", "base[0] as first", f"base[{n - 1}] as last", "size(added) as added").first()
+    assert time.time() - start < 20
+    assert row.n == n and (row.first.start, row.first.end) == (0, 17) and row.last.end == len(text) and text[row.last.start : row.last.end] == hex_
+
+
+def test_spans_that_overlap_base_spans_are_found_in_any_order(make):
+    rng = random.Random(5)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44))
+    texts = [f"{key} token={key} x", f"token={key} {key}", f"{key[:30]} AKIA{key[:16].upper()} {key[3:33]}", " ".join(f"token={key} {key[::-1]}" for _ in range(300))]
+    got = {r.doc_id: r for r in secrets.scan(make(*enumerate(texts))).collect()}
+    for i in got:
+        spans = [(s.start, s.end) for s in got[i].added]
+        base = [(s.start, s.end) for s in got[i].base]
+        assert spans == sorted(spans) and not any(a < d and c < b for a, b in spans for c, d in base)
+    assert len(got[0].added) == len(got[1].added) == 1 and len(got[3].added) == 300
+
+
 def test_scan_is_native(make):
     plan = secrets.scan(make((1, "a")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
@@ -94,14 +117,73 @@ def test_suffix_array():
             assert common[k] == next((i for i in range(5) if a[i : i + 1] != b[i : i + 1] or not a[i : i + 1]), 5)
 
 
-def test_repeated_runs():
-    shared = list(range(10, 22))
-    tokens = np.array([1, 2, *shared, 3, -1, 4, *shared, 5, 6, 7, 8, 9, 30, 31, 32, -2, 5, 6, 7, 8, -3])
-    page = np.array([0] * 16 + [1] * 22 + [2] * 5)
-    want = {*range(2, 14), *range(17, 29)}
-    assert set(np.flatnonzero(html.repeated(tokens, page)).tolist()) == want
-    # A run that one page repeats is no boilerplate.
-    assert not html.repeated(np.array([*shared, 1, *shared, -1]), np.zeros(26, int)).any()
+@pytest.mark.parametrize("page,text", [
+    ('<div class="content no-sidebar"><article><p>kept</p></article></div>', "kept"),
+    ('<article class="post has-comments"><p>kept</p></article>', "kept"),
+    ('<article><h2 id="related-work">Related work</h2><p id="notice-of-appeal">was filed</p><section aria-label="Social history"><p>long</p></section><p>x <math><mi>y</mi></math> z</p></article>',
+     "Related work\nwas filed\nlong\nx y z"),
+    ('<div class="layout-sidebar"><article>only one</article></div>', "only one"),
+    ('<div class="sidebar"><article>teaser</article></div><main><p>text</p></main>', "text"),
+    ('<article><p>text</p><div class="comments"><article class="comment">gone</article></div><div class="ad">buy</div><ul class="nav-list"><li>a</li></ul></article>', "text"),
+])
+def test_names_on_one_page(spark, page, text):
+    rows = spark.createDataFrame([(1, "http://a/", page)], "page_id long, url string, html string")
+    assert html.extract(rows).first().text == text
+
+
+def test_doubtful_names_are_settled_by_the_host(spark):
+    """What a vague name marks goes if other pages repeat it and stays if it is the page's own."""
+    again = "read our other stories about this and many more things"
+    rows = [(i, f"http://h/{i}", f"<article><p>Text {i}</p><div class='related-links'>{again}</div><section id=notice><p>Own notice of page {i}: court {i * 3} sits at noon on day {i}</p></section></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i}\nOwn notice of page {i}: court {i * 3} sits at noon on day {i}" for i in range(6)}
+
+
+def brute_host(pages, share):
+    """Texts of article-less pages: words of runs of SHARED that enough distinct pages hold go, run by run over all pages."""
+    n, words = html.SHARED, [[w for b in blocks for w in b.split(" ")] for blocks in pages]
+    different = {repr(blocks): set(zip(*[w[k:] for k in range(n)])) for blocks, w in zip(pages, words)}
+    counts = Counter(run for runs in different.values() for run in runs)
+    out = []
+    for blocks, w in zip(pages, words):
+        covered = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            k = counts[tuple(w[i : i + n])]
+            if k > 1 and k >= share * len(different):
+                covered[i : i + n] = True
+        at, left = 0, []
+        for b in blocks:
+            own = b.split(" ")
+            stays = html._own_words(covered[at : at + len(own)])
+            at += len(own)
+            if stays.any():
+                left.append(" ".join(x for x, s in zip(own, stays) if s))
+        out.append("\n".join(left))
+    return out
+
+
+@pytest.mark.parametrize("pages", [3, 256])
+def test_hosts_against_brute_force(spark, monkeypatch, pages):
+    monkeypatch.setattr(html, "PAGES", pages)
+    rng = random.Random(21)
+    common = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(rng.randint(6, 20))) for _ in range(8)]
+    hosts = {}
+    for i in range(120):
+        blocks = [rng.choice(common) if rng.random() < 0.4 else " ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 25))) for _ in range(rng.randint(1, 6))]
+        hosts.setdefault(f"h{i % 2}", []).append((i, blocks))
+    for _, own in hosts.items():
+        own.append((1000 + own[0][0], own[0][1]))  # a page that comes twice
+    rows = [(i, f"http://{h}/{i}", "".join(f"<p>{b}</p>" for b in blocks)) for h, own in hosts.items() for i, blocks in own]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for own in hosts.values():
+        assert [got[i] for i, _ in own] == brute_host([b for _, b in own], html.SHARE)
+
+
+def test_a_passage_on_two_of_many_pages_is_a_quotation(spark):
+    quote = "to be or not to be that is the question we ask"
+    rows = [(i, f"http://h/{i}", f"<p>Own {' '.join(f'p{i}x{k}' for k in range(10))}</p>" + f"<p>{quote}</p>" * (i in (3, 31))) for i in range(60)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3].endswith(quote) and got[31].endswith(quote)
 
 
 def test_extract(spark):
