@@ -16,7 +16,7 @@ SLICES = 16
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("id").to_numpy()
+    ids = np.stack([table.column(c).to_numpy() for c in ("id", "mark")], 1)
     flat = table.column("vector").combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     return ids, flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
@@ -41,7 +41,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _tile(k: int):
     def run(left, right):
         """The k nearest of one block of candidates for each query of one block."""
-        out = ([], [], [])
+        out = ([], [], [], [])
         if left.num_rows and right.num_rows:
             (ids, x), (cids, y) = _matrix(left), _matrix(right)
             (qa, sa, ea), (qb, sb, eb) = _quantised(x), _quantised(y)
@@ -53,18 +53,19 @@ def _tile(k: int):
             # Rounding of the float sums is far below this share of the lengths.
             slack = ea[:, None] + eb[None, :] + 1e-6 * (np.sqrt(na)[:, None] + np.sqrt(nb)[None, :]) + 1e-300
             for i, query in enumerate(ids):
-                others = np.flatnonzero(cids != query)
+                others = np.flatnonzero((cids != query).any(1))
                 if not len(others):
                     continue
                 upper = near[i, others] + slack[i, others]
                 reach = np.partition(upper, k - 1)[k - 1] if len(others) > k else np.inf
                 maybe = others[near[i, others] - slack[i, others] <= reach]
                 exact = _distances(x[i], y[maybe])
-                for d, c in heapq.nsmallest(k, zip(exact.tolist(), cids[maybe].tolist(), strict=True)):
-                    out[0].append(int(query))
-                    out[1].append(c)
-                    out[2].append(d)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                for d, c in heapq.nsmallest(k, zip(exact.tolist(), cids[maybe, 0].tolist(), strict=True)):
+                    out[0].append(int(query[0]))
+                    out[1].append(int(query[1]))
+                    out[2].append(c)
+                    out[3].append(d)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "query_mark": pa.array(out[1], pa.int64()), "vec_id": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64())})
     return run
 
 
@@ -84,22 +85,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` by Euclidean distance for each row of ``queries``: query_id, rank, vec_id, score.
 
     Both tables have columns vec_id and embedding. A query is never its own neighbour; ties go to smaller ids; with fewer
-    candidates all are returned. Vectors of another length than a query's are no candidates for it. An id
-    that repeats with different vectors counts with the smallest of them; repeated rows count once.
+    candidates all are returned. Vectors of another length than a query's are no candidates for it. An id may repeat
+    with different vectors: each is a query and a candidate of its own, also for the others of its id (a repeated query
+    id then has its ranks once per vector). Rows that repeat id and vector count once. Empty tables give an empty one, and
+    columns with other names are not read.
 
     Every block of queries meets every block of candidates in one task, at most QUERY_BLOCK by about BLOCK
     vectors. int8 products give each distance up to a bound; only candidates whose lower bound reaches the k-th
     smallest upper bound are computed in double precision. Results of blocks are merged in two steps.
     """
-    found = keep(usable(vectors).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("length", F.size("vector")), "vectors")
-    asked = keep(usable(queries).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("length", F.size("vector")), "queries")
+    def numbered(df):
+        # -0.0 is 0.0 to a comparison, and the mark tells the vectors of one id apart.
+        same = df.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))).dropDuplicates(["id", "vector"])
+        return same.withColumns({"length": F.size("vector"), "mark": F.xxhash64("vector")})
+
+    found, asked = keep(numbered(usable(vectors)), "vectors"), keep(numbered(usable(queries)), "queries")
     blocks, query_blocks = (max(1, -(-df.count() // n)) for df, n in ((found, BLOCK), (asked, QUERY_BLOCK)))
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = asked.select("id", "vector", "length", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("_q"), every(blocks).alias("_c"))
-    right = found.select("id", "vector", "length", every(query_blocks).alias("_q"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("_c"))
-    tiles = left.groupBy("length", "_q", "_c").cogroup(right.groupBy("length", "_q", "_c")).applyInArrow(_tile(k), "query_id bigint, vec_id bigint, score double")
-    sliced = _best(keep(tiles, "tiles").withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(SLICES))), ["query_id", "_slice"], k)
-    return _best(sliced.drop("rank", "_slice"), ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    left = asked.select("id", "mark", "vector", "length", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("_q"), every(blocks).alias("_c"))
+    right = found.select("id", "mark", "vector", "length", every(query_blocks).alias("_q"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("_c"))
+    tiles = left.groupBy("length", "_q", "_c").cogroup(right.groupBy("length", "_q", "_c")).applyInArrow(_tile(k), "query_id bigint, query_mark bigint, vec_id bigint, score double")
+    sliced = _best(keep(tiles, "tiles").withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(SLICES))), ["query_id", "query_mark", "_slice"], k)
+    return _best(sliced.drop("rank", "_slice"), ["query_id", "query_mark"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

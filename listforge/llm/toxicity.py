@@ -14,8 +14,10 @@ from .common import keep, labelled_texts
 
 #: Labelled rows that the model is fitted on, at most about so many.
 SAMPLE = 30_000
-#: Terms kept, and the least chi-square and documents of a term.
-TERMS, CHI_SQUARE, DOCUMENTS = 4096, 25.0, 5
+#: Terms kept for a signal of their own and for one beside others, and the least chi-square and documents of a term.
+TERMS, BESIDE, CHI_SQUARE, DOCUMENTS = 4096, 4096, 25.0, 5
+#: Strongest signs of toxicity, beside which the other terms are counted again, and the chi-square that they need there.
+SIGNS, BESIDE_CHI_SQUARE = 256, 15.0
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 20, 256, 0.05, 1e-5, 11
 #: Beginnings of words that are terms besides the words, so that inflected forms meet.
 STEMS = (4, 5, 6)
@@ -119,19 +121,38 @@ def _fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> Model
     return model
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each term, all and positive, of one partition."""
-    terms, n, positive = _Terms(), {}, {}
-    for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            for t in terms(text):
-                n[t] = n.get(t, 0) + 1
-                if label:
-                    positive[t] = positive.get(t, 0) + 1
-    keys = list(n)
-    for at in range(0, len(keys), 50_000):
-        part = keys[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([n[t] for t in part], pa.int64()), pa.array([positive.get(t, 0) for t in part], pa.int64())], names=["term", "n", "positive"])
+def _counts(signs: frozenset[int] | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with each term, all and positive, of one partition; with ``signs`` of those documents that hold one. Term -1 counts them all."""
+        terms, n, positive = _Terms(), {}, {}
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                found = terms(text)
+                if signs is not None and signs.isdisjoint(found):
+                    continue
+                for t in (-1, *found):
+                    n[t] = n.get(t, 0) + 1
+                    if label:
+                        positive[t] = positive.get(t, 0) + 1
+        keys = list(n)
+        for at in range(0, len(keys), 50_000):
+            part = keys[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([n[t] for t in part], pa.int64()), pa.array([positive.get(t, 0) for t in part], pa.int64())], names=["term", "n", "positive"])
+    return run
+
+
+def _telling(sample: DataFrame, most: int, least: float, signs: frozenset[int] | None = None) -> list[tuple[int, bool]]:
+    """The terms of the largest chi-square with the label, strongest first, and whether they stand for it; among documents with one of ``signs`` if given."""
+    counted = keep(sample.mapInArrow(_counts(signs), "term bigint, n bigint, positive bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("k")), "terms")
+    whole = counted.filter("term = -1").first()
+    if whole is None or whole["k"] in (0, whole["n"]):
+        return []
+    total, positive = whole["n"], whole["k"]
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    gap = k * (total - n - (positive - k)) - (n - k) * (positive - k)
+    chi = total * gap * gap / (n * (total - n) * positive * (total - positive))
+    best = counted.filter((F.col("term") >= 0) & (F.col("n") >= DOCUMENTS) & (F.col("n") < total)).withColumn("_chi", chi).withColumn("_for", gap > 0).filter(F.col("_chi") >= least)
+    return [(r["term"], r["_for"]) for r in best.orderBy(F.desc("_chi"), "term").limit(most).select("term", "_for").collect()]
 
 
 def _numbered(index: dict[int, int]):
@@ -145,21 +166,22 @@ def _numbered(index: dict[int, int]):
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     """Fit on at most about ``rows`` labelled documents, none of them held out.
 
-    Terms are chosen by the chi-square of their presence with the label, counted by Spark; only
+    Terms are chosen by the chi-square of their presence with the label, counted by Spark: first over the whole sample, then among
+    the documents that hold one of the strongest signs. The second count finds words that tell nothing alone and
+    something beside a sign, such as the mention of a group beside an insult; the machine learns the pairs. Only
     the chosen terms' numbers of each sampled document come to the driver. Without labelled rows
-    the score is about 0 everywhere; with one class only it is that class's (clipped) share.
+    the score is about 0 everywhere; with one class only it is that class's (clipped) share. A label counts once for each row
+    of its id; the sample's bound is on labels.
     """
     sample = keep(labelled_texts(docs, labels, "toxic", rows), "toxic-sample")
     total, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     empty = np.empty(0, np.int64)
     if not total or positive in (0, total):
         return _fit(empty, [], np.full(min(total, 1), float(positive > 0)))
-    counted = sample.mapInArrow(_counts, "term bigint, n bigint, positive bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("k"))
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    gap = k * (total - n - (positive - k)) - (n - k) * (positive - k)
-    chi = total * gap * gap / (n * (total - n) * positive * (total - positive))
-    best = counted.filter(F.col("n") >= DOCUMENTS).filter(F.col("n") < total).withColumn("_chi", chi).filter(F.col("_chi") >= CHI_SQUARE)
-    terms = np.array(sorted(r[0] for r in best.orderBy(F.desc("_chi"), "term").limit(TERMS).select("term").collect()), dtype=np.int64)
+    alone = _telling(sample, TERMS, CHI_SQUARE)
+    signs = frozenset([t for t, toxic in alone if toxic][:SIGNS])
+    beside = _telling(sample, BESIDE, BESIDE_CHI_SQUARE, signs) if signs else []
+    terms = np.array(sorted({t for t, _ in [*alone, *beside]}), dtype=np.int64)
     index = {int(t): i for i, t in enumerate(terms)}
     known = sample.mapInArrow(_numbered(index), "label int, terms array<int>").collect()
     known = sorted((r["label"], r["terms"]) for r in known)  # the same order at each run

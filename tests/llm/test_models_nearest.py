@@ -47,6 +47,29 @@ def test_toxicity_needs_both_words(spark, labelled):
     assert both > 0.5 > max(insult, group, none)
 
 
+def test_toxicity_of_many_groups(spark, make):
+    """Thirty groups, each in few documents and harmless alone: no group word tells anything without an insult beside it."""
+    rng = random.Random(12)
+    groups = [f"{w}folk" for w in words(rng, 30)]
+    rows, labels = [], []
+    for i in range(6000):
+        w = words(rng, rng.randint(15, 60))
+        insult, group = rng.random() < 0.3, rng.random() < 0.5
+        if insult:
+            w[rng.randrange(len(w))] = rng.choice(("grimwort", "slobbert", "mucklout"))
+        if group:
+            w[rng.randrange(len(w))] = rng.choice(groups)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(not i % 3), int(insult and any(g in w for g in groups))))
+    docs, table = make(*rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, table)
+    from listforge.llm.common import held_out
+
+    found = docs.withColumn("p", toxicity.score(model, docs["text"])).filter(held_out(docs["doc_id"])).join(table, "doc_id").collect()
+    toxic, clean = [r.p for r in found if r.toxic], [r.p for r in found if not r.toxic]
+    assert sum(p >= 0.5 for p in toxic) >= 0.9 * len(toxic) and sum(p >= 0.5 for p in clean) <= 0.03 * len(clean)
+
+
 def test_quality(spark, labelled):
     docs, labels = labelled
     forest = quality.train(docs, labels)
@@ -97,21 +120,17 @@ def test_scores_of_clashing(spark, clashing, labelled):
 
 
 def brute_nearest(rows, queries, k):
-    fine = {}
+    """Every different (id, vector) is a query and a candidate of its own."""
+    fine = set()
     for i, v in rows:
         if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v) and any(v):
-            v = np.array(v, np.float32).astype(float)
-            fine[i] = min(fine.get(i, v.tolist()), v.tolist())
-    out = {}
-    for q in queries:
-        if q in fine:
-            found = []
-            for i, v in fine.items():
-                if i != q and len(v) == len(fine[q]):
-                    found.append((math.sqrt(sum((a - b) ** 2 for a, b in zip(fine[q], v, strict=True))), i))
-            for rank, (d, i) in enumerate(sorted(found)[:k], 1):
-                out[q, rank] = (i, d)
-    return out
+            fine.add((i, tuple(np.array(v, np.float32).astype(float).tolist())))
+    out = []
+    for i, v in fine:
+        if i in queries:
+            found = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(v, w, strict=True))), j) for j, w in fine if (j, w) != (i, v) and len(w) == len(v))
+            out += [(i, rank, j, d) for rank, (d, j) in enumerate(found[:k], 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("block", [16, 8192])
@@ -123,12 +142,13 @@ def test_nearest(spark, monkeypatch, block):
     same = rows[7][1]
     rows += [(200 + i, same) for i in range(30)]  # ties
     rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] + [1.0] * 7), (303, [None] + [1.0] * 7), (304, [float("inf")] * 8), (None, same), (305, [1.0, 2.0]), (306, [1.0, 2.5]), (307, []), (10, same), (20, rows[20][1])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "'x' as vector", "2 as length", "3 as rank")
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "'x' as vector", "2 as length", "3 as rank", "4 as mark")
     queries = [0, 7, 10, 20, 205, 300, 301, 305, 999]
-    got = nearest.nearest(table, table.filter(table.vec_id.isin(queries)), 5).collect()
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.nearest(table, table.filter(table.vec_id.isin(queries)), 5).collect())
     want = brute_nearest(rows, queries, 5)
-    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {k: i for k, (i, _) in want.items()}
-    assert [r.score for r in got] == pytest.approx([want[r.query_id, r["rank"]][1] for r in got], rel=1e-12, abs=1e-12)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], rel=1e-12, abs=1e-12)
+    assert sum(r[0] == 10 for r in got) == 10  # both vectors of the repeated id
 
 
 def test_nearest_empty(spark):
