@@ -67,7 +67,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"),
+                        F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,12 +127,12 @@ SQL = {
           doc_id = max(doc_id) over same as kept, sha256(text) as text_sha256
         from t window same as (partition by text)""",
     "op7_nearest_neighbours": """
-        with v as (select vec_id, cast(embedding as double[]) as x from embeddings
+        with v as (select distinct vec_id, cast(embedding as double[]) as x from embeddings
           where vec_id is not null and list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c)))
             and list_bool_or(list_transform(embedding, lambda c: c <> 0))),
-        d as (select q.vec_id as query_id, v.vec_id, sqrt(list_reduce(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) as score
-          from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id and len(q.x) = len(v.x)),
-        r as (select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from d)
+        d as (select q.vec_id as query_id, q.x, v.vec_id, sqrt(list_reduce(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) as score
+          from v q join v on q.vec_id % 100 = 0 and (q.vec_id <> v.vec_id or q.x <> v.x) and len(q.x) = len(v.x)),
+        r as (select query_id, cast(row_number() over (partition by query_id, x order by score, vec_id) as integer) as rank, vec_id, score from d)
         select * from r where rank <= 10""",
     "op10_minhash_near_dedup": r"""
         with recursive w as (

@@ -74,6 +74,58 @@ def test_mix_odd_rows(odd, clashing):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixture(odd.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows(make):
+    """Rows of one document count each for themselves, so the target is met within half a document."""
+    docs = make(*[(7, "ten words are in this text and that is it", "a")] * 300, *[(1000 + i, "w " * 30, "b") for i in range(50)], *[(2000 + i, "w " * 30, "c") for i in range(50)])
+    rows = mixing.mix(docs).collect()
+    for s in "abc":
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r["size"] * len(r.draws) for r in own) - own[0].target) <= own[0]["size"] / 2 + 1e-6
+    out = mixing.mixture(docs, placed=True)
+    assert out.count() == sum(len(r.draws) for r in rows)
+    assert sorted((r.shard, r.key) for r in out.collect()) == sorted(tuple(d) for r in rows for d in r.draws)
+
+
+def test_the_tree_decides_the_shards(sources, monkeypatch):
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, rng: np.stack([quotas, *[0 * quotas] * (shards - 1)]))
+    big = [r for r in mixing.mix(sources).collect() if r.draws]
+    assert {d.shard for r in big for d in r.draws} == {0}
+
+
+def test_shards_draw_exact_quotas_of_disjoint_blocks(spark):
+    rows = mixing._quota_table(spark, [(0, 37), (3, 2), (5, 200)], 8, 5).collect()
+    dealt = []
+    for r in rows:
+        places = sorted((r["_factor"] * b + r["_summand"]) % r["_n"] for b in range(r["_n"]))
+        assert places == list(range(r["_n"])) and r["_ends"][-1] == r["_n"]
+        dealt.append(np.diff([0, *r["_ends"]]))
+    sums = np.sum(dealt, 0)
+    assert sums.sum() == 239 and sums.max() - sums.min() <= 1
+
+
+def test_very_many_sources(make):
+    docs = make(*[(i, "a b c", f"s{i:05d}") for i in range(3000)])
+    rows = mixing.mix(docs).collect()
+    want = brute_targets({f"s{i:05d}": 3 for i in range(3000)})
+    assert {r.source: r.target for r in rows} == pytest.approx(want)
+    assert len({d.shard for r in rows for d in r.draws}) == 8
+
+
+def test_equal_rows_spread_over_ranges(spark, make, monkeypatch):
+    from listforge.llm import common
+
+    parts = []
+    keep = common.keep
+    monkeypatch.setattr(common, "keep", lambda df, label="stage": (parts.append(keep(df, label)), parts[-1])[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = make(*[(1, "one text")] * 2000).repartition(4)
+    rows = docs.selectExpr("1 as mark", "doc_id", "1 as one")
+    got = common.ordered_totals(rows, [], ["mark", "doc_id"], {"n": "one"}).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.n for r in got) == list(range(2000))
+    assert max(r["count"] for r in parts[0].groupBy("_part").count().collect()) < 1500
+
+
 def brute_capacity(sizes, shards):
     best = sum(sizes)
     for cuts in itertools.combinations_with_replacement(range(len(sizes) + 1), shards - 1):
