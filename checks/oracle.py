@@ -56,6 +56,15 @@ def _patched(text, n):
     return f"case {n} when 0 then {text} {cases} end"
 
 
+_FACTS = f"""select count(*) as n, count(*) - count(distinct id) as extra, count(*) filter (name is null) as null_name,
+        count(*) filter (location is null) as null_location, count(*) filter (rating is null) as null_rating,
+        count(*) filter (cost_for_two is null) as null_cost, count(*) filter (budget is null) as null_budget,
+        count(*) filter (cuisines is null) as null_cuisines, count(*) filter (id is null) as null_id,
+        count(*) filter (rating not between 0 and 5) as bad_rating, count(*) filter (len(cuisines) = 0) as no_cuisine,
+        count(*) filter (budget not in ('low', 'medium', 'high')) as bad_tier,
+        count(*) filter (budget <> {_TIER}) as differs from {{table}}"""
+
+
 _CTES = {
     "raw": (PART_LISTINGS.format(part="part", nation="nation"), []),
     "cat": (_catalog("raw"), ["raw"]),
@@ -117,13 +126,9 @@ _CTES = {
     "told_ids": ("""select a.*, i.id from again a left join ids i on a.name = i.name and a.nth = i.nth and a.cuisines = i.cuisines
         and a.location is not distinct from i.location and a.rating is not distinct from i.rating
         and a.cost_for_two is not distinct from i.cost_for_two and a.budget is not distinct from i.budget""", ["again", "ids"]),
-    "facts": (f"""select count(*) as n, count(*) - count(distinct id) as extra, count(*) filter (name is null) as null_name,
-        count(*) filter (location is null) as null_location, count(*) filter (rating is null) as null_rating,
-        count(*) filter (cost_for_two is null) as null_cost, count(*) filter (budget is null) as null_budget,
-        count(*) filter (cuisines is null) as null_cuisines, count(*) filter (id is null) as null_id,
-        count(*) filter (rating not between 0 and 5) as bad_rating, count(*) filter (len(cuisines) = 0) as no_cuisine,
-        count(*) filter (budget not in ('low', 'medium', 'high')) as bad_tier,
-        count(*) filter (budget <> {_TIER}) as differs from cat""", ["cat"]),
+    "facts": (_FACTS.format(table="cat"), ["cat"]),
+    "grown": ("select * from cat union all select * from cat where id % 3 = 0", ["cat"]),
+    "grown_facts": (_FACTS.format(table="grown"), ["grown"]),
 }
 
 
@@ -150,7 +155,7 @@ def _cell(column, cleaned):
     return _with(f"select src_key + 1 as id, {column} as raw_value, {cleaned} as cleaned from raw", "raw")
 
 
-def _rules():
+def _rules(facts="facts"):
     columns = {"id": "id", "name": "name", "location": "location", "cuisines": "cuisines", "rating": "rating",
                "cost_for_two": "cost", "budget": "budget"}
     pct = lambda c: f"round({c} * 100.0::double / n, 6)"
@@ -169,9 +174,9 @@ def _rules():
         ("tier_cost_mismatch", "check", "differs", 0, "differs > 0"),
     ]
     rows = " union all ".join(
-        f"select '{r}' as rule, '{s}' as severity, cast({v} as double) as value, cast({t} as double) as threshold, {f} as failed from facts"
+        f"select '{r}' as rule, '{s}' as severity, cast({v} as double) as value, cast({t} as double) as threshold, {f} as failed from {facts}"
         for r, s, v, t, f in rules)
-    return _with(rows, "facts")
+    return _with(rows, facts)
 
 
 _P_LOC = "contains(lower(coalesce(location, '')), 'nation 1')"
@@ -287,6 +292,13 @@ def all_sql() -> dict[str, str]:
               from (select distinct lower(location) as place, lower(cuisine) as dish from req) w join cat c on contains(lower(c.location), w.place)) c
             on c.place = lower(r.location) and c.dish = lower(r.cuisine) group by r.request_id)""", "req", "cat"),
         "shortlist_one": _with(_ONE.format(f"{_P_LOC} and {_P_CUI} and {_P_RAT} and {_P_BUD}"), "cat"),
+        "shortlist_published": _with(_ONE.format(f"{_P_LOC} and {_P_CUI} and {_P_RAT} and {_P_BUD}"), "cat"),
+        "filter_location_published": _with(f"select id, location from cat where {_P_LOC}", "cat"),
+        "quality_from_facts": _rules("grown_facts"),
+        "rating_summary_from_facts": _with(
+            "select count(rating) as count, round(avg(rating), 6) as mean, round(stddev_samp(rating), 6) as std, min(rating) as min, "
+            "round(quantile_cont(rating, 0.25), 6) as q25, round(quantile_cont(rating, 0.5), 6) as q50, "
+            "round(quantile_cont(rating, 0.75), 6) as q75, max(rating) as max from cat", "cat"),
         "shortlist_empty": _with(_ONE.format(f"contains(lower(location), 'no such place') and {_P_CUI} and {_P_RAT} and {_P_BUD}"), "cat"),
         "shortlist_after_delta": _with(
             """select request_id, cast(row_number() over (partition by request_id order by rating desc, id) as integer) as pos, id, rating from

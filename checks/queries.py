@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from listforge.functions import messages, numbers, text
 from listforge.operators import predicates
-from listforge.plans import delta, funnel, identity, ingest, options, quality, recommend, requests, rounds, scoring, shortlist, views
+from listforge.plans import delta, facts, funnel, identity, ingest, options, quality, recommend, requests, rounds, scoring, shortlist, views
 from listforge.sources import read_catalog, read_raw, write_catalog
+from listforge.sources.catalog import catalog_path
 from listforge.sources.shared import keep, shared_dir
 
 from .tables import PLAIN, WRONG, Tables, tables
@@ -280,6 +281,39 @@ def shortlist_one(t: Tables):
     return shortlist.shortlist_one(t.catalog, **WISH).select("pos", "id", "name", "rating", "budget")
 
 
+def _published(t: Tables, label: str) -> str:
+    """Path of the catalog published in files that are ranges of places."""
+    path = f"{shared_dir(t.spark)}/listforge/{label}-{uuid.uuid4().hex}"
+    write_catalog(t.catalog.repartitionByRange(8, "location", "id"), path)
+    return path
+
+
+@query
+def shortlist_published(t: Tables):
+    """As shortlist_one, over the files that can hold the texts."""
+    return shortlist.shortlist_published(t.spark, _published(t, "skipped"), **WISH).select("pos", "id", "name", "rating", "budget")
+
+
+@query
+def filter_location_published(t: Tables):
+    found = read_catalog(t.spark, _published(t, "skipped"), location="nation 1")
+    return found.filter(predicates.location_matches("nation 1")).select("id", "location")
+
+
+@query
+def quality_from_facts(t: Tables):
+    """Rules from the facts of a catalog that grew by an append, of which the second report read the new files alone."""
+    path = _published(t, "facts")
+    facts.facts(t.spark, path)
+    t.catalog.filter("id % 3 = 0").coalesce(1).write.mode("append").parquet(catalog_path(t.spark, path))
+    return facts.report_from_facts(facts.facts(t.spark, path))
+
+
+@query
+def rating_summary_from_facts(t: Tables):
+    return facts.rating_summary_from_facts(facts.facts(t.spark, _published(t, "facts")))
+
+
 @query
 def shortlist_empty(t: Tables):
     return shortlist.shortlist_one(t.catalog, **NO_WISH).select("pos", "id", "name", "rating", "budget")

@@ -1,6 +1,6 @@
 """Quality rules and the verification report of a catalog."""
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,15 +46,28 @@ def quality_report(df: DataFrame, numbered: bool = False, corrupt: int | None =
     could not be read. Percentages are rounded to 6 places.
     """
     present = [c for c in CATALOG_COLUMNS if c in df.columns]
-    has = set(present).__contains__
-    col, n = F.col, F.col("n_rows")
+    n = F.col("n_rows")
+    facts = df.agg(*fact_columns(df, present), *([F.min("id").alias("first_id"), F.max("id").alias("last_id")] if "id" in present and numbered else []))
+    if "id" in present:
+        facts = facts.withColumn("extra_ids", surplus_ids(df, dense=True if numbered else None).scalar())
+        if numbered:  # a gap is an error as well
+            whole = (n == 0) | ((F.col("first_id") == 1) & (F.col("last_id") == n))
+            facts = facts.withColumn("extra_ids", F.when(F.coalesce(whole, F.lit(False)), F.col("extra_ids")).otherwise(n))
+    else:
+        facts = facts.withColumn("extra_ids", F.lit(0).cast("bigint"))
+    return rules_of(facts, present, len(missing_columns(df)), corrupt)
+
+
+def fact_columns(df: DataFrame, present: Sequence[str]) -> list[Column]:
+    """Aggregates that the rules are judged by; all are counts, so those of parts of a table add up."""
+    has, col = set(present).__contains__, F.col
 
     def count_if(name, condition, *needs):
         return F.count_if(condition if all(map(has, needs)) else F.lit(False)).alias(name)
 
     tier_differs = ~assign_budget(col("cost_for_two")).eqNullSafe(col("budget")) \
         if has("budget") and has("cost_for_two") else F.lit(False)
-    facts = df.agg(
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(_missing(df, c)).alias(f"null_{c}") for c in present],
         count_if("bad_rating", ~F.isnan("rating") & ~col("rating").between(fixed.RATING_MIN, fixed.RATING_MAX), "rating"),
@@ -62,15 +75,12 @@ def quality_report(df: DataFrame, numbered: bool = False, corrupt: int | None =
         count_if("bad_tier", col("budget").isNotNull() & ~col("budget").isin(fixed.TIERS), "budget"),
         count_if("tier_differs", col("budget").isNotNull() & col("cost_for_two").isNotNull() & tier_differs,
                  "budget", "cost_for_two"),
-        *([F.min("id").alias("first_id"), F.max("id").alias("last_id")] if has("id") and numbered else []),
-    )
-    if has("id"):
-        facts = facts.withColumn("extra_ids", surplus_ids(df, dense=True if numbered else None).scalar())
-        if numbered:  # a gap is an error as well
-            whole = (n == 0) | ((col("first_id") == 1) & (col("last_id") == n))
-            facts = facts.withColumn("extra_ids", F.when(F.coalesce(whole, F.lit(False)), col("extra_ids")).otherwise(n))
-    else:
-        facts = facts.withColumn("extra_ids", F.lit(0).cast("bigint"))
+    ]
+
+
+def rules_of(facts: DataFrame, present: Sequence[str], n_missing: int = 0, corrupt: int | None = None) -> DataFrame:
+    """One row per rule from one row of :func:`fact_columns` and ``extra_ids``."""
+    has, col, n = set(present).__contains__, F.col, F.col("n_rows")
 
     def rule(name, severity, value, threshold, failed):
         return F.struct(
@@ -84,7 +94,6 @@ def quality_report(df: DataFrame, numbered: bool = False, corrupt: int | None =
     def above(name, severity, value, threshold):
         return rule(name, severity, value, threshold, value > threshold)
 
-    n_missing = len(missing_columns(df))
     rules = [
         rule("non_empty", "error", n, 0, n == 0),
         above("duplicate_ids", "error", col("extra_ids"), 0),
@@ -170,10 +179,14 @@ def rating_summary(catalog: DataFrame) -> DataFrame:
     Quartiles come from running counts over the distinct ratings, which stays
     distributed however many distinct values there are.
     """
-    values = (
+    return summary_of(
         catalog.filter(F.col("rating").isNotNull() & ~F.isnan("rating"))
         .groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def summary_of(values: DataFrame) -> DataFrame:
+    """The summary from a table of distinct ratings with their counts (rating, n)."""
     counted = running_total(in_order(values, "rating"), "n", "upto")
     total = values.agg(F.sum("n")).scalar()
 
@@ -212,11 +225,11 @@ def rating_summary(catalog: DataFrame) -> DataFrame:
 
 def top_locations(catalog: DataFrame, k: int = fixed.TOP_LOCATIONS) -> DataFrame:
     """The most frequent locations; the numbering window sees ``k`` rows only."""
-    top = (
-        catalog.select("location").na.drop()
-        .groupBy("location").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "location").limit(k)
-    )
+    return top_of(catalog.select("location").na.drop().groupBy("location").agg(F.count(F.lit(1)).alias("n")), k)
+
+
+def top_of(counts: DataFrame, k: int = fixed.TOP_LOCATIONS) -> DataFrame:
+    top = counts.orderBy(F.desc("n"), "location").limit(k)
     return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "location")).alias("pos"), "location", "n")
 
 

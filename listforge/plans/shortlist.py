@@ -47,6 +47,11 @@ def shortlist_one(catalog: DataFrame, location: str, cuisine: str,
     return matching.orderBy(*best).limit(k).select(F.row_number().over(Window.orderBy(*best)).alias("pos"), *CATALOG_COLUMNS)
 
 
+def shortlist_published(spark: SparkSession, path: str, location: str, cuisine: str, **rest) -> DataFrame:
+    """:func:`shortlist_one` over a published catalog; files that cannot hold the two texts are not opened."""
+    return shortlist_one(read_catalog(spark, path, location=location, cuisine=cuisine), location, cuisine, **rest)
+
+
 def best_cells(catalog: DataFrame, k: int = fixed.SHORTLIST_SIZE) -> DataFrame:
     """The ``k`` best listings of every (location, cuisine, tier), texts in lower case.
 

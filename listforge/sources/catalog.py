@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .schema import CATALOG, CATALOG_COLUMNS
 from .shared import create, exists, names_in, remove
+from .signatures import read_holding, write_signatures
 
 _MANIFEST, _LEASES, _CLAIM = "_published", "_leases", "claim-"
 
@@ -70,7 +71,7 @@ def pinned(spark: SparkSession, path: str, seconds: float = 24 * 3600) -> Iterat
     """The newest version's rows for a job of several reads: publishers do not remove it before the block ends or the time is up."""
     folder, held = lease(spark, path, seconds)
     try:
-        yield _canonical(spark, folder, folder == path)
+        yield canonical(_stored(spark, folder), folder == path)
     finally:
         release(spark, held)
 
@@ -82,7 +83,7 @@ def write_catalog(catalog: DataFrame, path: str, partition_by_budget: bool = Fal
     number: of two publishers that started from the same version the second fails with :class:`PublishConflict`, and a write that
     fails half-way leaves what was published before in place. ``after`` is the number (:func:`latest`) that the
     caller's input came from, by default the one at the start. The newest ``versions`` are left, and
-    older ones that a reader holds. NaN becomes null. The row count is observed during the write, not counted again.
+    older ones that a reader holds. Signatures of its files (:mod:`signatures`) let readers skip some. NaN becomes null. The row count is observed during the write, not counted again.
     """
     spark, rows = catalog.sparkSession, Observation("catalog_rows")
     seen = latest(spark, path) if after is None else after
@@ -93,6 +94,7 @@ def write_catalog(catalog: DataFrame, path: str, partition_by_budget: bool = Fal
     if partition_by_budget:
         writer = writer.partitionBy("budget")
     writer.parquet(folder)
+    write_signatures(spark, folder)
     _commit(spark, path, seen, name)
     held = _leased(spark, path)
     for old in _versions(spark, path)[versions:]:
@@ -121,26 +123,34 @@ def catalog_path(spark: SparkSession, path: str) -> str:
     return next(iter(_versions(spark, path)), path)
 
 
-def read_catalog(spark: SparkSession, path: str, cache: bool = False) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, cache: bool = False, location: str | None = None, cuisine: str | None = None) -> DataFrame:
     """Scan the newest version of a catalog, or a foreign Parquet table, with the seven canonical columns.
 
     A text ``cuisines`` cell becomes an array of one, a null one an empty array. NaN in a foreign
     table becomes null. The scan keeps Parquet pushdown and pruning; ``cache`` holds the table over many uses.
+    With ``location`` or ``cuisine`` only the files are read that can hold these substrings; rows without them may still come.
     """
     folder = catalog_path(spark, path)
-    out = _canonical(spark, folder, folder == path)
+    found = _stored(spark, folder)
+    if folder != path and (location or cuisine):
+        found = read_holding(spark, folder, location, cuisine)
+    out = canonical(found, folder == path)
     return out.cache() if cache else out
 
 
-def _canonical(spark: SparkSession, folder: str, foreign: bool) -> DataFrame:
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
     try:
-        found = spark.read.parquet(folder)
+        return spark.read.parquet(folder)
     except AnalysisException as e:
         raise FileNotFoundError(f"no catalog at {folder}: run listforge.plans.ingest.ingest first") from e
+
+
+def canonical(found: DataFrame, foreign: bool, keep_file: bool = False) -> DataFrame:
+    """The seven columns of a stored table, with ``keep_file`` also the path of each row's file."""
     columns = dict(found.dtypes)
     missing = [c for c in CATALOG_COLUMNS if c not in columns]
     if missing:
-        raise ValueError(f"catalog at {folder} lacks columns: {', '.join(missing)}")
+        raise ValueError(f"the catalog lacks columns: {', '.join(missing)}")
     cuisines = F.col("cuisines")
     if columns["cuisines"] == "string":
         cuisines = F.when(cuisines.isNotNull(), F.array(cuisines))
@@ -153,4 +163,4 @@ def _canonical(spark: SparkSession, folder: str, foreign: bool) -> DataFrame:
         # Published versions hold no NaN, so conditions on their columns reach the scan as they are.
         return (_not_nan(c) if foreign and columns[field.name] in ("double", "float") else c).alias(field.name)
 
-    return found.select(*[read(f) for f in CATALOG.fields])
+    return found.select(*[read(f) for f in CATALOG.fields], *([F.col("_metadata.file_path").alias("file")] if keep_file else []))
