@@ -5,12 +5,14 @@ that the mix takes twice appear twice, others not at all) and packed into sequen
 the columns of documents, the last one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from listforge.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from listforge.llm.common import table
 from listforge.llm.queries import vocabulary_path
-from listforge.sources.shared import keep
+from listforge.sources.shared import kept_tables, shared_dir
 
 #: Similarity from which the near-duplicate stage drops a copy; the 85 of op10 is that query's own contract.
 PERCENT = 80
@@ -50,12 +52,20 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The stages over documents, each written and read again; what a stage keeps on its way goes once its result is written.
+
+    Nulls in any column, empty and very long texts, repeated rows and an empty table pass as the stages' own docstrings say: a null text
+    is empty, rows that repeat an id and text become one, an empty table gives an empty result. Other columns keep their names and values.
+    """
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = keep(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark).rstrip('/')}/listforge/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        with kept_tables(spark):
+            docs = stage(spark, docs, sf_dir)
+            docs.write.parquet(path)
+            shape = docs.schema
+        docs = spark.read.schema(shape).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def pipeline_queries() -> dict:
