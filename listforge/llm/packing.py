@@ -1,8 +1,8 @@
 """Packing token sequences by a grouping genetic algorithm on islands."""
 
-import gc
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,16 +14,17 @@ from .common import keep
 
 LENGTH, END = 1024, 2
 #: Items of one block (a subproblem), islands that evolve it, rounds between migrations.
-BLOCK, ISLANDS, MIGRATIONS = 2048, 2, 2
+BLOCK, ISLANDS, MIGRATIONS = 16384, 2, 2
 POPULATION, CHILDREN = 4, 6
-#: Sequences filled less than this are opened again and packed with those of other blocks.
-FULL, REPACKS = 0.98, 3
+#: Openings of a few sequences that a child is mended by, at most.
+MENDS = 150
+#: A bin that is injected, or left alone by a crossing, is filled so far. Sequences that are not quite full are opened
+#: again after a block and packed with those of other blocks, so many times.
+FULL, REPACKS = 0.98, 6
 SEED = 3
-#: Words whose ids a Python worker remembers.
-_MEMORY = 500_000
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_NEWLINE_ID = 198
-_NEWLINE = np.array([_NEWLINE_ID], "<u4").tobytes()
+#: How a byte-level vocabulary splits texts before its merges, and the last character up to which all libraries agree on classes.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BEYOND = re.compile("[^\u0000-\u052f]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,112 +35,71 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _awkward(text: str) -> bool:
-    """Whether a text is empty, has white space at its ends, in a row, or other than spaces and line breaks, or unprintable characters."""
-    return (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-            or not text.replace("\n", "").isprintable())
+    """Whether a text has white space other than single spaces and line breaks, unprintable characters or scripts beyond Cyrillic."""
+    return ("  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            or not text.replace("\n", "").isprintable() or not text.isascii() and _BEYOND.search(text) is not None)
 
 
 class _Encoder:
-    """Token ids of texts; words (with the space or line break before them) are encoded once each.
+    """Token ids of texts by one vocabulary file.
 
-    The vocabulary's split never joins a word to what precedes its one space or line break, nor letters to the
-    marks behind them, so the ids of a text are those of its parts in turn. New words that are letters and marks
-    go to the vocabulary's merges directly, many a call; other words, and texts with other white
-    space, go to the whole tokenizer.
+    A byte-level vocabulary whose merges are numbered in their order also is a table of ranks, which the
+    merger of another library walks faster; ordinary texts go there. All others, and
+    vocabularies of any other kind, go to the tokenizer. ``checked`` texts go both ways and must agree.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, checked: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.checked = checked
         with open(vocabulary, encoding="utf-8") as f:
-            rules = json.load(f)["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in rules["merges"]]
-        self.merging = Tokenizer(models.BPE(vocab=rules["vocab"], merges=merges, cache_capacity=0))
-        self.merging.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.lengths = np.zeros(max(rules["vocab"].values()) + 1, np.int64)
-        for token, k in rules["vocab"].items():
-            self.lengths[k] = len(token)
-        self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+            self.ranks = _ranks(json.load(f))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merge(self, parts: list[str]) -> None:
-        """Ids of parts that the vocabulary's split leaves whole."""
-        spelled = ["\u0120" + p[1:] if p[0] == " " and p[1:].isascii() else p if p[0] != " " and p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in parts]
-        lines = [" ".join(spelled[at : at + 256]) for at in range(0, len(spelled), 256)]
-        for k, encoded in enumerate(self.merging.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(encoded.ids, "<u4")
-            own = parts[256 * k : 256 * k + 256]
-            ends = np.cumsum([len(x) for x in spelled[256 * k : 256 * k + 256]])
-            raw, at = ids.tobytes(), 0
-            for part, end in zip(own, (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist(), strict=True):
-                self.parts[part] = raw[at:end]
-                at = end
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of new words, those of one call beyond what may be remembered."""
-        known, parts, simple, others = self.known, self.parts, [], []
-        new: set[str] = set()
-        for w in words:
-            line = w[:1] == "\n"
-            body = w[1:] if line else w
-            core = body.rstrip(_MARKS)
-            if core.isalpha():
-                head, tail = core if line else " " + core, body[len(core):]
-                simple.append((w, line, head, tail))
-                if head not in parts:
-                    new.add(head)
-                if tail and tail not in parts:
-                    new.add(tail)
-            else:
-                others.append(w)
-        self._merge(list(new))
-        for w, line, head, tail in simple:
-            ids = parts[head] + parts[tail] if tail else parts[head]
-            known[w] = _NEWLINE + ids if line else ids
-        for w, ids in zip(others, self._whole([w if w[:1] == "\n" else " " + w for w in others]), strict=True):
-            known[w] = ids
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _MEMORY:
-            self.known, self.parts = {}, {}
-        split, plain, new = [], [], set()
-        for text in texts:
-            if _awkward(text):
-                split.append(None)
-                plain.append(text)
-                continue
-            words = text.replace("\n", " \n").split(" ")
-            words[0] = "\n" + words[0]  # to be encoded without a space; the line break's id is cut off again
-            ids = list(map(self.known.get, words))
-            missing = [(k, words[k]) for k, x in enumerate(ids) if x is None] if None in ids else []
-            new.update(w for _, w in missing)
-            split.append((ids, missing))
-        self._learn(new)
-        known, rest = self.known, iter(self._whole(plain))
-        out = []
-        for found in split:
-            if found is None:
-                out.append(next(rest))
-                continue
-            ids, missing = found
-            for k, w in missing:
-                ids[k] = known[w]
-            out.append(b"".join(ids)[4:])
+        out: list[bytes | None] = [None] * len(texts)
+        if self.ranks is not None:
+            for i, text in enumerate(texts):
+                if not _awkward(text):
+                    out[i] = self.ranks.encode_to_numpy(text).astype("<u4").tobytes()
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        if self.checked and len(rest) < len(texts):
+            some = [i for i in range(len(texts)) if i not in set(rest)][: self.checked]
+            self.checked -= len(some)
+            if self._whole([texts[i] for i in some]) != [out[i] for i in some]:
+                self.ranks = None  # the vocabulary is of another kind after all
+                return self._whole(texts)
         return out
 
 
+def _ranks(rules: dict):
+    """The merger for a vocabulary file's rules, None if they are no plain byte-level ones."""
+    import tiktoken
+
+    split, model = rules.get("pre_tokenizer") or {}, rules["model"]
+    if rules.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("type") != "BPE" or model.get("ignore_merges"):
+        return None
+    letters = {c: b for b, c in _byte_letters().items()}
+    special = {t["content"] for t in rules.get("added_tokens", [])}
+    vocab = {t: k for t, k in model["vocab"].items() if t not in special}
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if any(set(t) - set(letters) for t in vocab) or None in merged or merged != sorted(merged) or sorted(vocab.values()) != list(range(len(vocab))):
+        return None
+    return tiktoken.Encoding("vocabulary", pat_str=_SPLIT, mergeable_ranks={bytes(letters[c] for c in t): k for t, k in vocab.items()}, special_tokens={})
+
+
 _encoders: dict[str, _Encoder] = {}
 
 
 def _encoder(vocabulary: str) -> _Encoder:
-    """One for all tasks of a Python worker, so that words are learned once."""
+    """One for all tasks of a Python worker."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = _Encoder(vocabulary)
     return _encoders[vocabulary]
@@ -165,13 +125,8 @@ def _pieces(vocabulary: str, length: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary)
-        # No cycles are made here, and each collection would walk all remembered words.
-        gc.disable()
-        try:
-            for batch in batches:
-                yield from pieces(batch, encode)
-        finally:
-            gc.enable()
+        for batch in batches:
+            yield from pieces(batch, encode)
 
     return run
 
@@ -226,6 +181,74 @@ def _new(sizes: np.ndarray, length: int, rng, noise: float) -> np.ndarray:
     return bins
 
 
+def _exact(sizes: np.ndarray, length: int) -> np.ndarray:
+    """Bins that each begin with the largest item left and are filled by one, two or three others that fit exactly; where
+    none do, by the largest that fits."""
+    held: list[list[int]] = [[] for _ in range(length + 1)]
+    for i in np.argsort(sizes, kind="stable")[::-1].tolist():
+        held[sizes[i]].append(i)
+    count = np.array([len(h) for h in held])
+    bins, number, top, left = np.full(len(sizes), -1), 0, length, len(sizes)
+    while left:
+        while not count[top]:
+            top -= 1
+        room, chosen = length - top, [top]
+        count[top] -= 1
+        while room:
+            more = [room] if count[room] else _two(count, room) or _three(count, room)
+            if not more:
+                fits = np.flatnonzero(count[: room + 1])
+                if not len(fits):
+                    break
+                more = [int(fits[-1])]
+            for size in more:
+                count[size] -= 1
+                room -= size
+            chosen += more
+        for size in chosen:
+            bins[held[size].pop()] = number
+        left -= len(chosen)
+        number += 1
+    return bins
+
+
+def _two(count: np.ndarray, room: int) -> list[int]:
+    """Two sizes at hand that fill the room exactly, one as large as possible."""
+    large = np.arange(room - 1, (room - 1) // 2, -1)
+    if not len(large):
+        return []
+    fine = np.flatnonzero((count[large] > 0) & (count[room - large] > (large == room - large)))
+    return [int(large[fine[0]]), room - int(large[fine[0]])] if len(fine) else []
+
+
+def _three(count: np.ndarray, room: int, tries: int = 40) -> list[int]:
+    for size in np.flatnonzero(count[:room])[::-1][:tries].tolist():
+        count[size] -= 1
+        rest = _two(count, room - size) if room > size else []
+        count[size] += 1
+        if rest:
+            return [size, *rest]
+    return []
+
+
+def _mend(sizes: np.ndarray, bins: np.ndarray, length: int, lower: int, rng) -> np.ndarray:
+    """Open a few bins that are not full and a few others and place their items anew, as long as that is no worse."""
+    bins = np.unique(bins, return_inverse=True)[1]
+    for _ in range(MENDS):
+        fill = np.bincount(bins, sizes).astype(np.int64)
+        loose = np.flatnonzero(fill < length)
+        if len(fill) <= lower or not len(loose):
+            break
+        chosen = np.unique(np.r_[rng.choice(loose, min(len(loose), int(rng.integers(2, 12))), replace=False), rng.integers(0, len(fill), int(rng.integers(1, 12)))])
+        todo = np.flatnonzero(np.isin(bins, chosen))
+        again, new = np.full(len(sizes), -1), []
+        _best_fit(sizes, _decreasing(sizes, todo, rng, float(rng.choice([0.0, 0.02, 0.1, 0.3]))), again, new, length)
+        if len(new) < len(chosen) or len(new) == len(chosen) and (np.array(new) ** 2).sum() >= (fill[chosen] ** 2).sum():
+            bins[todo] = chosen[again[todo]]
+            bins = np.unique(bins, return_inverse=True)[1]
+    return bins
+
+
 def _fitness(sizes: np.ndarray, bins: np.ndarray, length: int) -> tuple[int, float]:
     """Fewer bins first; among equals, rather full and empty bins than half-full ones."""
     fill = np.bincount(bins, sizes)
@@ -270,15 +293,19 @@ def _evolve(length: int, migration: int):
             item, sizes, elites = item[order], table.column("length").to_numpy()[order].astype(np.int64), []
         rng = np.random.default_rng([SEED, migration, island, int(block) & 0x7FFFFFFF])
         lower = -(-int(sizes.sum()) // length)
-        people = [np.ascontiguousarray(e) for e in elites] or [_new(sizes, length, rng, 0.0)]
+        people = [np.ascontiguousarray(e) for e in elites] or [_new(sizes, length, rng, 0.0), _exact(sizes, length)]
         marks = [_fitness(sizes, p, length) for p in people]
+        if -max(marks)[0] > lower and not migration:
+            best = max(range(len(marks)), key=marks.__getitem__)
+            people[best] = _mend(sizes, people[best], length, lower, rng)
+            marks[best] = _fitness(sizes, people[best], length)
         if -max(marks)[0] > lower:  # else nothing can be better
             while len(people) < POPULATION:
                 people.append(_new(sizes, length, rng, 0.05 * len(people)))
                 marks.append(_fitness(sizes, people[-1], length))
             for _ in range(CHILDREN):
                 a, b = rng.choice(len(people), 2, replace=False)
-                child = _cross(sizes, people[a], people[b], length, rng)
+                child = _mend(sizes, _cross(sizes, people[a], people[b], length, rng), length, lower, rng)
                 mark, worst = _fitness(sizes, child, length), min(range(len(marks)), key=marks.__getitem__)
                 if mark > marks[worst]:
                     people[worst], marks[worst] = child, mark
@@ -311,8 +338,9 @@ def pack(items: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Only the lengths matter, so items are dealt to blocks of about BLOCK at random, whatever document they
     come from. Each block evolves on ISLANDS islands that exchange their elites; items as long as a sequence
-    stand alone. Sequences filled less than FULL are then opened and packed anew in fresh blocks, so
-    that what each block leaves over is brought together.
+    stand alone. Sequences that are not full are then opened and packed anew in fresh blocks, so
+    that what each block leaves over is brought together. An empty table gives an empty one; columns other than item
+    and length are not read.
     """
     alone = items.filter(F.col("length") >= length).select("item", "length", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     open_items, done = items.filter(F.col("length") < length).select("item", "length"), []
@@ -324,10 +352,10 @@ def pack(items: DataFrame, length: int = LENGTH) -> DataFrame:
         fills = packed.groupBy("block", "bin").agg(F.sum("length").alias("_fill"), F.min("item").alias("_first"))
         placed = keep(packed.join(fills, ["block", "bin"]).select("item", "length", "_fill", F.col("_first").alias("sequence_id")), "filled")
         last = again == REPACKS - 1 or blocks == 1
-        done.append(placed if last else placed.filter(F.col("_fill") >= FULL * length))
+        done.append(placed if last else placed.filter(F.col("_fill") >= length))
         if last:
             break
-        open_items = placed.filter(F.col("_fill") < FULL * length).select("item", "length")
+        open_items = placed.filter(F.col("_fill") < length).select("item", "length")
         n = open_items.count()
         if not n:
             break

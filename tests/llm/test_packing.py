@@ -1,5 +1,7 @@
 """Pieces by an exact round trip; packings by their laws and a lower bound."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,11 +83,46 @@ def test_odd_rows(odd, clashing):
     assert packing.pack_pieces(packing.token_pieces(odd.limit(0), vocabulary_path())).count() == 0
 
 
-def test_cache_overflow(make, tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "_MEMORY", 3)
-    encode = packing._Encoder(vocabulary_path())
-    for text in ("one two three four five six", "a b", "b a c d"):
-        assert np.frombuffer(encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+def test_encoder_equals_the_tokenizer(tokenizer):
+    rng = random.Random(4)
+    alphabet = ["a", "B", "é", "ß", "ö", " ", " ", " ", "\n", "1", "²", ".", "#", "'s", "'ll", "Я", "中", "\u00a0", "\t", "😀", "--", "x" * 40]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["word" * 5000, " " * 3000 + "a", "\n" * 3000]
+    for checked in (0, 10_000):
+        encode = packing._Encoder(vocabulary_path(), checked)
+        got = [np.frombuffer(x, "<u4").tolist() for x in encode(texts)]
+        assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert encode.ranks is not None
+
+
+def test_other_vocabularies_go_to_the_tokenizer(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "v.json"))
+    encode = packing._Encoder(str(tmp_path / "v.json"))
+    assert encode.ranks is None and np.frombuffer(encode(["a b c"])[0], "<u4").tolist() == [0, 1, 2]
+
+
+def test_exact_fill_and_mending_keep_every_item():
+    rng = np.random.default_rng(8)
+    for sizes in (rng.integers(1, 1024, 500), rng.integers(1, 60, 500), np.full(7, 1000), np.array([1, 1, 1022]), np.array([5])):
+        bins = packing._exact(sizes, 1024)
+        mended = packing._mend(sizes, bins, 1024, 0, rng)
+        for b in (bins, mended):
+            assert (b >= 0).all() and np.bincount(b, sizes).max() <= 1024
+        assert len(np.unique(mended)) <= len(np.unique(bins))
+
+
+def test_fewer_sequences_than_best_fit(spark):
+    """On the given documents the evolved packing beats plain best fit of all pieces in decreasing order."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = packing.pack_pieces(packing.token_pieces(docs, vocabulary_path()).select("doc_id", "piece", "length")).collect()
+    sizes = np.array([r.length for r in rows])
+    fill: list[int] = []
+    packing._best_fit(sizes, packing._decreasing(sizes, np.arange(len(sizes))), np.full(len(sizes), -1), fill, 1024)
+    used = check(rows, sizes.tolist(), 1024)
+    assert -(-int(sizes.sum()) // 1024) <= used < len(fill)
 
 
 def test_digest(make):
