@@ -4,6 +4,8 @@ import re
 
 import __spark_entry__
 import corpus_pipeline
+from listforge.sources import shared
+from listforge.sources.shared import keep
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -31,6 +33,39 @@ def test_stages(spark):
     assert packed[packed.piece == 0].doc_id.value_counts().to_dict() == mixed.doc_id.value_counts().to_dict()
 
 
+def test_stages_on_odd_rows(spark, odd, clashing):
+    """Nulls, empty and long texts, repeated rows and clashing columns: one row of each text is left, and no stage fails."""
+    for docs in (odd, clashing):
+        columns, kind = docs.columns, docs.schema
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            docs = keep(stage(spark, docs, SF))
+            assert docs.columns == columns and docs.schema.simpleString() == kind.simpleString()
+            if k == 1:
+                texts = [r.text or "" for r in docs.collect()]
+                assert len(texts) == len(set(texts))
+            if k == 2:
+                # The two long texts are near copies, and so are the two equal single words; three texts have no words.
+                assert sorted(r.doc_id for r in docs.filter("length(text) > 1000").collect()) == [5]
+        last = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+        assert last.count() > 0 and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(last.columns)
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    docs = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = keep(stage(spark, docs, SF))
+        assert docs.count() == 0 and docs.columns == odd.columns
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == 0
+
+
+def test_run_leaves_only_what_it_needs(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(shared, "remove", lambda spark, path, _r=shared.remove: (written.append(path), _r(spark, path)))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(list((tmp_path / "listforge").iterdir())) == 4 and len(written) > 20
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
