@@ -40,12 +40,14 @@ def _texts(column: pa.Array) -> list[bytes]:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(_texts(batch.column("text")), size)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
-            ], names=["doc_id", "mark", "n_shingles", "cls", "sketch"])
+            for at in range(0, batch.num_rows, 256):  # sets are larger than their texts
+                part = batch.slice(at, 256)
+                sets = shingle_sets(_texts(part.column("text")), size)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
+                ], names=["doc_id", "mark", "n_shingles", "cls", "sketch"])
     return run
 
 
@@ -53,7 +55,7 @@ def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a text that repeats brings its set once a task
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # sets are larger than their texts
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = shingle_sets(_texts(part.column("text")), size)
                 new = [i for i, c in enumerate(part.column("cls").to_pylist()) if c not in seen and not seen.add(c)]

@@ -49,16 +49,19 @@ class _Encoder:
     """
 
     def __init__(self, vocabulary: str, checked: int = 64):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.checked = checked
+        self.vocabulary, self.checked, self.tokenizer = vocabulary, checked, None
         with open(vocabulary, encoding="utf-8") as f:
             self.ranks = _ranks(json.load(f))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        if self.tokenizer is None:  # many workers never need it again after the check
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.vocabulary)
+            self.tokenizer.encode_special_tokens = True
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -76,6 +79,8 @@ class _Encoder:
             if self._whole([texts[i] for i in some]) != [out[i] for i in some]:
                 self.ranks = None  # the vocabulary is of another kind after all
                 return self._whole(texts)
+            if self.checked <= 0 and not rest:
+                self.tokenizer = None
         return out
 
 
@@ -99,9 +104,14 @@ _encoders: dict[str, _Encoder] = {}
 
 
 def _encoder(vocabulary: str) -> _Encoder:
-    """One for all tasks of a Python worker."""
+    """One for all tasks of a Python worker. Where the driver's path is not there, the worker looks for the file of that name itself."""
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = _Encoder(vocabulary)
+        path = vocabulary
+        if not os.path.exists(path):
+            import public_tokenizers
+
+            path = public_tokenizers.path(os.path.basename(vocabulary))
+        _encoders[vocabulary] = _Encoder(path)
     return _encoders[vocabulary]
 
 

@@ -22,8 +22,8 @@ FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 20, 256, 0.05, 1e-5, 11
 #: Beginnings of words that are terms besides the words, so that inflected forms meet.
 STEMS = (4, 5, 6)
 _EDGES = ".,;:!?|*#$%&()[]{}<>\"'`~^+=/\\_-"
-#: Words whose terms a task remembers.
-_MEMORY = 500_000
+#: Words whose terms a task remembers, about 25 MB.
+_MEMORY = 100_000
 
 
 def word_terms(word: str) -> list[int]:
