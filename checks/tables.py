@@ -79,9 +79,14 @@ class Tables:
     def cells(self) -> shortlist.Cells:
         return shortlist.kept_cells(self.catalog)
 
+    @cached_property
+    def lists(self) -> DataFrame:
+        return keep(shortlist.wish_lists(shortlist.wishes(self.requests), self.cells), "lists")
+
     @cached_property
     def shortlisted(self) -> DataFrame:
-        return keep(shortlist.with_shortlist(self.requests, self.cells), "shortlisted")
+        """Not written: forty listings per request are far more than the requests and the lists they come from."""
+        return shortlist.with_shortlist(self.requests, self.cells, lists=self.lists)
 
     @cached_property
     def responses(self) -> DataFrame:
@@ -89,7 +94,7 @@ class Tables:
 
     @cached_property
     def answered(self) -> DataFrame:
-        return keep(recommend.answers(self.requests, self.cells, self.responses), "answered")
+        return keep(recommend.answers(self.requests, self.cells, self.responses, lists=self.lists), "answered")
 
 
 def canned_responses(shortlisted: DataFrame) -> DataFrame:

@@ -11,15 +11,18 @@ BROADCAST_KEYS = 100_000
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], row_id: str,
-                counted: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                counted: DataFrame | None = None, slice_rows: int = SLICE_ROWS, small: bool = False) -> DataFrame:
     """Left join of ``rows`` with ``per_key`` (at most one row per key) that splits hot keys.
 
     Keys with more than ``slice_rows`` rows get several slices: their rows are dealt out by
     a hash of ``row_id`` and their one partner row is copied per slice. There are at most rows / ``slice_rows``
     hot keys; up to BROADCAST_KEYS their list is broadcast, beyond that it is joined like any other
-    table. Keys are counted on ``counted`` where ``rows`` is a wider version of it.
+    table. Keys are counted on ``counted`` where ``rows`` is a wider version of it. A ``small`` partner table goes
+    to every task instead, and ``rows`` stay where they are.
     """
     keys = list(keys)
+    if small:
+        return rows.join(F.broadcast(per_key), keys, "left")
     counted = rows if counted is None else counted
     counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > slice_rows).select(*keys, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices"))

@@ -29,6 +29,8 @@ WISH = ["place", "dish", "budget"]
 CELL = ["at", "offers", "budget"]
 # Column metadata that says how many listings a kept table of cells or lists holds per key.
 _SIZE = "shortlist_size"
+# Kept lists that are sent to every task, at most; a list of forty listings takes some ten kilobytes.
+SMALL_LISTS = 1_000
 LISTING_FIELDS = [c for c in CATALOG_COLUMNS if c not in ("id", "rating", "budget")]
 
 
@@ -176,19 +178,28 @@ def wish_lists(asked: DataFrame, cells: DataFrame | Cells, k: int = fixed.SHORTL
     return every.withColumn("listings", sized(F.coalesce("listings", F.array()), "listings", k))
 
 
-def with_shortlist(requests: DataFrame, cells: DataFrame | Cells, k: int = fixed.SHORTLIST_SIZE,
-                   extra: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+def few_lists(lists: DataFrame) -> bool:
+    """Whether kept lists are few enough to join them without moving the requests."""
+    return lists.count() <= SMALL_LISTS
+
+
+def with_shortlist(requests: DataFrame, cells: DataFrame | Cells | None, k: int = fixed.SHORTLIST_SIZE,
+                   extra: DataFrame | None = None, lists: DataFrame | None = None, dealt: bool = True) -> DataFrame:
     """Valid requests plus ``shortlist``: an array of at most ``k`` listings, empty without a match.
 
     ``extra`` holds further columns by ``request_id``; they join the narrow rows first. ``lists`` takes
     :func:`wish_lists` of these requests where they are kept for several uses; lists of other
-    requests or of fewer listings are refused.
+    requests or of fewer listings are refused, and few of them are joined without a shuffle of the listings; ``cells`` are not used then. Without ``dealt``
+    few lists leave the requests in their partitions.
     """
     asked = wishes(requests)
-    rows = asked if extra is None else asked.join(extra, "request_id", "left")
+    # Only kept lists are counted, others would be built twice.
+    small = lists is not None and few_lists(lists)
+    # Where nothing else deals them out, few files of requests would be few tasks for rows a hundred times as wide.
+    rows = asked.join(extra, "request_id", "left") if extra is not None else asked.repartition("request_id") if small and dealt else asked
     lists = wish_lists(asked, cells, k) if lists is None else lists
     _held(lists, "listings", k)
-    joined = spread_join(rows, lists, WISH, "request_id", counted=asked)
+    joined = spread_join(rows, lists, WISH, "request_id", counted=asked, small=small)
     known = F.coalesce("listings", F.raise_error(F.lit("the lists were built for other requests")).cast(lists.schema["listings"].dataType))
     within = F.filter(known, lambda x: (x["rating"] >= F.col("min_rating")) & (x["pos"] <= k))
     return joined.withColumn("shortlist", within).drop("listings", "place", "dish")

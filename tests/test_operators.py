@@ -106,3 +106,11 @@ def test_spread_join_equals_plain_join(spark):
         got = spread_join(rows, per_key, ["key"], "id", slice_rows=slice_rows)
         assert got.columns == ["key", "id", "v"]
         assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_small_partner_table_leaves_the_rows_where_they_are(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 3 else f"k{i % 20}") for i in range(400)], "id int, key string").repartition(5)
+    per_key = spark.createDataFrame([("hot", 1), ("k0", 2), ("unused", 4)], "key string, v int")
+    got = spread_join(rows, per_key, ["key"], "id", small=True)
+    assert got.withColumn("at", F.spark_partition_id()).select("at").distinct().count() == 5
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(per_key, "key", "left").collect()), key=str)

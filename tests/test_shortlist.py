@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from listforge.plans import shortlist
 from listforge.plans.funnel import filter_funnel, filter_funnel_batch
 from listforge.plans.shortlist import best_cells, shortlist_batch, shortlist_one, wish_lists, wishes, with_shortlist
 from listforge.sources.schema import CATALOG_COLUMNS
@@ -133,3 +135,16 @@ def test_nan_rating_counts_as_missing(spark):
     assert [r.id for r in shortlist_batch(asked, df).collect()] == [2]
     assert tuple(filter_funnel_batch(asked, df).first())[1:] == (2, 2, 2, 1, 1, None)
     assert tuple(filter_funnel(df, "btm", "cafe", 0.0, "medium").first()) == (2, 2, 2, 1, 1, None)
+
+
+def test_shortlists_of_the_checks_are_not_written(spark):
+    from checks.tables import Tables
+
+    t = Tables(spark, "unused")
+    t.requests = spark.createDataFrame([(1, "btm", "cafe", 0.0, "low")] * 2, "request_id long, location string, cuisine string, min_rating double, budget string")
+    t.lists = spark.createDataFrame([("btm", "cafe", "low", [(1, 4.5), (2, 3.0)])], "place string, dish string, budget string, listings array<struct<pos int, rating double>>") \
+        .withColumn("listings", shortlist.sized(F.col("listings"), "listings", 40))
+    t.cells = None
+    # Joined by each use from the requests and one row per wish.
+    assert not t.shortlisted.inputFiles()
+    assert [(r.request_id, len(r.shortlist)) for r in t.shortlisted.collect()] == [(1, 2)] * 2
