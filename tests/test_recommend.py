@@ -252,3 +252,15 @@ def test_text_options(spark):
         messages.clean_explanation(F.col("e")), messages.clean_explanation(F.col("e"), strict_numbers=True),
         messages.patch_summary(F.col("s"), F.col("n")), messages.patch_summary(F.col("s"), F.col("n"), word_boundary=True)).first()
     assert tuple(row) == ("45 of 5", "4.05 of 5", "sometwo loves 3 recommendations", "someone loves two recommendations")
+
+
+def test_a_scorer_gets_few_prompts_at_once(spark):
+    rows = [(i, "btm", "cafe", 0.0, "low", [(1, i)]) for i in range(600)]
+    asked = spark.createDataFrame(rows, "request_id long, location string, cuisine string, min_rating double, budget string, shortlist array<struct<pos int, id long>>").coalesce(1)
+
+    def scorer(batches):
+        for prompts in batches:
+            yield prompts[["request_id"]].assign(attempt=len(prompts), raw="[]", error=None)
+
+    got = scoring.score(asked, scorer).collect()
+    assert sorted(r.request_id for r in got) == list(range(600)) and max(r.attempt for r in got) <= 256

@@ -101,3 +101,21 @@ def test_whole_answers(spark, tmp_path):
 
     got = {r.request_id: r for r in recommend.recommend_in_rounds(requests, cells, second_try, str(tmp_path / "ledger")).collect()}
     assert got[1].kind == "scored" and got[1].n_items == 1 and got[2].kind == "empty"
+
+
+@pytest.mark.parametrize("small", [1_000, 0])
+def test_rounds_over_lists_keep_no_prompts(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(shortlist, "SMALL_LISTS", small)
+    kept = []
+    plain = rounds.keep
+    monkeypatch.setattr(rounds, "keep", lambda df, label: kept.append(df.columns) or plain(df, label))
+    asked = spark.createDataFrame([(i, "btm", "cafe", 0.0, "low") for i in (*range(12), 5)] + [(99, "nowhere", "cafe", 0.0, "low")], "request_id long, location string, cuisine string, min_rating double, budget string")
+    found = [(1, 7, "a", 4.0)]
+    lists = spark.createDataFrame([("btm", "cafe", "low", found), ("nowhere", "cafe", "low", [])], "place string, dish string, budget string, listings array<struct<pos int, id long, name string, rating double>>") \
+        .withColumn("listings", shortlist.sized(F.col("listings"), "listings", 40))
+    (tmp_path / "calls").mkdir()
+    got = rounds.score_in_rounds(asked, noted(tmp_path / "calls", lambda i, attempt: GOOD if attempt else "no json"), str(tmp_path / "ledger"), calls=4, claims=7, lists=lists)
+    assert sorted((r.request_id, r.attempt) for r in got.collect()) == [(i, a) for i in range(12) for a in (0, 1)]
+    # A request that stands there twice is called for each row, as before.
+    assert calls(tmp_path / "calls") == {(7, 0): 13, (7, 1): 13}
+    assert kept and not any({"prompt", "shortlist"} & set(columns) for columns in kept)
