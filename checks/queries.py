@@ -11,7 +11,7 @@ from listforge.operators import predicates
 from listforge.plans import delta, facts, funnel, identity, ingest, options, quality, recommend, requests, rounds, scoring, shortlist, views
 from listforge.sources import read_catalog, read_raw, write_catalog
 from listforge.sources.catalog import catalog_path
-from listforge.sources.shared import keep, shared_dir
+from listforge.sources.shared import keep, shared_dir, size_in
 
 from .tables import PLAIN, WRONG, Tables, tables
 
@@ -89,6 +89,11 @@ def clean_catalog_input_order_filtered(t: Tables):
     return _flat(ingest.clean_catalog(raw), "cuisines")
 
 
+def range_bytes(size: int) -> int:
+    """16 KB, or what cuts a larger file into 256 ranges."""
+    return max(16 << 10, -(-size // 256))
+
+
 @query
 def clean_catalog_csv_order(t: Tables):
     """Ids by the order of a CSV file whose cells hold quotes, commas and line breaks, read in many byte ranges."""
@@ -96,9 +101,9 @@ def clean_catalog_csv_order(t: Tables):
     said = F.concat(F.col("name"), F.lit(',\n"'), F.col("src_key").cast("string"), F.lit('"\n\n'))
     rows = t.raw_listings().select("src_key", F.when(F.col("src_key") % 3 == 0, said).otherwise(F.col("name")).alias("name"), "location", "cuisines", "rate", "cost")
     rows.coalesce(1).sortWithinPartitions("src_key").write.options(header=True, escape='"').csv(path)
-    # Ranges far smaller than the file; a cluster's default would need a file of some hundred megabytes.
+    # Ranges far smaller than the file; a cluster's default would need a file of some hundred megabytes. Their number stays bounded.
     before = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
-    t.spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    t.spark.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes(size_in(t.spark, path))))
     try:
         return _flat(ingest.clean_catalog(read_raw(t.spark, path, "csv", positions=True)), "cuisines")
     finally:

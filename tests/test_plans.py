@@ -51,3 +51,10 @@ def test_no_query_pairs_everything_or_leaves_the_jvm(spark, name):
     text = plan(all_queries()[name](spark, SF))
     for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython"):
         assert forbidden not in text
+
+
+def test_csv_ranges_are_small_and_bounded():
+    from checks.queries import range_bytes
+
+    assert range_bytes(0) == range_bytes(1 << 20) == 16 << 10
+    assert all(-(-size // range_bytes(size)) <= 256 for size in (5 << 20, 1 << 30, (1 << 33) + 1))
