@@ -2,11 +2,12 @@
 
 import json
 import os
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +23,28 @@ MENDS = 150
 #: again after a block and packed with those of other blocks, so many times.
 FULL, REPACKS = 0.98, 6
 SEED = 3
-#: How a byte-level vocabulary splits texts before its merges, and the last character up to which all libraries agree on classes.
+#: How a byte-level vocabulary splits texts before its merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_BEYOND = re.compile("[^\u0000-\u052f]")
+#: Bytes of text encoded at once, and of the words that a Python worker remembers the ids of.
+TEXT_BYTES, WORD_BYTES = 1 << 21, 1 << 21
+#: White space of more characters goes to the tokenizer.
+SHORT = 256
+#: Kinds of characters that the split tells apart. Awkward are unprintable ones and scripts beyond Cyrillic, on which libraries may differ.
+_LETTER, _NUMBER, _OTHER, _BLANK, _WHITE, _AWKWARD = range(6)
+_WHITES = " \t\n\v\f\r"
+
+
+def _kind(c: str) -> int:
+    if c in _WHITES:
+        return _BLANK if c == " " else _WHITE
+    if not c.isprintable() or c > "\u052f":
+        return _AWKWARD
+    return {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _OTHER)
+
+
+#: Kinds of the characters of one or two bytes in UTF-8, and of single bytes.
+_KINDS = np.array([_kind(chr(c)) for c in range(0x800)], np.uint8)
+_BYTE_KINDS = np.where(np.arange(256) < 128, _KINDS[:256], _AWKWARD).astype(np.uint8)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,22 +54,74 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-def _awkward(text: str) -> bool:
-    """Whether a text has white space other than single spaces and line breaks, unprintable characters or scripts beyond Cyrillic."""
-    return ("  " in text or "\n\n" in text or " \n" in text or "\n " in text
-            or not text.replace("\n", "").isprintable() or not text.isascii() and _BEYOND.search(text) is not None)
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte of UTF-8 belongs to."""
+    kind = _BYTE_KINDS[raw]
+    lead = np.flatnonzero((raw >= 0xC0) & (raw < 0xE0))
+    kind[lead] = kind[lead + 1] = _KINDS[(raw[lead] & 0x1F).astype(np.int32) << 6 | raw[lead + 1] & 0x3F]
+    return kind
+
+
+def _begins(raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words begin in texts that follow each other from ``offsets`` on, cut as _SPLIT does. No byte lies between words."""
+    first = np.zeros(len(raw) + 2, bool)  # also the end, and what a look two bytes ahead may meet
+    first[offsets] = first[-1] = True
+    begins = first[:-2].copy()
+    begins[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK)  # a blank goes with what follows
+    white = (kind == _BLANK) | (kind == _WHITE)
+    inner = np.flatnonzero(white[1:] & white[:-1] & ~first[1:-2]) + 1
+    # Of more white space only the last character is parted, and not at the end of a text.
+    begins[inner] = ~first[inner + 1] & ~white[np.minimum(inner + 1, len(raw) - 1)]
+    quote = np.flatnonzero(begins & (raw == ord("'")) & ~first[1:-1])
+    one = raw[quote + 1]
+    two = np.where(first[quote + 2], 0, raw[np.minimum(quote + 2, len(raw) - 1)])
+    short = np.isin(one, list(b"stmd"))
+    long = np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    begins[quote[short | long] + 1] = False
+    for after in (quote[short] + 2, quote[long] + 3):
+        begins[after[after < len(raw)]] = True
+    return np.flatnonzero(begins)
+
+
+def _parts(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of a text of about TEXT_BYTES. They end where white space follows something else: no word depends on what lies beyond."""
+    at = 0
+    while at < len(raw):
+        size, end = TEXT_BYTES, len(raw)
+        while at + size < len(raw):
+            white = np.isin(_BYTE_KINDS[raw[at : at + size]], (_BLANK, _WHITE))
+            cuts = np.flatnonzero(white[1:] & ~white[:-1])
+            if len(cuts):
+                end = at + int(cuts[-1]) + 1
+                break
+            size *= 2
+        yield at, end
+        at = end
+
+
+def _gathered(at: np.ndarray, count: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The ``count`` ids from each place ``at`` on, one after the other."""
+    upto = np.cumsum(count)
+    place = np.repeat(at - upto + count, count)
+    place += np.arange(len(place), dtype=place.dtype)
+    return ids[place]
+
+
+#: No words, with the number of ids of each and the ids.
+NOTHING = pa.array([], pa.binary()), np.empty(0, np.int64), np.empty(0, "<u4")
 
 
 class _Encoder:
     """Token ids of texts by one vocabulary file.
 
     A byte-level vocabulary whose merges are numbered in their order also is a table of ranks, which the
-    merger of another library walks faster; ordinary texts go there. All others, and
-    vocabularies of any other kind, go to the tokenizer. ``checked`` texts go both ways and must agree.
+    merger of another library walks faster; the words of ordinary texts go there, each distinct one of a batch once. Texts
+    with awkward characters, and vocabularies of any other kind, go to the tokenizer. ``checked`` texts go both ways and must agree.
     """
 
     def __init__(self, vocabulary: str, checked: int = 64):
         self.vocabulary, self.checked, self.tokenizer = vocabulary, checked, None
+        self.known = NOTHING
         with open(vocabulary, encoding="utf-8") as f:
             self.ranks = _ranks(json.load(f))
 
@@ -64,23 +136,86 @@ class _Encoder:
             self.tokenizer.encode_special_tokens = True
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        if self.ranks is not None:
-            for i, text in enumerate(texts):
-                if not _awkward(text):
-                    out[i] = self.ranks.encode_to_numpy(text).astype("<u4").tobytes()
+    def _merged(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of distinct words, and all ids: one call for all, a line break between them."""
+        text = pc.binary_join_element_wise(words, b"", b"\n")
+        ids = self.ranks.encode_to_numpy(b"".join(text.to_numpy(zero_copy_only=False)).decode())
+        ends = ids == self.ranks.encode_single_token(b"\n")
+        return np.diff(np.flatnonzero(ends), prepend=-1) - 1, ids[~ends]
+
+    def _words(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each of some distinct words begin, how many there are, and the ids; the new words are remembered."""
+        known, count, ids = self.known
+        place = pc.index_in(words, known)
+        new = words.filter(place.is_null())
+        blank = pc.is_in(pc.binary_slice(new, -1), pa.array([c.encode() for c in _WHITES], pa.binary()))
+        whites = new.filter(blank)
+        parts = [self._merged(new.filter(pc.invert(blank)))]
+        for w in whites.to_pylist():  # the merger's pattern fails on very much white space
+            one = self.ranks.encode_to_numpy(w.decode()) if len(w) <= SHORT else np.frombuffer(self._whole([w.decode()])[0], "<u4")
+            parts.append((np.array([len(one)]), one))
+        known = pa.concat_arrays([known, new.filter(pc.invert(blank)), whites])
+        count, ids = np.concatenate([count, *[p[0] for p in parts]]), np.concatenate([ids, *[p[1] for p in parts]]).astype("<u4")
+        place = pc.index_in(words, known).to_numpy()
+        begin = np.cumsum(count) - count
+        found = begin[place], count[place], ids
+        if known.nbytes > WORD_BYTES:  # the words at hand are the likeliest to come again
+            known, count, ids = NOTHING if words.nbytes > WORD_BYTES else (words, count[place], _gathered(*found))
+        self.known = known, count, ids
+        return found
+
+    def _ids(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+        """Ids of ordinary texts that follow each other in ``raw`` from ``offsets`` on, None for the others."""
+        if not len(raw):
+            return [b""] * (len(offsets) - 1)
+        kind = _kinds(raw)
+        plain = np.ones(len(offsets) - 1, bool)
+        plain[np.searchsorted(offsets, np.flatnonzero(kind == _AWKWARD), "right") - 1] = False
+        if not plain.all():
+            sizes = np.diff(offsets)
+            ids = iter(self._ids(raw[np.repeat(plain, sizes)], np.r_[0, np.cumsum(sizes[plain])]))
+            return [next(ids) if p else None for p in plain]
+        begins = _begins(raw, kind, offsets)
+        ends = pa.py_buffer(np.r_[begins, len(raw)].astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), len(begins), [None, ends, pa.py_buffer(raw)]).dictionary_encode()
+        at, count, ids = self._words(words.dictionary)
+        index, starts = words.indices.to_numpy(), np.searchsorted(begins, offsets)
+        del kind, begins, words
+        cuts = np.r_[0, np.cumsum(count[index])][starts].tolist()
+        found = _gathered(at[index], count[index], ids)
+        return [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _by_words(self, texts: pa.StringArray) -> list[bytes | None]:
+        """Ids of ordinary texts, None for the others. One long text is read in parts, so memory follows its ids alone."""
+        offsets = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)]
+        if not offsets[-1]:
+            return [b""] * len(texts)
+        start = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[start : start + offsets[-1]]
+        if len(texts) > 1:
+            return self._ids(raw, offsets)
+        out = []
+        for a, b in _parts(raw):
+            out += self._ids(raw[a:b], np.array([0, b - a]))
+            if out[-1] is None:
+                return [None]
+        return [b"".join(out)]
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts.cast(pa.string()).fill_null("") if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out = [None] * len(texts) if self.ranks is None else self._by_words(texts)
         rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
         if self.checked and len(rest) < len(texts):
-            some = [i for i in range(len(texts)) if i not in set(rest)][: self.checked]
+            others = set(rest)
+            some = [i for i in range(len(texts)) if i not in others][: self.checked]
             self.checked -= len(some)
-            if self._whole([texts[i] for i in some]) != [out[i] for i in some]:
+            if self._whole(texts.take(pa.array(some)).to_pylist()) != [out[i] for i in some]:
                 self.ranks = None  # the vocabulary is of another kind after all
-                return self._whole(texts)
+                return self._whole(texts.to_pylist())
             if self.checked <= 0 and not rest:
                 self.tokenizer = None
+        for i, ids in zip(rest, self._whole(texts.take(pa.array(rest, pa.int64())).to_pylist()), strict=True):
+            out[i] = ids
         return out
 
 
@@ -95,7 +230,7 @@ def _ranks(rules: dict):
     special = {t["content"] for t in rules.get("added_tokens", [])}
     vocab = {t: k for t, k in model["vocab"].items() if t not in special}
     merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
-    if any(set(t) - set(letters) for t in vocab) or None in merged or merged != sorted(merged) or sorted(vocab.values()) != list(range(len(vocab))):
+    if any(set(t) - set(letters) for t in vocab) or set(letters) - set(vocab) or None in merged or merged != sorted(merged) or sorted(vocab.values()) != list(range(len(vocab))):
         return None
     return tiktoken.Encoding("vocabulary", pat_str=_SPLIT, mergeable_ranks={bytes(letters[c] for c in t): k for t, k in vocab.items()}, special_tokens={})
 
@@ -118,25 +253,28 @@ def _encoder(vocabulary: str) -> _Encoder:
 def _pieces(vocabulary: str, length: int, end: int):
     closing = np.array([end], "<u4").tobytes()
 
-    def pieces(batch: pa.RecordBatch, encode: _Encoder) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            out = [[], [], [], [], []]
-            for doc, ids in zip(part.column("doc_id"), encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                ids += closing
-                n = len(ids) // 4
-                # The first piece takes the odd length, all others are full.
-                cuts = [0, *range((n - 1) % length + 1, n + 1, length)]
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    for c, x in zip(out, (doc, k, a, b - a, ids[4 * a : 4 * b]), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in out[0]], batch.schema.field("doc_id").type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
-                                             names=["doc_id", "piece", "start", "length", "ids"])
+    def pieces(batch: pa.RecordBatch, encode: _Encoder) -> pa.RecordBatch:
+        out = [[], [], [], [], []]
+        for row, ids in enumerate(encode(batch.column("text"))):
+            ids += closing
+            n = len(ids) // 4
+            # The first piece takes the odd length, all others are full.
+            cuts = [0, *range((n - 1) % length + 1, n + 1, length)]
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                for c, x in zip(out, (row, k, a, b - a, ids[4 * a : 4 * b]), strict=True):
+                    c.append(x)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
+                                          names=["doc_id", "piece", "start", "length", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary)
         for batch in batches:
-            yield from pieces(batch, encode)
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+            total, at = np.cumsum(sizes, dtype=np.int64), 0
+            while at < batch.num_rows:  # rows of TEXT_BYTES together, one at least
+                end = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + TEXT_BYTES, "right")))
+                yield pieces(batch.slice(at, end - at), encode)
+                at = end
 
     return run
 
