@@ -26,7 +26,7 @@ SEED = 3
 #: How a byte-level vocabulary splits texts before its merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text encoded at once, and of the words that a Python worker remembers the ids of.
-TEXT_BYTES, WORD_BYTES = 1 << 21, 1 << 21
+TEXT_BYTES, WORD_BYTES = 1 << 20, 1 << 20
 #: White space of more characters goes to the tokenizer.
 SHORT = 256
 #: Kinds of characters that the split tells apart. Awkward are unprintable ones and scripts beyond Cyrillic, on which libraries may differ.
