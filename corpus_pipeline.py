@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from listforge.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from listforge.llm.common import table
+from listforge.llm.common import lower_batches, narrow_batches, table
 from listforge.llm.queries import vocabulary_path
 from listforge.sources.shared import kept_tables, shared_dir
 
@@ -19,6 +19,7 @@ PERCENT = 80
 
 
 def toxic_filter(spark, docs, sf_dir):
+    lower_batches(spark)  # texts are scored when the caller writes them
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -35,8 +36,9 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack_sequences(spark, docs, sf_dir):
-    pieces = packing.token_pieces(docs, vocabulary_path())
-    return packing.pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    with narrow_batches(spark):
+        pieces = packing.token_pieces(docs, vocabulary_path())
+        return packing.pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 STAGES = [
@@ -57,15 +59,16 @@ def run(spark, sf_dir):
     Nulls in any column, empty and very long texts, repeated rows and an empty table pass as the stages' own docstrings say: a null text
     is empty, rows that repeat an id and text become one, an empty table gives an empty result. Other columns keep their names and values.
     """
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark).rstrip('/')}/listforge/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        with kept_tables(spark):
-            docs = stage(spark, docs, sf_dir)
-            docs.write.parquet(path)
-            shape = docs.schema
-        docs = spark.read.schema(shape).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with narrow_batches(spark):
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            path = f"{shared_dir(spark).rstrip('/')}/listforge/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+            with kept_tables(spark):
+                docs = stage(spark, docs, sf_dir)
+                docs.write.parquet(path)
+                shape = docs.schema
+            docs = spark.read.schema(shape).parquet(path)
+        return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def pipeline_queries() -> dict:

@@ -6,10 +6,11 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, keep, shingle_sets
+from .common import BROADCAST_ROWS, CHUNK_BYTES, keep, narrow_batches, shingle_sets
 from .components import components
 from .exact_dedup import one_row_each
 
@@ -31,36 +32,46 @@ STAYS = 0.5
 NODE_ROWS, SLICE_ROWS, SLICE_TOKENS, PIVOTS = 8192, 2048, 1_000_000, 32
 #: Rows and tokens, about, that one Python group holds.
 GROUP_ROWS, GROUP_TOKENS = 8192, 1_000_000
+#: Tokens of a group's tiles that are compared at once; a larger tile stands alone.
+LOT_TOKENS = 250_000
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of CHUNK_BYTES of text and 256 rows at most; a longer text stands alone. Sets are larger than their texts."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right"))
+            rows = max(1, min(256, upto - at))
+            yield batch.slice(at, rows)
+            at += rows
+
+
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # sets are larger than their texts
-                part = batch.slice(at, 256)
-                sets = shingle_sets(_texts(part.column("text")), size)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
-                ], names=["doc_id", "mark", "n_shingles", "cls", "sketch"])
+        for part in _parts(batches):
+            sets = shingle_sets(_texts(part.column("text")), size)
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
+            ], names=["doc_id", "mark", "n_shingles", "cls", "sketch"])
     return run
 
 
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a text that repeats brings its set once a task
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = shingle_sets(_texts(part.column("text")), size)
-                new = [i for i, c in enumerate(part.column("cls").to_pylist()) if c not in seen and not seen.add(c)]
-                rows = part.take(pa.array(new, pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("g", "cls", "slices")] + [pa.array([sets[i] for i in new], pa.list_(pa.int64()))], names=["g", "cls", "slices", "tokens"])
+        for part in _parts(batches):
+            new = [i for i, c in enumerate(part.column("cls").to_pylist()) if c not in seen and not seen.add(c)]
+            rows = part.take(pa.array(new, pa.int64()))
+            sets = shingle_sets(_texts(rows.column("text")), size)
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("g", "cls", "slices")] + [pa.array(sets, pa.list_(pa.int64()))], names=["g", "cls", "slices", "tokens"])
     return run
 
 
@@ -127,23 +138,38 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
 
 def _shared(tile: np.ndarray, token: np.ndarray, row: np.ndarray, least: np.ndarray):
     """Postings of tokens that several rows of a tile share, rows that share too few left out: (row, first, last) of each posting list, and each row's lists."""
-    keep_at = np.arange(len(token))
+    salt = tile.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for _ in range(3):
-        key = token[keep_at].astype(np.uint64) ^ (tile[row[keep_at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, number, times = np.unique(key, return_inverse=True, return_counts=True)
-        common = times[number] > 1
-        enough = np.bincount(row[keep_at][common], minlength=len(least)) >= least
-        fine = common & enough[row[keep_at]]
+        key = salt[row] ^ token.astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        common = np.empty(len(key), bool)
+        common[order] = np.r_[False, same] | np.r_[same, False] if len(key) else False
+        del key, order, same
+        fine = common & (np.bincount(row[common], minlength=len(least)) >= least)[row]
         if fine.all():
             break
-        keep_at = keep_at[fine]
-    if not len(keep_at):
-        return keep_at, keep_at, keep_at, keep_at
-    _, number = np.unique(key[fine], return_inverse=True)
-    holder = row[keep_at]
-    order = np.argsort(number, kind="stable")
-    ends = np.cumsum(np.bincount(number))
-    return holder, number, holder[order], np.r_[0, ends]
+        token, row = token[fine], row[fine]
+    if not len(row):
+        return row, row, row, row
+    key = salt[row] ^ token.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    number = np.empty(len(key), np.int32)
+    number[order] = np.cumsum(first) - 1
+    return row, number, row[order], np.r_[np.flatnonzero(first), len(key)]
+
+
+def _lots(tile: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that are whole tiles of LOT_TOKENS together, one tile at least; ``ends``: tokens before each row, and all."""
+    starts = np.r_[0, np.flatnonzero(np.diff(tile)) + 1, len(tile)]
+    at = 0
+    while at < len(starts) - 1 and len(tile):
+        upto = max(at + 1, int(np.searchsorted(ends[starts], ends[starts[at]] + LOT_TOKENS, "right")) - 1)
+        yield int(starts[at]), int(starts[upto])
+        at = upto
 
 
 def _linked(percent: int, exact: bool, first_pass: bool):
@@ -161,17 +187,28 @@ def _linked(percent: int, exact: bool, first_pass: bool):
         cls = table.column("cls").to_pylist()
         sets = table.column("tokens").combine_chunks()
         offsets, values = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy(zero_copy_only=False)
-        n = len(cls)
-        size = np.diff(offsets)
         if first_pass:
-            kind, left, right = np.arange(n), np.ones(n, bool), np.ones(n, bool)
+            kind, left, right = np.arange(len(cls)), np.ones(len(cls), bool), np.ones(len(cls), bool)
         else:
             kind = _ids(table.column("comp"))
             left, right = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("left", "right"))
+        a, b = [], []
+        for lo, hi in _lots(tile, offsets):
+            x, y = compared(tile[lo:hi], cls[lo:hi], offsets[lo : hi + 1], values, kind[lo:hi], left[lo:hi], right[lo:hi])
+            a += x
+            b += y
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    def compared(tile, cls, offsets, values, kind, left, right) -> tuple[list[bytes], list[bytes]]:
+        n = len(cls)
+        size = np.diff(offsets)
         # A set's smallest tokens are its sketch.
         short = size if exact else np.minimum(size, SKETCH)
-        row = np.repeat(np.arange(n), short)
-        token = values[np.repeat(offsets[:-1], short) + np.arange(len(row)) - np.repeat(np.cumsum(short) - short, short)]
+        row = np.repeat(np.arange(n, dtype=np.int32), short)
+        if (short == size).all():
+            token = values[offsets[0] : offsets[-1]]
+        else:
+            token = values[np.repeat(offsets[:-1], short) + np.arange(len(row)) - np.repeat(np.cumsum(short) - short, short)]
         least = np.ceil(percent * size / 100) if exact else np.ceil(share * short - 1e-9)
         holder, number, posted, ends = _shared(tile, token, row, least)
         begin = np.searchsorted(holder, np.arange(n + 1))
@@ -204,7 +241,7 @@ def _linked(percent: int, exact: bool, first_pass: bool):
                         root = min(members)
                         a += [root] * len(members)
                         b += members
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return a, b
     return run
 
 
@@ -310,16 +347,18 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Da
     trees: at each level a class enters the nodes of the tokens that are smallest under the node's
     hash, large nodes branch again, and the classes of a node are compared by their sketches. What
     alike sketches connect is one group, in which whole sets are compared and every link is confirmed. Paths miss
-    most where one text contains the other; the README has the recall.
+    most where one text contains the other; the README has the recall. A task's Python memory follows CHUNK_BYTES of text, one
+    comparison of a tile, and the longest text, not the rows of a batch or a group.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sigs = keep(texts.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
-        _signatures(size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark bigint, n_shingles bigint, cls binary, sketch array<bigint>"), "signatures")
-    # One row per class: the smallest id and its text's mark; equal sets have equal sketches.
-    classes = keep(sigs.filter("cls is not null").groupBy("cls").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("_rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
-        .select("cls", "_rep.doc_id", "_rep.mark", "sketch", "n_shingles"), "classes")
-    comps = _confirmed(_candidates(classes, percent), classes, texts, percent, size)
+    with narrow_batches(docs.sparkSession):
+        sigs = keep(texts.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
+            _signatures(size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark bigint, n_shingles bigint, cls binary, sketch array<bigint>"), "signatures")
+        # One row per class: the smallest id and its text's mark; equal sets have equal sketches.
+        classes = keep(sigs.filter("cls is not null").groupBy("cls").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("_rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+            .select("cls", "_rep.doc_id", "_rep.mark", "sketch", "n_shingles"), "classes")
+        comps = _confirmed(_candidates(classes, percent), classes, texts, percent, size)
 
     reps = classes.select("cls", "doc_id")
     rooted = reps.join(comps, "cls").select("cls", "comp", "doc_id")

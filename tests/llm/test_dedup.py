@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +237,54 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).distinct().collect())
     want = {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5} | {100 + i: 100 for i in range(41)} | {500 + i: 500 for i in range(31)}
     assert got == want
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_memory_of_a_comparison_follows_its_tiles(exact):
+    """A group of many tiles takes little more than its rows; the tiles are compared in lots and give the same links."""
+    rng = np.random.default_rng(5)
+    rows, width = (4000, 500) if exact else (40_000, 32)
+    sets = np.sort(rng.integers(-(1 << 62), 1 << 62, (rows, width)), axis=1)
+    sets[1::4] = sets[::4]  # two of each tile of four are equal
+    rowed = pa.ListArray.from_arrays(np.arange(0, rows * width + 1, width, dtype=np.int32), pa.array(sets.ravel()))
+    numbers = [b"%016d" % i for i in range(rows)]
+    group = pa.table({"g": [b"%d" % (i // 4) for i in range(rows)], "i": [0] * rows, "j": [0] * rows, "cls": numbers, "tokens": rowed})
+    out = []
+    peak = _peak(lambda: out.append(near_dedup._linked(85, exact, True)(group)))
+    links = set(zip(out[0]["a"].to_pylist(), out[0]["b"].to_pylist(), strict=True))
+    assert links == {(numbers[i], numbers[i + d]) for i in range(0, rows, 4) for d in (0, 1)}
+    assert peak < 3 * sets.nbytes
+
+
+def test_memory_of_word_hashes_follows_no_text(rng):
+    raw = " ".join(words(rng, 20_000)).encode() * 20
+    word_hashes(raw[:1000])
+    assert _peak(lambda: word_hashes(raw)) < 10 * len(raw)
+
+
+def test_parts_of_batches():
+    texts = ["a" * 300_000] * 5 + [None, "", "b" * 3_000_000] + ["c"] * 600
+    parts = list(near_dedup._parts(iter([pa.record_batch({"text": pa.array(texts, pa.string())})])))
+    assert [t for p in parts for t in p["text"].to_pylist()] == texts
+    assert all(p.num_rows <= 256 and (p.num_rows == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= near_dedup.CHUNK_BYTES) for p in parts)
+
+
+def test_batches_are_narrow_during_near_dedup(spark, make, monkeypatch):
+    """Batches that go to Python hold few rows, and the session's own setting stands again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    kept = near_dedup.keep
+    monkeypatch.setattr(near_dedup, "keep", lambda df, label: seen.append((label, int(spark.conf.get(name)))) or kept(df, label))
+    rows = near_dedup.near_dedup(make((1, "a b c d e f"), (2, "a b c d e f"), (3, "x"))).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 3}
+    assert all(n <= 1000 for label, n in seen if label in ("signatures", "sets", "links")) and seen[0][0] == "signatures"
+    assert spark.conf.get(name) == before
