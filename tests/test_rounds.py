@@ -1,3 +1,4 @@
+import contextlib
 import json
 import os
 import signal
@@ -119,3 +120,35 @@ def test_rounds_over_lists_keep_no_prompts(spark, tmp_path, monkeypatch, small):
     # A request that stands there twice is called for each row, as before.
     assert calls(tmp_path / "calls") == {(7, 0): 13, (7, 1): 13}
     assert kept and not any({"prompt", "shortlist"} & set(columns) for columns in kept)
+
+
+@pytest.mark.parametrize("small", [1_000, 0])
+def test_listings_are_written_out_once_per_list(spark, tmp_path, monkeypatch, small):
+    """Prompts from the lists' texts equal whole ones, and nothing makes the JSON of a shortlist per call."""
+    monkeypatch.setattr(shortlist, "SMALL_LISTS", small)
+    rows = [(i, "Btm", "Café \"x\"", (0.0, 2.5, 4.0, 5.0)[i % 4], "low") for i in range(12)] + [(20, "hsr", "i", 1.0, "high"), (21, "nowhere", "i", 0.0, "low")]
+    asked = spark.createDataFrame(rows, REQUEST_SCHEMA)
+    listing = "array<struct<pos int, id long, name string, location string, cuisines array<string>, rating double, cost_for_two double, budget string>>"
+    found = [(n, n, f'"{n}" é\n', None, ["a", None], 5.0 - n / 10, None if n % 2 else 1e7, "low") for n in range(1, 51)]
+    lists = spark.createDataFrame([("btm", 'café "x"', "low", found), ("hsr", "i", "high", found[:1]), ("nowhere", "i", "low", [])], f"place string, dish string, budget string, listings {listing}") \
+        .withColumn("listings", shortlist.sized(F.col("listings"), "listings", 50))
+    whole = {r.request_id: r.prompt for r in scoring.prompts(shortlist.with_shortlist(asked, None, lists=lists)).collect()}
+    assert set(whole) == {i for i, _, _, least, _ in rows if least < 5.0 and i != 21}
+
+    def every_call(*_):
+        raise AssertionError("a shortlist is written out for a call")
+
+    monkeypatch.setattr(rounds, "prompts", every_call)
+    got = rounds.score_in_rounds(asked, lambda prompt, attempt: prompt, str(tmp_path / "ledger"), calls=2, claims=4, lists=lists)
+    assert {(r.request_id, r.attempt): r.raw for r in got.collect()} == {(i, a): p for i, p in whole.items() for a in range(3)}
+
+
+def test_a_wave_reads_its_own_rows(spark, asked, tmp_path, monkeypatch):
+    kept = {}
+    plain = rounds.keep
+    monkeypatch.setattr(rounds, "keep", lambda df, label: kept.setdefault(label, plain(df, label)))
+    monkeypatch.setattr(rounds, "kept_tables", lambda spark: contextlib.nullcontext())
+    got = rounds.score_in_rounds(asked, lambda prompt, attempt: GOOD, str(tmp_path / "ledger"), max_retries=0, claims=7)
+    assert got.count() == 60
+    in_order = [r._wave for r in kept["waves"].collect()]
+    assert in_order == sorted(in_order) and set(in_order) == set(range(9))
