@@ -213,3 +213,55 @@ def test_runs_of_the_whole_host(spark, monkeypatch, pages):
     rows += [(100 + k, f"http://h/copy{k}", rows[5][2]) for k in range(3)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Own words of page {5 if i >= 100 else i} and {' '.join(f'p{5 if i >= 100 else i}x{k}' for k in range(12))}" for i, _, _ in rows}
+
+
+def test_pages_with_other_articles_are_other_pages(spark):
+    """A hundred articles with one menu are a hundred pages of the host, so a passage on two more pages is a quotation."""
+    quote = "to be or not to be that is the question we ask"
+    rows = [(i, f"http://h/{i}", f"<nav>home news about</nav><article><p>Article {i}</p></article>") for i in range(100)]
+    rows += [(i, f"http://h/{i}", f"<p>Own {' '.join(f'p{i}x{k}' for k in range(10))}</p><p>{quote}</p>") for i in (200, 201)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Article 7" and got[200].endswith(quote) and got[201].endswith(quote)
+
+
+def test_articles_reach_the_suffix_arrays(spark, monkeypatch):
+    """A host of articles alone has its shared runs listed, those inside the articles with the pages that hold them."""
+    kept = {}
+    plain = html.keep
+    monkeypatch.setattr(html, "keep", lambda df, label, **options: kept.setdefault(label, plain(df, label, **options)))
+    notice = " ".join(f"n{k}" for k in range(9))
+    rows = [(i, f"http://h/{i}", f"<footer>{notice}</footer><article><p>a{i}</p>" + f"<p>{notice}</p>" * (i > 1) + "</article>") for i in range(5)]
+    html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert [(r._pages, r._out) for r in kept["counted-runs"].collect()] == [(5, 5)] * 2
+    assert kept["shared-runs"].count() == 2
+
+
+@pytest.mark.parametrize("pages", [3, 256])
+def test_hosts_with_and_without_articles_against_brute_force(spark, monkeypatch, pages):
+    """Words of an article stay and count; what two pages hold outside articles and enough pages anywhere leaves the others."""
+    monkeypatch.setattr(html, "PAGES", pages)
+    rng = random.Random(22)
+    common = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(rng.randint(9, 14))) for _ in range(30)]
+    some = lambda k: [rng.choice(common) if rng.random() < 0.3 else " ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 25))) for _ in range(k)]
+    made = [(some(3) if rng.random() < 0.7 else [], some(2), some(1)) for _ in range(140)]
+    made += [made[0], made[1]]  # pages that come twice
+    rows = [(i, "http://h/", "<nav>" + "".join(menu) + "</nav>" + ("<article>" + "".join(f"<p>{b}</p>" for b in article) + "</article>" if article else "".join(f"<p>{b}</p>" for b in blocks)))
+            for i, (article, blocks, menu) in enumerate(made)]
+    runs = lambda words: set(zip(*[words[k:] for k in range(html.SHARED)]))
+    outside = lambda article, blocks, menu: " ".join(([] if article else blocks) + menu).split(" ")
+    different = {row[2]: (runs(outside(*m)), runs(" ".join(m[0]).split(" "))) for row, m in zip(rows, made)}
+    out, anywhere = Counter(r for o, _ in different.values() for r in o), Counter(r for o, a in different.values() for r in o | a)
+    shared = {r for r, k in anywhere.items() if out[r] > 1 and k >= html.SHARE * len(different)}
+    assert shared and any(out[r] < html.SHARE * len(different) for r in shared) and any(k > 1 and r not in shared for r, k in out.items())
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (article, blocks, menu) in enumerate(made):
+        words, left, at = outside(article, blocks, menu), [], 0
+        covered = np.zeros(len(words), bool)
+        for k in range(len(words) - html.SHARED + 1):
+            covered[k : k + html.SHARED] |= tuple(words[k : k + html.SHARED]) in shared
+        for b in [] if article else blocks:
+            stays = html._own_words(covered[at : at + len(b.split(" "))])
+            at += len(stays)
+            if stays.any():
+                left.append(" ".join(w for w, s in zip(b.split(" "), stays) if s))
+        assert got[i] == "\n".join(article or left)
